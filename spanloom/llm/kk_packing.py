@@ -134,7 +134,7 @@ class Encoder:
         plain = np.flatnonzero(~foreign)
         if len(plain):
             group = chunks.take(pa.array(plain))
-            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(group)], pa.int64()), group), " ")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(group)], pa.int32()), group), " ")
             found = self.fast.encode_to_numpy(f" {joined[0].as_py()}", disallowed_special=())
             cuts = np.cumsum(pc.binary_length(group).to_numpy().astype(np.int64) + 1)
             ends = np.searchsorted(np.cumsum(self.width[found]), cuts, "right")
@@ -151,7 +151,7 @@ class Encoder:
 
     def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text in turn; null gives none."""
-        column = pc.fill_null(column.cast(pa.large_string()), "")
+        column = pc.fill_null(column.cast(pa.string()), "")
         split = pc.split_pattern(column, " ")
         offsets, chunks = split.offsets.to_numpy(), split.values
         coded = chunks.dictionary_encode()
