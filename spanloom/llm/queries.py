@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing
+from spanloom.llm import jump_sharding, kk_packing, simhash
 from spanloom.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
+
+
 def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return kk_packing.pack(table(spark, sf_dir, "documents"))
@@ -26,6 +32,7 @@ def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jump_sharding": op3_jump_sharding,
+    "op7_simhash_variants": op7_simhash_variants,
     "op9_kk_packing": op9_kk_packing,
 }
 
