@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing, simhash
+from spanloom.llm import jump_sharding, kk_packing, simhash, voronoi
 from spanloom.llm.common import table
 
 
@@ -19,6 +19,13 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = voronoi.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -32,8 +39,24 @@ def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jump_sharding": op3_jump_sharding,
+    "op4_voronoi_topk": op4_voronoi_topk,
     "op7_simhash_variants": op7_simhash_variants,
     "op9_kk_packing": op9_kk_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_voronoi_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e
+            from embeddings
+            where vec_id is not null and embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, x.vec_id, cast(list_dot_product(q.e, x.e) as bigint) as score
+            from v q join v x on q.vec_id % 20 = 0 and q.vec_id <> x.vec_id
+        ), r as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s
+        )
+        select query_id, cast(n as int) as rank, vec_id, score from r where n <= 20
+    """,
+}
