@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing, simhash, voronoi
+from spanloom.llm import jump_sharding, kk_packing, simhash, url_rules, voronoi
 from spanloom.llm.common import table
 
 
@@ -26,6 +26,22 @@ def op4_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+# The contract's rules: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL; URLs that no rule fits are allowed."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), "url", rules, ["page_id"])
+
+
 def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -40,6 +56,7 @@ def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jump_sharding": op3_jump_sharding,
     "op4_voronoi_topk": op4_voronoi_topk,
+    "op6_url_rules": op6_url_rules,
     "op7_simhash_variants": op7_simhash_variants,
     "op9_kk_packing": op9_kk_packing,
 }
@@ -59,4 +76,24 @@ ORACLES: dict[str, str] = {
         )
         select query_id, cast(n as int) as rank, vec_id, score from r where n <= 20
     """,
+    "op6_url_rules": r"""
+        with u as (
+            select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages
+        ), p as (
+            select page_id,
+                coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+            from u
+        ), r(h, d, v) as (
+            values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                   ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), f as (
+            select p.host, p.path, max(struct_pack(n := length(h || d), r := h || d, v := v)) as best
+            from (select distinct host, path from p) p
+            join r on (p.host = h or ends_with(p.host, '.' || h)) and starts_with(p.path, d)
+            group by p.host, p.path
+        )
+        select page_id, p.host, p.path, best.r as rule, coalesce(best.v, 'allow') as verdict
+        from p left join f on p.host = f.host and p.path = f.path
+    """,
 }
