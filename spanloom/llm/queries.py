@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing, simhash, url_rules, voronoi
+from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, url_rules, voronoi
 from spanloom.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op7_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
 
 
+def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every document, and those that the CRF adds."""
+    return pii_crf.find(table(spark, sf_dir, "documents"))
+
+
 def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return kk_packing.pack(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_voronoi_topk": op4_voronoi_topk,
     "op6_url_rules": op6_url_rules,
     "op7_simhash_variants": op7_simhash_variants,
+    "op8_pii_crf": op8_pii_crf,
     "op9_kk_packing": op9_kk_packing,
 }
 
