@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, url_rules, voronoi
+from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, template_decon, url_rules, voronoi
 from spanloom.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item whose templates it holds."""
+    return template_decon.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jump_sharding": op3_jump_sharding,
     "op4_voronoi_topk": op4_voronoi_topk,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_variants": op7_simhash_variants,
     "op8_pii_crf": op8_pii_crf,
     "op9_kk_packing": op9_kk_packing,
+    "op10_template_decontamination": op10_template_decontamination,
 }
 
 ORACLES: dict[str, str] = {
