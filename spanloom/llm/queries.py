@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, template_decon, url_rules, voronoi
+from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, template_decon, toxicity, url_rules, voronoi
 from spanloom.llm.common import table
 
 
+def op2_knn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated toxicity score of every document."""
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 15 by the law ``key``, with the shard if there were 17."""
     docs = table(spark, sf_dir, "documents")
@@ -64,6 +69,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_knn_toxicity": op2_knn_toxicity,
     "op3_jump_sharding": op3_jump_sharding,
     "op4_voronoi_topk": op4_voronoi_topk,
     "op6_url_rules": op6_url_rules,

@@ -13,8 +13,8 @@ than the least item needs. Both are exact: nothing that could match is dropped.
 
 Defined results: a null or empty text has no window; a text of fewer than five words is one
 window, found only in equally short texts; a window of fewer than two literal words is no window,
-and an item without windows takes no part; repeated windows of an item count once; repeated
-documents are each judged, repeated items (same item_id) are pooled; a null doc_id is kept; empty
+and an item without windows takes no part; each place of an item's windows counts; repeated
+documents are each judged, repeated items (same item_id) should be the same text (places are counted by item_id); a null doc_id is kept; empty
 tables give an empty table; other columns are not read. Texts are read whole.
 """
 
@@ -80,10 +80,17 @@ def _classes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 class Template:
     """The template words of one text: hash and class of each, with its place among the raw words."""
 
-    __slots__ = ("codes", "kinds", "raw")
+    __slots__ = ("codes", "kinds", "raw", "begins")
 
-    def __init__(self, codes: np.ndarray, kinds: np.ndarray, raw: np.ndarray):
+    def __init__(self, codes: np.ndarray, kinds: np.ndarray, raw: np.ndarray, begins: bool = False):
         self.codes, self.kinds, self.raw = codes, kinds, raw
+        self.begins = begins  # the first word is capitalised: inside a sentence it would be a name
+
+    def inside(self) -> Template:
+        """The same text as it reads where it does not begin a sentence."""
+        codes, kinds = self.codes.copy(), self.kinds.copy()
+        codes[0], kinds[0] = CODES[NAME], NAME
+        return Template(codes, kinds, self.raw)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, int]:
         """Hashes and first places of all windows, and their width."""
@@ -118,7 +125,8 @@ def templates(column: pa.Array) -> Iterator[tuple[Template, pa.Array]]:
         used = np.flatnonzero(kinds != NOTHING)
         kinds = kinds[used]
         codes = np.where(kinds == LITERAL, code[own[used]], CODES[kinds])
-        yield Template(codes, kinds, own[used]), distinct
+        begins = bool(len(used) and kinds[0] == LITERAL and capital[own[used[0]]])
+        yield Template(codes, kinds, own[used], begins), distinct
 
 
 def _slots(template: Template, distinct: pa.Array, at: int, width: int) -> list[str]:
@@ -136,7 +144,8 @@ def probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _windows(rows: DataFrame, key: str, text: str, bloom: np.ndarray | None, least: int) -> DataFrame:
     """row, key, mark (of the text), hash, place, slots: the windows that the filter lets pass.
 
-    Windows without slots are given once for each text; the filter is skipped if there is none.
+    Windows without slots are given once for each text. Without a filter (for items), a first
+    window that would read as a name inside a sentence is given in that form as well.
     """
     kind = rows.select(key).schema[0].dataType.simpleString()
     given = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
@@ -155,13 +164,19 @@ def _windows(rows: DataFrame, key: str, text: str, bloom: np.ndarray | None, lea
                 if not len(hashes) or len(np.unique(hashes)) < least:
                     continue
                 seen = set()
-                for value, place in zip(hashes.view(np.int64).tolist(), places.tolist(), strict=True):
-                    slots = _slots(template, distinct, place, width) if (template.kinds[place : place + width] != LITERAL).any() else []
-                    if slots or value not in seen:
-                        seen.add(value)
-                        taken.append(k)
-                        for values, one in zip(found, (row + k, value, place, slots), strict=True):
-                            values.append(one)
+                both = [(template, hashes, places)]
+                if bloom is None and template.begins and places[0] == 0:
+                    other = template.inside()
+                    value, at, _ = other.windows()
+                    both.append((other, value[at == 0], at[at == 0]))
+                for form, hashes, places in both:
+                    for value, place in zip(hashes.view(np.int64).tolist(), places.tolist(), strict=True):
+                        slots = _slots(form, distinct, place, width) if (form.kinds[place : place + width] != LITERAL).any() else []
+                        if slots or bloom is None or value not in seen:
+                            seen.add(value)
+                            taken.append(k)
+                            for values, one in zip(found, (row + k, value, place, slots), strict=True):
+                                values.append(one)
             row += batch.num_rows
             chosen = pa.array(taken, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -183,7 +198,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     spark = docs.sparkSession
     asked = _windows(items, "item_id", "text", None, 0)
     asked = checkpoint(asked.select(F.col("key").alias("item_id"), "hash", F.col("place").alias("at"), F.col("slots").alias("asked")).distinct())
-    sizes = asked.groupBy("item_id").agg(F.countDistinct("hash").alias("windows"))
+    # a window is known by its first place; the other form of a first window shares that place
+    sizes = asked.groupBy("item_id").agg(F.countDistinct("at").alias("windows"), F.countDistinct("hash").alias("hashes"))
     # the filter's set bits, 64 to a row: at most BLOOM_BITS / 64 rows
     bit = F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))).alias("h")
     bits = asked.select(bit).select(F.col("h").bitwiseAND(F.lit(BLOOM_BITS - 1)).alias("p"))
@@ -191,7 +207,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     filled = np.zeros(BLOOM_BITS // 64, np.uint64)
     filled[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
     bloom = np.unpackbits(filled.astype("<u8").view(np.uint8), bitorder="little").astype(bool)
-    fewest = sizes.agg(F.min(F.ceil(F.col("windows") * F.lit(share) - 1e-9))).first()[0] or 1
+    # distinct hashes that any item needs at least, when its repeated windows all match
+    repeated = F.col("windows") - F.col("hashes") + 1
+    fewest = sizes.agg(F.min(F.ceil(F.col("windows") * F.lit(share) - 1e-9) - repeated)).first()[0] or 1
     shared = spark.sparkContext.broadcast(np.packbits(bloom, bitorder="little"))
 
     held = _windows_filtered(docs, shared, int(fewest))
@@ -210,7 +228,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
         broken, ["row", "item_id", "diagonal", "asked"], "left_semi"
     )
     sound = pairs.join(bad.select("row", "item_id", "hash", "at", "place").distinct(), ["row", "item_id", "hash", "at", "place"], "left_anti")
-    counted = sound.groupBy("row", "key", "mark", "item_id").agg(F.countDistinct("hash").alias("matched"))
+    counted = sound.groupBy("row", "key", "mark", "item_id").agg(F.countDistinct("at").alias("matched"))
     return (
         counted.join(sizes, "item_id")
         .withColumn("share", F.col("matched") / F.col("windows"))
