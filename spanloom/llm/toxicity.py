@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words and character 5-grams of words (with marked word edges), so that inflected and
-compounded forms meet. The classifier is fitted on a bounded sample of labelled rows: at most
+compounded forms meet; a term that a text repeats, at least once in a hundred words, is one more
+term (written with a plus), so that what is said often and what is met by chance differ. The classifier is fitted on a bounded sample of labelled rows: at most
 ``EXAMPLES`` of each label, those with the smallest hashes of their doc_id; from them the
 ``FEATURES`` terms with the largest chi-square against the label are kept. Document frequencies
 for the weights count all documents, and the base rate counts all labelled rows.
@@ -41,6 +42,7 @@ LEAST_CHI2 = 60.0
 LEAST_DF = 8
 GRAM = 5
 BLOCK = 64
+FREQUENT = 100  # words to an occurrence, at most, of a term that counts as frequent (and twice at least)
 NEIGHBOURS = 15
 PSEUDO = 0.5
 TOXIC_FROM = 0.7
@@ -76,40 +78,57 @@ def _term_counts(batch: pa.RecordBatch) -> dict[str, tuple[int, int]]:
     """How many toxic and other texts of a batch hold each term."""
     words = Words.of(batch.column("text"))
     toxic = batch.column("toxic").to_numpy() == 1
-    pairs = np.unique(words.text_of() * np.int64(len(words.distinct)) + words.word)
+    size = len(words.distinct)
+    pairs, many = np.unique(words.text_of() * np.int64(size) + words.word, return_counts=True)
     held: list[Counter] = [Counter(), Counter()]
     for k in range(batch.num_rows):
-        low, high = np.searchsorted(pairs, [k * len(words.distinct), (k + 1) * len(words.distinct)])
-        own: set[str] = set()
-        for w in (pairs[low:high] % len(words.distinct)).tolist():
+        low, high = np.searchsorted(pairs, [k * size, (k + 1) * size])
+        own: Counter = Counter()
+        length = 0
+        for w, n in zip((pairs[low:high] % size).tolist(), many[low:high].tolist(), strict=True):
             if words.distinct[w]:
-                own.update(grams(words.distinct[w]))
-        held[int(toxic[k])].update(own)
+                length += n
+                for g in grams(words.distinct[w]):
+                    own[g] += n
+        held[int(toxic[k])].update(own.keys())
+        held[int(toxic[k])].update(f"{g}+" for g, n in own.items() if n >= 2 and n * FREQUENT >= length)
     return {t: (held[1][t], held[0][t]) for t in held[0].keys() | held[1].keys()}
 
 
 class Terms:
     """Feature counts of texts: distinct words are looked up once for each batch."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
+    def __init__(self, terms: list[str]):
+        self.base = {g: i for i, g in enumerate(sorted({t.rstrip("+") for t in terms}))}
+        place = {t: i for i, t in enumerate(terms)}
+        self.present = np.array([place.get(g, -1) for g in self.base], np.int64)
+        self.frequent = np.array([place.get(f"{g}+", -1) for g in self.base], np.int64)
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Parallel arrays, sorted by text and feature: text, feature, how often."""
         words = Words.of(column)
-        known = self.vocabulary
+        known = self.base
         found: dict[int, list[int]] = {}
+        real = np.zeros(len(words.distinct) + 1, bool)
         for k, word in enumerate(words.distinct):
+            real[k] = bool(word)
             if word and (ids := [known[g] for g in grams(word) if g in known]):
                 found[k] = ids
         useful = np.zeros(len(words.distinct) + 1, bool)
         useful[list(found)] = True
+        owner = words.text_of()
+        length = np.bincount(owner[real[words.word]], minlength=len(column))
         at = np.flatnonzero(useful[words.word])
-        text = words.text_of()[at].tolist()
-        pairs = [t * len(known) + f for t, w in zip(text, words.word[at].tolist(), strict=True) for f in found[w]]
+        pairs = [t * len(known) + g for t, w in zip(owner[at].tolist(), words.word[at].tolist(), strict=True) for g in found[w]]
         value, many = np.unique(np.array(pairs, np.int64), return_counts=True)
-        size = max(1, len(known))
-        return value // size, value % size, many
+        text, gram = value // max(1, len(known)), value % max(1, len(known))
+        often = (many >= 2) & (many * FREQUENT >= length[text])
+        text = np.concatenate([text, text[often]])
+        feature = np.concatenate([self.present[gram], self.frequent[gram[often]]])
+        many = np.concatenate([many, many[often]])
+        kept = np.flatnonzero(feature >= 0)
+        kept = kept[np.lexsort((feature[kept], text[kept]))]
+        return text[kept], feature[kept], many[kept]
 
 
 @dataclass
@@ -237,26 +256,25 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features:
     chi2 = F.expr(f"({p} + {n}) * power(a * ({n} - b) - b * ({p} - a), 2) / ((a + b) * ({p} + {n} - a - b + 1) * {p}D * {n}D)")
     best = counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(features)
     terms = sorted(best.toPandas()["term"])
-    known = {t: i for i, t in enumerate(terms)}
     if not terms:
         return Model([], np.zeros(0), empty, np.zeros(0), [], base, (1.0, 1.0))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rows = np.zeros(len(known) + 1, np.int64), 0
-        look = Terms(known)
+        found, rows = np.zeros(len(terms) + 1, np.int64), 0
+        look = Terms(terms)
         for batch in batches:
             _, feature, _ = look.counts(batch.column("text"))
-            found[:-1] += np.bincount(feature, minlength=len(known))
+            found[:-1] += np.bincount(feature, minlength=len(terms))
             rows += batch.num_rows
         found[-1] = rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["feature", "n"])
 
     df = docs.select("text").mapInArrow(frequency, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-    df = df.set_index("feature")["n"].reindex(range(len(known) + 1)).fillna(0).to_numpy(np.float64)
+    df = df.set_index("feature")["n"].reindex(range(len(terms) + 1)).fillna(0).to_numpy(np.float64)
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.01
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Terms(known)
+        look = Terms(terms)
         for batch in batches:
             text, feature, many = look.counts(batch.column("text"))
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
@@ -291,7 +309,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        look = Terms({t: i for i, t in enumerate(own.terms)})
+        look = Terms(own.terms)
         none = own.calibrated(own.base) if own.terms else own.base
         for batch in batches:
             rows = batch.num_rows
