@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, template_decon, toxicity, url_rules, voronoi
+from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, site_style, template_decon, toxicity, url_rules, voronoi
 from spanloom.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op4_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return site_style.extract(table(spark, sf_dir, "pages"))
+
+
 # The contract's rules: host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_knn_toxicity": op2_knn_toxicity,
     "op3_jump_sharding": op3_jump_sharding,
     "op4_voronoi_topk": op4_voronoi_topk,
+    "op5_site_style_tree": op5_site_style_tree,
     "op6_url_rules": op6_url_rules,
     "op7_simhash_variants": op7_simhash_variants,
     "op8_pii_crf": op8_pii_crf,
