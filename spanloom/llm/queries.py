@@ -7,10 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, site_style, template_decon, toxicity, url_rules, voronoi
+from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, site_style, template_decon, toxicity, url_rules, voronoi, warc
 from spanloom.llm.common import table
 
 
+def capture_log(pages: DataFrame) -> DataFrame:
+    """A web archive's records for the pages: each is captured in full and revisited up to three times.
+
+    Page p is captured at minute p. It is revisited a day or more later with its entity tag and new
+    dates; every fifth page once more after its tag has changed, every seventh before its capture.
+    """
+    digest = F.md5(F.coalesce("html", F.lit("")))
+    at = F.col("page_id") * 60
+    tag = F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
+    head = lambda *pairs: F.create_map(*[x if not isinstance(x, str) else F.lit(x) for x in pairs])
+    stored = head("ETag", tag, "Content-Type", "text/html", "Content-Length", F.length("html").cast("string"), "Cache-Control", "max-age=60", "Server", "a")
+    same = head("etag", F.concat(F.lit("W/"), tag), "Content-Length", "0", "Cache-Control", "max-age=600", "Connection", "close")
+    stale = head("ETag", '"changed"', "Server", "b")
+    record = lambda name, kind, status, seconds, headers, payload: F.struct(
+        F.concat(F.lit(f"{name}:"), F.col("page_id").cast("string")).alias("record_id"), F.lit(kind).alias("kind"), F.lit(status).alias("status"),
+        F.timestamp_seconds(seconds).alias("captured"), headers.alias("headers"), payload.alias("payload_digest"),
+    )
+    none = F.lit(None).cast("string")
+    records = F.array(
+        record("full", "response", 200, at, stored, digest),
+        record("again", "revisit", 304, at + 86400 * (1 + F.col("page_id") % 3), same, none),
+        F.when(F.col("page_id") % 5 == 0, record("stale", "revisit", 304, at + 200000, stale, none)),
+        F.when(F.col("page_id") % 7 == 0, record("early", "revisit", 304, at - 30, same, none)),
+    )
+    return pages.select("url", F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("url", "r.*")
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the pages' capture log with the response it stands for."""
+    found = warc.resolve_revisits(capture_log(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc.header_text(F.col("headers")))
+
+
 def op2_knn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A calibrated toxicity score of every document."""
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -74,6 +107,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_knn_toxicity": op2_knn_toxicity,
     "op3_jump_sharding": op3_jump_sharding,
     "op4_voronoi_topk": op4_voronoi_topk,
@@ -86,6 +120,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_revisits": r"""
+        with p as (
+            select page_id, url, html, md5(coalesce(html, '')) as digest, page_id * 60 as taken,
+                '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' as tag,
+                regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') as rest
+            from pages
+        ), q as (
+            select *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+                                            lambda x: x <> '' and not starts_with(x, 'utm_'))) as kept,
+                regexp_extract(rest, '^[^/?]*([^?]*)', 1) as path
+            from p
+        ), c as (
+            select *, regexp_replace(translate(regexp_extract(rest, '^[^/?]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)$', '')
+                || (case when path = '' then '/' else path end)
+                || (case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end) as url_key
+            from q
+        ), full_r as (
+            select 'full:' || page_id as record_id, url_key, taken as seconds, tag, digest, length(html) as size from c
+        ), revisit as (
+            select 'again:' || page_id as record_id, url_key, taken + 86400 * (1 + page_id % 3) as seconds, tag from c
+            union all select 'stale:' || page_id, url_key, taken + 200000, '"changed"' from c where page_id % 5 = 0
+            union all select 'early:' || page_id, url_key, taken - 30, tag from c where page_id % 7 = 0
+        ), matched as (
+            select r.record_id, r.url_key, r.seconds, r.tag, f.record_id as target, f.seconds as target_at, f.tag as target_tag, f.digest, f.size,
+                row_number() over (partition by r.record_id, r.url_key, r.seconds order by f.seconds desc, f.record_id desc) as n
+            from revisit r left join full_r f on r.url_key = f.url_key and f.seconds < r.seconds
+        )
+        select record_id, url_key, seconds,
+            case when target is null then 'no_earlier_response' when tag = target_tag then 'resolved' else 'validator_mismatch' end as outcome,
+            case when tag = target_tag then target end as target_id,
+            case when tag = target_tag then target_at end as target_seconds,
+            case when tag = target_tag then digest end as payload_digest,
+            case when tag = target_tag then
+                'cache-control: max-age=600' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
+                || 'etag: W/' || tag || chr(10) || 'server: a' end as headers
+        from matched where n = 1
+    """,
     "op4_voronoi_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e
