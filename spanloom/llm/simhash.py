@@ -64,15 +64,17 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (as a signed 64-bit number)."""
+    """doc_id, mark (XXH64 of the text), fp (as a signed 64-bit number)."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def stamped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t, width) for t in texts(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(stamped, f"doc_id {kind}, fp bigint")
+    given = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    return given.mapInArrow(stamped, f"doc_id {kind}, mark bigint, fp bigint")
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -131,15 +133,27 @@ def near_links(fps: DataFrame, most: int = 256) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 256) -> DataFrame:
-    """doc_id, fp, component_id for every row; component_id is the smallest doc_id reachable."""
+    """doc_id, mark, fp, root, component_id for every row.
+
+    component_id is the smallest doc_id reachable, root the smallest fingerprint.
+    """
     stamped = checkpoint(fingerprints(docs, width))
     distinct = checkpoint(stamped.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(distinct.select("fp"), most))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = checkpoint(named.join(least, "root").select("fp", "component_id"))
-    return stamped.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = checkpoint(named.join(least, "root").select("fp", "root", "component_id"))
+    return stamped.join(named, "fp", "left").select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (null last)."""
+    found = near_duplicates(docs, width)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r"))
+    kept = first.select(F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("r.mark").alias("_mark"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_mark": F.xxhash64("text")})
+    return keyed.join(kept, ["_id", "_mark"]).dropDuplicates(["_id", "_mark"]).select(*docs.columns)
 
 
 def hexed(fp: str) -> Column:
