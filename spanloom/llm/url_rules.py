@@ -27,6 +27,7 @@ from pyspark.sql import Window
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST_GROUP = 256
+SPREAD = 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -72,13 +73,16 @@ def judge_urls(rows: DataFrame, url: str, rules: DataFrame, keep: list[str], def
     keys = keys.withColumn("depth", depth).select(
         "_host", "_path", reversed_host(F.slice("labels", F.size("labels") - F.col("depth") + 1, F.col("depth"))).alias("rev")
     )
-    keys = keys.join(hosts.select("rev"), "rev", "left_semi")
+    # hosts' rows are copied SPREAD times, so that the keys of one reversed host meet them in as many tasks
+    spread = F.pmod(F.xxhash64("_host", "_path"), F.lit(SPREAD)).cast("int").alias("spread")
+    copied = lambda small: small.withColumn("spread", F.explode(F.array(*[F.lit(k) for k in range(SPREAD)])))
+    keys = keys.select("*", spread).join(copied(hosts.select("rev")), ["rev", "spread"], "left_semi")
     # how many groups each reversed host's keys are dealt into
     dealt = (
         keys.groupBy("rev").agg(F.count("*").alias("n")).join(hosts, "rev")
         .select("rev", F.ceil(F.col("n") / F.greatest(F.lit(LEAST_GROUP), 16 * F.col("rules"))).alias("salts"))
     )
-    urls = keys.join(dealt, "rev").select(
+    urls = keys.join(copied(dealt), ["rev", "spread"]).select(
         "rev", F.pmod(F.xxhash64("_host", "_path"), F.col("salts")).alias("salt"), F.col("_path").alias("at"), F.lit(1).alias("kind"),
         F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"), "_host",
     )
