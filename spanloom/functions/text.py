@@ -45,18 +45,22 @@ def as_text(raw_json: Column) -> Column:
 
     ``raw_json``: the JSON text of the value. Objects keep their key order; numbers keep their spelling.
     """
-    value = F.try_parse_json(raw_json)
-    kind = F.schema_of_variant(value)
-    keys = [F.try_variant_get(value, f"$.{k}", "variant") for k in ("content", "text", "result", "stdout", "output")]
-    texts = [F.when(F.schema_of_variant(k) == "STRING", F.try_variant_get(k, "$", "string")) for k in keys]
-    plain = F.get_json_object(F.concat(F.lit('{"v":'), raw_json, F.lit("}")), "$.v")
-    return F.coalesce(
-        F.when(value.isNull() | (kind == "VOID"), F.lit(""))
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(F.startswith(kind, F.lit("OBJECT")), F.coalesce(*texts, plain))
-        .otherwise(plain),
-        F.lit(""),
-    )
+    keys = ("content", "text", "result", "stdout", "output")
+
+    def of(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        members = F.array(*[F.try_variant_get(value, f"$.{k}", "variant") for k in keys])
+        texts = F.filter(members, lambda m: F.coalesce(F.schema_of_variant(m) == "STRING", F.lit(False)))
+        first = F.try_variant_get(F.try_element_at(texts, F.lit(1)), "$", "string")
+        plain = F.get_json_object(F.concat(F.lit('{"v":'), raw_json, F.lit("}")), "$.v")
+        return (
+            F.when(value.isNull() | (kind == "VOID"), F.lit(""))
+            .when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+            .otherwise(F.coalesce(F.when(F.startswith(kind, F.lit("OBJECT")), first), plain, F.lit("")))
+        )
+
+    # an array of one holds the parsed value, so that it is parsed once
+    return F.element_at(F.transform(F.array(F.try_parse_json(raw_json)), of), 1)
 
 
 def split_hash(name: Column) -> Column:

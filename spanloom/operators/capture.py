@@ -20,9 +20,10 @@ def _field(raw: Column, path: str) -> Column:
 
 def _json(raw: Column, name: str) -> Column:
     """The JSON text of a member, null where it is missing."""
-    member = F.try_variant_get(F.try_parse_json(raw), f"$.{name}", "variant")
     text = _field(raw, f"$.{name}")
-    return F.when(F.schema_of_variant(member) == "STRING", F.to_json(member)).otherwise(text)
+    member = F.array(F.try_variant_get(F.try_parse_json(raw), f"$.{name}", "variant"))
+    of = lambda m: F.when(F.schema_of_variant(m) == "STRING", F.to_json(m)).otherwise(text)
+    return F.element_at(F.transform(member, of), 1)
 
 
 def route(events: DataFrame, raw: str = "raw", generator: str = "agent") -> DataFrame:
@@ -33,32 +34,34 @@ def route(events: DataFrame, raw: str = "raw", generator: str = "agent") -> Data
     column, is a written file's text after the event and goes before the event's own content.
     """
     body = F.col(raw)
-    event = events.where(F.try_parse_json(body).isNotNull())
-    tool, name = _field(body, "$.tool_name"), _field(body, "$.hook_event_name")
-    prompt = _field(body, "$.prompt")
-    path = F.coalesce(_field(body, "$.tool_input.file_path"), _field(body, "$.tool_input.path"))
-    given = F.coalesce(_field(body, "$.tool_input.content"), F.lit(""))
-    written = F.coalesce(F.col("resolved_content"), given) if "resolved_content" in events.columns else given
-    answer = as_text(_json(body, "tool_response"))
-    pattern = F.coalesce(_field(body, "$.tool_input.pattern"), F.lit(""))
+    kept = [c for c in events.columns if c not in (raw, "resolved_content")]
+    written = F.coalesce(_field(body, "$.tool_input.content"), F.lit(""))
+    if "resolved_content" in events.columns:
+        written = F.coalesce(F.col("resolved_content"), written)
+    event = events.where(F.try_parse_json(body).isNotNull()).select(
+        *kept, F.coalesce(_field(body, "$.session_id"), F.lit("unknown")).alias("session_id"),
+        _field(body, "$.tool_name").alias("_tool"), _field(body, "$.hook_event_name").alias("_name"),
+        F.coalesce(_field(body, "$.prompt"), F.lit("")).alias("_prompt"),
+        F.coalesce(_field(body, "$.tool_input.file_path"), _field(body, "$.tool_input.path"), F.lit("")).alias("_path"),
+        _field(body, "$.tool_input.url").alias("_url"), F.coalesce(_field(body, "$.tool_input.pattern"), F.lit("")).alias("_pattern"),
+        written.alias("_written"), as_text(_json(body, "tool_response")).alias("_answer"),
+    )
+    tool, name, prompt, path, answer = (F.col(c) for c in ("_tool", "_name", "_prompt", "_path", "_answer"))
     searching = tool.isin(*SEARCH_TOOLS) | F.startswith(tool, F.lit("mcp__"))
 
     def row(target: str, uri: Column, kind: str | None, content: Column) -> Column:
         return F.struct(F.lit(target).alias("target"), uri.alias("uri"), F.lit(kind).cast("string").alias("type"), content.alias("content"))
 
-    search_uri = F.substring(F.concat(tool, F.lit(":"), pattern), 1, MOST_PATTERN)
+    search_uri = F.substring(F.concat(tool, F.lit(":"), F.col("_pattern")), 1, MOST_PATTERN)
     rules = (
-        F.when((name == "UserPromptSubmit") & (F.coalesce(prompt, F.lit("")) != ""), row("source", F.lit("user"), "user_msg", prompt))
-        .when(tool.isin(*WRITE_TOOLS), F.when((F.coalesce(path, F.lit("")) != "") & (written != ""), row("artifact", path, None, written)))
-        .when(tool == "Read", F.when((F.coalesce(path, F.lit("")) != "") & (answer != ""), row("source", path, "file", answer)))
-        .when(tool == "WebFetch", F.when(answer != "", row("source", F.coalesce(_field(body, "$.tool_input.url"), F.lit("web")), "web", answer)))
+        F.when((name == "UserPromptSubmit") & (prompt != ""), row("source", F.lit("user"), "user_msg", prompt))
+        .when(tool.isin(*WRITE_TOOLS), F.when((path != "") & (F.col("_written") != ""), row("artifact", path, None, F.col("_written"))))
+        .when(tool == "Read", F.when((path != "") & (answer != ""), row("source", path, "file", answer)))
+        .when(tool == "WebFetch", F.when(answer != "", row("source", F.coalesce("_url", F.lit("web")), "web", answer)))
         .when(searching, F.when(utf16_length(answer) > LEAST_RESULT, row("source", search_uri, "tool_result", answer)))
     )
-    kept = [c for c in events.columns if c not in (raw, "resolved_content")]
-    routed = event.select(*kept, F.coalesce(_field(body, "$.session_id"), F.lit("unknown")).alias("session_id"), rules.alias("_r"))
-    return routed.where("_r is not null").select(
-        *kept, "session_id", "_r.*", F.when(F.col("_r.target") == "artifact", F.lit(generator)).alias("generator")
-    )
+    routed = event.select(*kept, "session_id", rules.alias("_r")).where("_r is not null")
+    return routed.select(*kept, "session_id", "_r.*", F.when(F.col("_r.target") == "artifact", F.lit(generator)).alias("generator"))
 
 
 def dedup_sources(sources: DataFrame, order: str = "seq") -> DataFrame:

@@ -11,6 +11,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACING_S, MOST_RETRIES, BACKOFF_S, MOST_BACKOFF_S = 4.5, 4, 4.0, 40.0
 
@@ -107,5 +108,6 @@ class CallableJudge:
                     out.append(ask(transport, prompt(span, source)))
                 yield frame.assign(derived=[d for d, _, _ in out], evidence=[e for _, e, _ in out], judge_available=[a for _, _, a in out])
 
-        schema = pairs.schema.add("derived", "boolean").add("evidence", "string").add("judge_available", "boolean")
+        kinds = {"derived": T.BooleanType(), "evidence": T.StringType(), "judge_available": T.BooleanType()}
+        schema = T.StructType([*pairs.schema.fields, *(T.StructField(n, t) for n, t in kinds.items())])
         return pairs.coalesce(self.partitions).mapInPandas(judge, schema)

@@ -42,11 +42,11 @@ def sparse_scores(spans: DataFrame, chunks: DataFrame, scope: list[str], span_ke
     return joined.select(*scope, *span_key, *chunk_key, sim.alias("sim"))
 
 
-def best_per_source(scores: DataFrame, span_key: list[str], uri: str = "uri", order: str = "cand_ord") -> DataFrame:
+def best_per_source(scores: DataFrame, span_key: list[str], uri: str = "uri", order: tuple[str, ...] = ("cand_ord",)) -> DataFrame:
     """The best candidate of each span and uri; the first candidate wins a tie. Pre-aggregated."""
-    rest = [c for c in scores.columns if c not in (*span_key, uri, "sim", order)]
-    best = F.max_by(F.struct("sim", order, *rest), F.struct("sim", (-F.col(order)).alias("o"))).alias("_b")
-    return scores.groupBy(*span_key, uri).agg(best).select(*span_key, uri, "_b.*")
+    rest = [c for c in scores.columns if c not in (*span_key, uri, "sim")]
+    place = F.struct("sim", *[(-F.col(o)).alias(f"o{k}") for k, o in enumerate(order)])
+    return scores.groupBy(*span_key, uri).agg(F.max_by(F.struct("sim", *rest), place).alias("_b")).select(*span_key, uri, "_b.*")
 
 
 def rank(candidates: DataFrame, span_key: list[str], order: list[str], most: int | None = None) -> DataFrame:

@@ -22,12 +22,13 @@ def candidates(artifacts: DataFrame, sources: DataFrame, session_scoped: bool =
     chunks = segment.chunk(pool, ["scope", "uri", "uri_ord", "source_id"])
     chunk_key = ["uri", "uri_ord", "source_id", "chunk_ord", "chunk"]
     scores = similarity.sparse_scores(spans, chunks, ["scope"], ["path", "start_line", "end_line"], chunk_key)
-    keyed = scores.withColumn("cand_ord", F.col("uri_ord") * F.lit(1 << 32) + F.col("chunk_ord"))
-    best = similarity.best_per_source(keyed, ["scope", "path", "start_line", "end_line"])
+    best = similarity.best_per_source(scores, ["scope", "path", "start_line", "end_line"], order=("uri_ord", "chunk_ord"))
     firsts = chunks.where("chunk_ord = 0").groupBy("scope", "uri").agg(
         F.min("uri_ord").alias("uri_ord"), F.min_by(F.struct("source_id", "chunk"), "uri_ord").alias("_f")
     )
     firsts = firsts.select("scope", "uri", "uri_ord", "_f.*")
+    # candidates rank by the first appearance of their uri, whichever of its sources was best
+    best = best.drop("uri_ord").join(firsts.select("scope", "uri", "uri_ord"), ["scope", "uri"])
     full = similarity.with_zero_candidates(best, spans, firsts, ["scope"], ["path", "start_line", "end_line"])
     return spans, full.select("scope", "path", "start_line", "end_line", "uri", "uri_ord", "source_id", "chunk", "sim")
 
