@@ -10,8 +10,9 @@ of the element's role (HTML sectioning and common class names tell menus, footer
 forms, sidebars and comments from article bodies). Each page loses its low branches.
 
 Statistics are sums over (host, node, value) and (host, node): a host that holds a third of all
-pages is pre-aggregated, never gathered; copies of a page count once. Only low nodes travel back
-to the pages that hold them.
+pages is pre-aggregated, never gathered; copies of a page count once. Only the low nodes travel
+back to the pages: to where the pages are read if they are few (``FEW`` rows are counted first),
+else by a join on the host that is spread over ``SPREAD`` tasks for each host.
 
 Defined results: a null or empty page, or one without main text, gives an empty text; a null URL
 has the empty host; pages are read whole, unclosed elements end as HTML says; repeated rows are
@@ -64,6 +65,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NOISE, PLAIN, MAIN = range(3)
 KEEP_MAIN, KEEP_PLAIN = 0.3, 0.5  # least importance of a block inside a main element, and elsewhere
 DOUBT = 10.0  # pages at which entropy and doubt weigh the same
+FEW = 100_000  # low nodes, of some hundred bytes each, that may be sent to every executor
+SPREAD = 32
 LINKED = 0.6  # share of link text from which a node is a list of links
 
 
@@ -254,23 +257,28 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"),
         F.xxhash64(url, html).alias("mark"),
     )
-    observed = checkpoint(_observed(given))
-    low = low_nodes(observed)
-    held = observed.select("mark", "host", "node").distinct().join(low, ["host", "node"])
-    # at most as many as a page has nodes
-    by_page = held.groupBy("mark").agg(F.collect_list(F.struct("node", "importance")).alias("low"))
+    low = checkpoint(low_nodes(_observed(given)))
+    # at most as many as a host's pages have kinds of nodes
+    by_host = low.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("low"))
+    if low.count() <= FEW:
+        joined = given.join(F.broadcast(by_host), "host", "left")
+    else:
+        copies = by_host.withColumn("spread", F.explode(F.array(*[F.lit(k) for k in range(SPREAD)])))
+        joined = given.withColumn("spread", F.pmod("mark", F.lit(SPREAD)).cast("int")).join(copies, ["host", "spread"], "left")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            found = [
-                main_text(page, {x["node"]: x["importance"] for x in low or ()})
-                for page, low in zip(texts(batch.column("html")), batch.column("low").to_pylist(), strict=True)
-            ]
+            of_host: dict[str, dict[int, float]] = {}
+            found = []
+            for k, (host, page) in enumerate(zip(batch.column("host").to_pylist(), texts(batch.column("html")), strict=True)):
+                if host not in of_host:
+                    of_host[host] = {x["node"]: x["importance"] for x in batch.column("low")[k].as_py() or ()}
+                found.append(main_text(page, of_host[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("url"), pa.array(found, pa.string()), pa.array(np.array([len(t) for t in found], np.int64))],
                 names=[key, "url", "text", "n_chars"],
             )
 
-    return given.join(by_page, "mark", "left").select("key", "url", "html", "low").mapInArrow(
+    return joined.select("key", "url", "host", "html", "low").mapInArrow(
         scan, f"`{key}` {kind}, url string, text string, n_chars bigint"
     )
