@@ -6,22 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators import decide, segment, similarity
+from spanloom.operators.embed import Embedder, dense_scores
 from spanloom.operators.judge import Judge
-from spanloom.schema import FLOOR, HIGH, JUDGE_K, LOW, TOP_CANDIDATES
+from spanloom.schema import EMBEDDING, FLOOR, HIGH, JUDGE_K, LOW, TOP_CANDIDATES
 
 
-def candidates(artifacts: DataFrame, sources: DataFrame, session_scoped: bool = True) -> tuple[DataFrame, DataFrame]:
+def candidates(
+    artifacts: DataFrame, sources: DataFrame, session_scoped: bool = True, embedder: Embedder | None = None, cache: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Spans (scope, path, start_line, end_line, text) and each span's best candidate of each uri.
 
     ``artifacts``: path, content, session_id; ``sources``: source_id, uri, uri_ord, content, session_id.
-    Without session scope all sources are one pool.
+    Without session scope all sources are one pool. Without an embedder bags of tokens are compared;
+    with one, texts that ``cache`` (content_hash, vec) lacks are embedded.
     """
     scope = F.col("session_id") if session_scoped else F.lit("*")
     spans = segment.segment(artifacts.withColumn("scope", scope), ["scope", "path"])
     pool = sources.withColumn("scope", scope)
     chunks = segment.chunk(pool, ["scope", "uri", "uri_ord", "source_id"])
     chunk_key = ["uri", "uri_ord", "source_id", "chunk_ord", "chunk"]
-    scores = similarity.sparse_scores(spans, chunks, ["scope"], ["path", "start_line", "end_line"], chunk_key)
+    span_key = ["path", "start_line", "end_line"]
+    if embedder is None:
+        scores = similarity.sparse_scores(spans, chunks, ["scope"], span_key, chunk_key)
+    else:
+        texts = spans.select("text").union(chunks.select("chunk"))
+        held = cache if cache is not None else artifacts.sparkSession.createDataFrame([], EMBEDDING)
+        vectors = similarity.embed_with_cache(texts, held, embedder.transform)
+        scores = dense_scores(spans, chunks, vectors, ["scope"], span_key, chunk_key)
     best = similarity.best_per_source(scores, ["scope", "path", "start_line", "end_line"], order=("uri_ord", "chunk_ord"))
     firsts = chunks.where("chunk_ord = 0").groupBy("scope", "uri").agg(
         F.min("uri_ord").alias("uri_ord"), F.min_by(F.struct("source_id", "chunk"), "uri_ord").alias("_f")
@@ -38,11 +49,11 @@ KEY = ["scope", "path", "start_line", "end_line"]
 
 def attribute(
     artifacts: DataFrame, sources: DataFrame, judge: Judge | None = None, high: float = HIGH, low: float = LOW, floor: float = FLOOR,
-    judge_k: int = JUDGE_K, session_scoped: bool = True,
+    judge_k: int = JUDGE_K, session_scoped: bool = True, embedder: Embedder | None = None, cache: DataFrame | None = None,
 ) -> DataFrame:
     """path, start_line, end_line, text, status, source_id, source_uri, candidate_uri, top_candidates,
     confidence, method, evidence of every span of every artifact."""
-    spans, found = candidates(artifacts, sources, session_scoped)
+    spans, found = candidates(artifacts, sources, session_scoped, embedder, cache)
     ranked = similarity.rank(found, KEY, ["uri_ord"], TOP_CANDIDATES)
     tops = ranked.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rank", "uri", "sim"))).alias("_t"))
     tops = tops.select(*KEY, F.transform("_t", lambda c: F.struct(c["uri"], c["sim"])).alias("top_candidates"))

@@ -299,6 +299,14 @@ ORACLES: dict[str, str] = {
             select rec.*, 'all' as set, model, case model when 'never' then false when 'always' then true else query_id % 2 = 0 end as derived
             from rec, (values ('never'), ('always'), ('even')) m(model))
         {confusion("o", "set, model", "(sim >= 0.45 or (sim >= 0.10 and derived))")}""",
+    "label_alignment": f"""
+        {RESULTS}, lb as (
+            select distinct cast(conv_id as varchar) as path, case when turn % 4 = 3 then '~' || right(text, 15) else right(text, 15) end as find
+            from conversations where role = 'assistant')
+        select path, find, 'user1' as expected, start_line, source, coalesce(round(sim, 6), 0) as sim from (
+            select lb.path, lb.find, start_line, candidate_uri as source, confidence as sim, row_number() over (partition by lb.path, lb.find order by start_line) as r
+            from lb left join res on lb.path = res.path and contains(res.text, lb.find)) where r = 1""",
+    "languages": "select count(distinct event_type) as languages from events",
     "spike_metrics": f"""
         with {DENSE} select 'all' as set, round(avg(case when expected <> 'UNGROUNDED' then cast(source = expected as int) end), 6) as top1,
             round(avg(cast((sim >= 0.35) = (expected <> 'UNGROUNDED') as int)), 6) as decided
@@ -310,4 +318,5 @@ ORACLES: dict[str, str] = {
             from documents) where r = 1""",
     "stream_source_dedup": "select distinct sha256(event_type) as content_hash, cast(user_id as varchar) as session_id from events",
 }
+ORACLES["stream_route"] = ORACLES["hook_route"]
 ORACLES["stream_versions"] = ORACLES["artifact_versions"]

@@ -53,7 +53,7 @@ def latest_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.latest_artifacts(artifact_versions(spark, sf_dir)).select("path", "event_id", "content_hash", "version")
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_events(events: DataFrame) -> DataFrame:
     """Tool events as JSON: each event type stands for one branch of the router, with its edge cases."""
     n = F.col("event_id")
     some = lambda *pairs: F.struct(*[v.alias(k) for k, v in pairs])
@@ -76,11 +76,11 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("tool_response", by(n % 4 == 0, none).otherwise(F.concat(F.lit("answers on: "), F.col("props")))),
         ("prompt", by(n % 6 != 0, F.concat(F.lit("ask "), name)).otherwise("")),
     )
-    return read(spark, sf_dir, "events").select("event_id", F.to_json(event).alias("raw"))
+    return events.select("event_id", F.to_json(event).alias("raw"))
 
 
 def hook_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.route(raw_events(spark, sf_dir)).select("event_id", "target", "uri", "type", "content", "session_id")
+    return capture.route(raw_events(read(spark, sf_dir, "events"))).select("event_id", "target", "uri", "type", "content", "session_id")
 
 
 def as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,6 +378,24 @@ def calibrate_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.calibrate_low(rows.unionByName(lowered), ["set"]).select("set", six("low"), six("f1"))
 
 
+def label_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels find the end of each assistant turn; every fourth looks for what is not there."""
+    conversations = read(spark, sf_dir, "conversations")
+    rows = conversations.where("role = 'assistant'")
+    ending = F.expr("right(text, 15)")
+    labels = rows.select(
+        F.col("conv_id").cast("string").alias("path"), F.when(F.col("turn") % 4 == 3, F.concat(F.lit("~"), ending)).otherwise(ending).alias("find"),
+        F.lit("user1").alias("expected"),
+    ).distinct()
+    spans = _results(spark, sf_dir).select("path", "start_line", "text", F.col("confidence").alias("sim"), F.col("candidate_uri").alias("source"))
+    return evaluate.align(labels, spans).select("path", "find", "expected", "start_line", "source", six("sim"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit("."), F.col("event_type")).alias("path"))
+    return evaluate.languages(files)
+
+
 def judge_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     judges = {"never": F.lit(False), "always": F.lit(True), "even": F.col("query_id") % 2 == 0}
     return _rounded(evaluate.scored_by_judges(_records(spark, sf_dir), judges, ["set"]), ["set", "model"])
@@ -415,6 +433,13 @@ def stream_source_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_of_stream(spark, sf_dir, "events", sources)
 
 
+def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.streaming.capture import batch_of_stream, route_stream
+
+    routed = batch_of_stream(spark, sf_dir, "events", lambda stream: route_stream(raw_events(stream)))
+    return routed.select("event_id", "target", "uri", "type", "content", "session_id")
+
+
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.streaming.capture import batch_of_stream, version_stream
 
@@ -432,6 +457,6 @@ QUERIES: dict[str, Query] = {
         token_vectors, embed_cache_misses, cosine_pairs, best_per_source, topk_candidates, decide_embedding, top_candidates, judge_shortlist,
         judge_decide, parse_verdict, counts, declared_citation, why_line, attribution_for, replace_attribution, audit_coverage, gate,
         attestation_spans, attestation_verify, split_hash, expected_rank, oracle_ceiling, eval_confusion, threshold_sweep, calibrate_low,
-        judge_sweep, spike_metrics, dataset_merge, stream_source_dedup, stream_versions,
+        label_alignment, languages, judge_sweep, spike_metrics, dataset_merge, stream_source_dedup, stream_route, stream_versions,
     )
 }

@@ -9,7 +9,11 @@ from spanloom import __main__ as command
 from spanloom.api import NO_LINKS, Lineage
 from spanloom.functions.ids import allocate_ids
 from spanloom.operators import decide, evaluate
+from spanloom.operators.embed import HashingEmbedder
 from spanloom.operators.judge import CallableJudge, NoJudge, RateLimited, ask, parse_reply
+from spanloom.operators.similarity import embed_cache_misses, embed_with_cache
+from spanloom.plans.attribute import attribute
+from spanloom.schema import EMBEDDING
 from spanloom.sources import datasets
 
 SPEC = "Sessions expire after thirty minutes of idle time. Tokens are rotated on every refresh request."
@@ -125,3 +129,21 @@ def test_ids_are_dense(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v")).repartition(7)
     found = allocate_ids(rows, ["v"], first=5).collect()
     assert sorted((r["id"], r["v"]) for r in found) == [(5 + k, k) for k in range(1000)]
+
+
+def test_dense_attribution_with_a_cache(spark):
+    artifacts = spark.createDataFrame([("a.ts", CODE, "s1")], "path string, content string, session_id string")
+    sources = spark.createDataFrame([(1, "spec.md", 1, SPEC, "s1")], "source_id bigint, uri string, uri_ord bigint, content string, session_id string")
+    first = HashingEmbedder(64)
+    rows = attribute(artifacts, sources, embedder=first, low=0.3).orderBy("start_line").collect()
+    assert [(r["status"], r["source_uri"]) for r in rows] == [("grounded", "spec.md"), ("ungrounded", None)]
+
+    class Counting(HashingEmbedder):
+        def transform(self, texts):
+            self.asked = texts.count()
+            return super().transform(texts)
+
+    texts = spark.createDataFrame([("x",), ("y",), ("x",)], "text string")
+    cache = first.transform(embed_cache_misses(texts.where("text = 'x'"), spark.createDataFrame([], EMBEDDING)))
+    counting = Counting(64)
+    assert embed_with_cache(texts, cache, counting.transform).count() == 2 and counting.asked == 1
