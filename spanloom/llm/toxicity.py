@@ -25,26 +25,27 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint
+from spanloom.llm.common import checkpoint, slices, texts
 
 EXAMPLES = 4096  # of each label
 FEATURES = 512
 LEAST_CHI2 = 60.0
+LEAST_LEAN = 0.5  # a term leans to one label by three to one at least
 LEAST_DF = 8
 GRAM = 5
 BLOCK = 64
 FREQUENT = 100  # words to an occurrence, at most, of a term that counts as frequent (and twice at least)
 NEIGHBOURS = 15
 PSEUDO = 0.5
+REMEMBERED = 50_000
 TOXIC_FROM = 0.7
 
 
@@ -54,132 +55,106 @@ def grams(word: str) -> list[str]:
     return [marked, *{marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)}] if len(marked) > GRAM else [marked]
 
 
-@dataclass
-class Words:
-    """A batch's distinct words, and which of them each text holds."""
-
-    distinct: list[str]
-    word: np.ndarray
-    offsets: np.ndarray
+BLANKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
-    @classmethod
-    def of(cls, column: pa.Array) -> Words:
-        lower = pc.utf8_lower(pc.fill_null(column.cast(pa.string()), ""))
-        bare = pc.replace_substring_regex(lower, r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ")
-        split = pc.split_pattern(bare, " ")
-        coded = split.values.dictionary_encode()
-        return cls(coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy())
 
-    def text_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words as UTF-8: what stands between ASCII characters other than letters and digits."""
+    return text.lower().encode("utf-8", "replace").translate(BLANKS).split()
 
 
 def _term_counts(batch: pa.RecordBatch) -> dict[str, tuple[int, int]]:
     """How many toxic and other texts of a batch hold each term."""
-    words = Words.of(batch.column("text"))
-    toxic = batch.column("toxic").to_numpy() == 1
-    size = len(words.distinct)
-    pairs, many = np.unique(words.text_of() * np.int64(size) + words.word, return_counts=True)
     held: list[Counter] = [Counter(), Counter()]
-    for k in range(batch.num_rows):
-        low, high = np.searchsorted(pairs, [k * size, (k + 1) * size])
+    cached: dict[bytes, list[str]] = {}
+    for toxic, text in zip(batch.column("toxic").to_pylist(), texts(batch.column("text")), strict=True):
+        words = words_of(text)
         own: Counter = Counter()
-        length = 0
-        for w, n in zip((pairs[low:high] % size).tolist(), many[low:high].tolist(), strict=True):
-            if words.distinct[w]:
-                length += n
-                for g in grams(words.distinct[w]):
-                    own[g] += n
-        held[int(toxic[k])].update(own.keys())
-        held[int(toxic[k])].update(f"{g}+" for g, n in own.items() if n >= 2 and n * FREQUENT >= length)
+        for word, n in Counter(words).items():
+            if word not in cached:
+                cached[word] = grams(word.decode("utf-8"))
+            for g in cached[word]:
+                own[g] += n
+        held[toxic].update(own.keys())
+        held[toxic].update(f"{g}+" for g, n in own.items() if n >= 2 and n * FREQUENT >= len(words))
     return {t: (held[1][t], held[0][t]) for t in held[0].keys() | held[1].keys()}
 
 
 class Terms:
-    """Feature counts of texts: distinct words are looked up once for each batch."""
+    """Feature counts of texts: one automaton finds all terms in one pass over the marked words.
+
+    Terms and texts are compared as UTF-8 bytes, each byte as one character.
+    """
 
     def __init__(self, terms: list[str]):
-        self.base = {g: i for i, g in enumerate(sorted({t.rstrip("+") for t in terms}))}
+        import ahocorasick
+
+        base = sorted({t.rstrip("+") for t in terms})
         place = {t: i for i, t in enumerate(terms)}
-        self.present = np.array([place.get(g, -1) for g in self.base], np.int64)
-        self.frequent = np.array([place.get(f"{g}+", -1) for g in self.base], np.int64)
+        self.present = np.array([place.get(g, -1) for g in base], np.int64)
+        self.frequent = np.array([place.get(f"{g}+", -1) for g in base], np.int64)
+        self.automaton = ahocorasick.Automaton()
+        for i, g in enumerate(base):
+            self.automaton.add_word(g.encode("utf-8").decode("latin-1"), i)
+        self.automaton.make_automaton()
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Parallel arrays, sorted by text and feature: text, feature, how often."""
-        words = Words.of(column)
-        known = self.base
-        found: dict[int, list[int]] = {}
-        real = np.zeros(len(words.distinct) + 1, bool)
-        for k, word in enumerate(words.distinct):
-            real[k] = bool(word)
-            if word and (ids := [known[g] for g in grams(word) if g in known]):
-                found[k] = ids
-        useful = np.zeros(len(words.distinct) + 1, bool)
-        useful[list(found)] = True
-        owner = words.text_of()
-        length = np.bincount(owner[real[words.word]], minlength=len(column))
-        at = np.flatnonzero(useful[words.word])
-        pairs = [t * len(known) + g for t, w in zip(owner[at].tolist(), words.word[at].tolist(), strict=True) for g in found[w]]
-        value, many = np.unique(np.array(pairs, np.int64), return_counts=True)
-        text, gram = value // max(1, len(known)), value % max(1, len(known))
-        often = (many >= 2) & (many * FREQUENT >= length[text])
-        text = np.concatenate([text, text[often]])
-        feature = np.concatenate([self.present[gram], self.frequent[gram[often]]])
-        many = np.concatenate([many, many[often]])
-        kept = np.flatnonzero(feature >= 0)
-        kept = kept[np.lexsort((feature[kept], text[kept]))]
-        return text[kept], feature[kept], many[kept]
+        out: list[list] = [[], [], []]
+        for k, text in enumerate(texts(column)):
+            words = words_of(text)
+            if not words:
+                continue
+            marked = (b"^" + b"$^".join(words) + b"$").decode("latin-1")
+            own: dict[int, int] = {}
+            for g, n in Counter([g for _, g in self.automaton.iter(marked)]).items():
+                if self.present[g] >= 0:
+                    own[int(self.present[g])] = n
+                if self.frequent[g] >= 0 and n >= 2 and n * FREQUENT >= len(words):
+                    own[int(self.frequent[g])] = n
+            for f in sorted(own):
+                for values, value in zip(out, (k, f, own[f]), strict=True):
+                    values.append(value)
+        return tuple(np.array(x, np.int64) for x in out)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings of each feature, sorted by example, with pointers and maxima for each block."""
+    """Inverted index in blocks of BLOCK examples: a block's weights of each feature, and their maxima."""
 
-    size: int
-    features: int
-    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    starts: np.ndarray | None = None  # feature, block -> first posting
-    most: np.ndarray | None = None  # feature, block -> largest weight
+    postings: np.ndarray  # block, feature, example of the block
+    most: np.ndarray  # feature, block
 
     @classmethod
     def build(cls, rows: np.ndarray, features: np.ndarray, weights: np.ndarray, size: int, many: int) -> BlockMaxIndex:
-        order = np.lexsort((rows, features))
-        rows, features, weights = rows[order], features[order], weights[order]
-        blocks = max(1, -(-size // BLOCK))
-        cell = features * blocks + rows // BLOCK
-        starts = np.searchsorted(cell, np.arange(many * blocks + 1))
-        most = np.zeros(many * blocks)
-        np.maximum.at(most, cell, weights)
-        return cls(size, many, rows, weights, starts, most.reshape(many, blocks))
+        postings = np.zeros((max(1, -(-size // BLOCK)), many, BLOCK))
+        postings[rows // BLOCK, features, rows % BLOCK] = weights
+        return cls(postings, np.ascontiguousarray(postings.max(2, initial=0.0).T))
 
     def nearest(self, features: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a cosine above 0; ties to the earlier example."""
-        blocks = self.most.shape[1]
         bounds = weights @ self.most[features]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         found, scores = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, 2
         while at < len(order):
-            if len(scores) >= k and bounds[order[at]] < scores[k - 1] - 1e-12:
+            if len(scores) >= k and bounds[order[at]] < scores[k - 1] - 1e-9:
                 break
             group = order[at : at + step]
             at, step = at + step, step * 2
-            score = np.zeros(len(group) * BLOCK)
-            for f, w in zip(features.tolist(), weights.tolist(), strict=True):
-                for slot, b in enumerate(group.tolist()):
-                    low, high = self.starts[f * blocks + b], self.starts[f * blocks + b + 1]
-                    if low < high:
-                        score[self.examples[low:high] - b * BLOCK + slot * BLOCK] += w * self.weights[low:high]
+            score = np.round(weights @ self.postings[group[:, None], features], 12).ravel()
             example = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = (score > 0) & (example != without)
+            keep = np.flatnonzero((score > 0) & (example != without))
             found, scores = np.concatenate([found, example[keep]]), np.concatenate([scores, score[keep]])
-            best = np.lexsort((found, -np.round(scores, 12)))[:k]
+            best = np.lexsort((found, -scores))[:k]
             found, scores = found[best], scores[best]
         return found, scores
 
 
+_NONE = BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0, 0)
+
+
 @dataclass
 class Model:
     terms: list[str]
@@ -239,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features:
     sample = checkpoint(sample.withColumn("h", F.xxhash64("doc_id")).groupBy("text").agg(F.min(F.struct("h", "doc_id", "toxic")).alias("r")).select("text", "r.*"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = _term_counts(batch)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found)), pa.array([a for a, _ in found.values()], pa.int64()), pa.array([b for _, b in found.values()], pa.int64())],
@@ -248,13 +223,16 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features:
 
     sizes = dict(sample.groupBy("toxic").count().collect())
     p, n = sizes.get(1, 0), sizes.get(0, 0)
-    empty = BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0, 0)
+    empty = _NONE
     if not p or not n:
         return Model([], np.zeros(0), empty, np.zeros(0), [], base, (1.0, 1.0))
-    counts = sample.select("text", "toxic").mapInArrow(count, "term string, pos bigint, neg bigint").groupBy("term")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = sample.repartition(tasks, "h")  # texts are few but costly here
+    counts = spread.select("text", "toxic").mapInArrow(count, "term string, pos bigint, neg bigint").groupBy("term")
     counts = counts.agg(F.sum("pos").cast("double").alias("a"), F.sum("neg").cast("double").alias("b")).where(F.expr(f"a + b >= {LEAST_DF}"))
     chi2 = F.expr(f"({p} + {n}) * power(a * ({n} - b) - b * ({p} - a), 2) / ((a + b) * ({p} + {n} - a - b + 1) * {p}D * {n}D)")
-    best = counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(features)
+    apart = F.expr(f"abs(a / {p} - b / {n}) >= {LEAST_LEAN} * (a / {p} + b / {n})")
+    best = counts.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & apart).orderBy(F.desc("chi2"), "term").limit(features)
     terms = sorted(best.toPandas()["term"])
     if not terms:
         return Model([], np.zeros(0), empty, np.zeros(0), [], base, (1.0, 1.0))
@@ -284,8 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features:
             )
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    found = sample.mapInArrow(vectors, f"h bigint, doc_id {kind}, toxic int, feature array<bigint>, many array<bigint>").toPandas()
-    return _assemble(found.sort_values(["h", "doc_id"]), terms, idf, base)
+    found = spread.mapInArrow(vectors, f"h bigint, doc_id {kind}, toxic int, feature array<bigint>, many array<bigint>").toPandas()
+    # examples of like terms share blocks, so that a block's maxima say much about its examples
+    found["lead"] = [max(zip(idf[f], f, strict=True), default=(0.0, -1))[1] for f in found["feature"]]
+    return _assemble(found.sort_values(["lead", "toxic", "h", "doc_id"]), terms, idf, base)
 
 
 def _assemble(found: pd.DataFrame, terms: list[str], idf: np.ndarray, base: float) -> Model:
@@ -293,7 +273,7 @@ def _assemble(found: pd.DataFrame, terms: list[str], idf: np.ndarray, base: floa
     toxic = found["toxic"].to_numpy(np.int64)
     share = toxic.mean()
     weight = ((1 - base) / max(1 - share, 1e-9), base / max(share, 1e-9))
-    model = Model(terms, idf, BlockMaxIndex(0, 0), toxic, found["doc_id"].tolist(), base, weight)
+    model = Model(terms, idf, _NONE, toxic, found["doc_id"].tolist(), base, weight)
     parts = [model.vector(np.asarray(f, np.int64), np.asarray(m, np.float64)) for f, m in zip(found["feature"], found["many"], strict=True)]
     rows = np.repeat(np.arange(len(parts)), [len(f) for f, _ in parts])
     model.index = BlockMaxIndex.build(rows, np.concatenate([f for f, _ in parts]), np.concatenate([w for _, w in parts]), len(parts), len(terms))
@@ -302,34 +282,54 @@ def _assemble(found: pd.DataFrame, terms: list[str], idf: np.ndarray, base: floa
     return model
 
 
+class Scorer:
+    """Scores batches of texts; equal counts of terms are scored once."""
+
+    def __init__(self, model: Model):
+        self.model, self.look = model, Terms(model.terms)
+        self.none = (model.calibrated(model.base) if model.terms else model.base, None, 0.0, None)
+        self.known: dict[bytes, tuple] = {}
+
+    def batch(self, column: pa.Array) -> list[tuple]:
+        """(score, nearest example, cosine, terms) of each text."""
+        if not self.model.terms:
+            return [self.none] * len(column)
+        text, feature, many = self.look.counts(column)
+        cuts = np.searchsorted(text, np.arange(len(column) + 1))
+        out = [self.none] * len(column)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            out[k] = self._one(feature[cuts[k] : cuts[k + 1]], many[cuts[k] : cuts[k + 1]])
+        return out
+
+    def _one(self, features: np.ndarray, many: np.ndarray) -> tuple:
+        same = features.tobytes() + many.tobytes()
+        if same not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            own = self.model
+            f, w = own.vector(features, many)
+            examples, cosines = own.index.nearest(f, w, NEIGHBOURS)
+            first = (own.example_ids[examples[0]], float(cosines[0])) if len(examples) else (None, 0.0)
+            words = " ".join(own.terms[i] for i in f[np.argsort(-w, kind="stable")][:5])
+            self.known[same] = (own.calibrated(own.vote(examples, cosines)), *first, words)
+        return self.known[same]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, nearest (id of the nearest example), cosine, terms (shared with it, at most 5)."""
+    """doc_id, score, nearest (id of the nearest example), cosine, terms (at most 5 of the text's)."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and FEATURES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        look = Terms(own.terms)
-        none = own.calibrated(own.base) if own.terms else own.base
-        for batch in batches:
-            rows = batch.num_rows
-            text, feature, many = look.counts(batch.column("text")) if own.terms else (np.zeros(0, np.int64),) * 3
-            cuts = np.searchsorted(text, np.arange(rows + 1))
-            scores, near, cosine, evidence = np.full(rows, none), [None] * rows, np.zeros(rows), [None] * rows
-            for k in np.flatnonzero(np.diff(cuts)).tolist():
-                f, w = own.vector(feature[cuts[k] : cuts[k + 1]], many[cuts[k] : cuts[k + 1]])
-                examples, cosines = own.index.nearest(f, w, NEIGHBOURS)
-                scores[k] = own.calibrated(own.vote(examples, cosines))
-                if len(examples):
-                    near[k], cosine[k] = own.example_ids[examples[0]], cosines[0]
-                evidence[k] = " ".join(own.terms[i] for i in f[np.argsort(-w, kind="stable")][:5])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(scores), pa.array(near, batch.schema.field("doc_id").type), pa.array(cosine), pa.array(evidence, pa.string())],
-                names=["doc_id", "mark", "score", "nearest", "cosine", "terms"],
-            )
+        scorer = Scorer(shared.value)
+        for batch in slices(batches):
+            ids = batch.schema.field("doc_id").type
+            columns = list(zip(*scorer.batch(batch.column("text")), strict=True)) or [(), (), (), ()]
+            types = (pa.float64(), ids, pa.float64(), pa.string())
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "score", "nearest", "cosine", "terms"])
 
-    given = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return given.mapInArrow(scan, f"doc_id {kind}, mark bigint, score double, nearest {kind}, cosine double, terms string")
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, score double, nearest {kind}, cosine double, terms string")
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -347,7 +347,12 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are not predicted to be toxic, with all their columns."""
-    model = fit(docs, labels)
-    bad = score(docs, model).where(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_mark"]), "left_anti")
+    """The rows that are not predicted to be toxic, with all their columns: scored and dropped in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in slices(batches):
+            yield batch.filter(pa.array([s < TOXIC_FROM for s, *_ in scorer.batch(batch.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
