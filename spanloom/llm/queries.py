@@ -191,4 +191,25 @@ ORACLES: dict[str, str] = {
         select page_id, p.host, p.path, best.r as rule, coalesce(best.v, 'allow') as verdict
         from p left join f on p.host = f.host and p.path = f.path
     """,
+    # Literal windows alone: equal to the templates' where no item holds a number, unit or name.
+    "op10_template_decontamination": r"""
+        with w as (
+            select 'd' as side, doc_id as id, text from documents union all select 'i', item_id, text from benchmark
+        ), t as (
+            select side, id, list_filter(
+                list_transform(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'),
+                               lambda x: regexp_replace(x, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g')),
+                lambda x: x <> '') as words
+            from w
+        ), g as (
+            select side, id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i+4], ' '))) as gram,
+                generate_subscripts(range(1, greatest(len(words) - 4, 1) + 1), 1) as place
+            from t where len(words) > 0
+        ), n as (select id as item_id, count(*) as windows from g where side = 'i' group by id),
+        m as (
+            select d.id as doc_id, i.id as item_id, count(distinct i.place) as matched
+            from (select distinct id, gram from g where side = 'd') d join g i on i.side = 'i' and i.gram = d.gram group by all
+        )
+        select doc_id, item_id, windows, matched, matched / windows as share from m join n using (item_id) where matched / windows >= 0.8 - 1e-9
+    """,
 }

@@ -3,7 +3,7 @@
 Texts become sequences of words in which numbers, units and names are typed placeholders
 ("slots"); so a benchmark question whose parameters were changed has the same templates. Windows
 of five template words are hashed, and documents' windows are joined to benchmark items' windows
-by hash. Where windows hold slots, an item's value must stand for one value of the document
+by hash; a window with a name counts in its literal form as well, for texts in another case. Where windows hold slots, an item's value must stand for one value of the document
 throughout an alignment (same distance between the positions); windows that break this do not
 count. A document is contaminated by an item if it holds at least 0.8 of the item's windows.
 
@@ -36,6 +36,7 @@ WORDS = 5
 SHARE = 0.8
 LITERALS = 2
 BLOOM_BITS = 1 << 23
+FEW = 500_000  # rows of two numbers that may be sent to every executor
 
 # Units that become a placeholder.
 UNITS = frozenset(
@@ -80,11 +81,17 @@ def _classes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 class Template:
     """The template words of one text: hash and class of each, with its place among the raw words."""
 
-    __slots__ = ("codes", "kinds", "raw", "begins")
+    __slots__ = ("codes", "kinds", "raw", "begins", "literals")
 
-    def __init__(self, codes: np.ndarray, kinds: np.ndarray, raw: np.ndarray, begins: bool = False):
+    def __init__(self, codes: np.ndarray, kinds: np.ndarray, raw: np.ndarray, begins: bool = False, literals: np.ndarray | None = None):
         self.codes, self.kinds, self.raw = codes, kinds, raw
         self.begins = begins  # the first word is capitalised: inside a sentence it would be a name
+        self.literals = literals  # hashes of the words themselves, if some are names
+
+    def plain(self) -> Template:
+        """The same text with names as literal words, as it reads in another case or punctuation."""
+        names = self.kinds == NAME
+        return Template(np.where(names, self.literals, self.codes), np.where(names, LITERAL, self.kinds), self.raw)
 
     def inside(self) -> Template:
         """The same text as it reads where it does not begin a sentence."""
@@ -126,7 +133,7 @@ def templates(column: pa.Array) -> Iterator[tuple[Template, pa.Array]]:
         kinds = kinds[used]
         codes = np.where(kinds == LITERAL, code[own[used]], CODES[kinds])
         begins = bool(len(used) and kinds[0] == LITERAL and capital[own[used[0]]])
-        yield Template(codes, kinds, own[used], begins), distinct
+        yield Template(codes, kinds, own[used], begins, code[own[used]] if (kinds == NAME).any() else None), distinct
 
 
 def _slots(template: Template, distinct: pa.Array, at: int, width: int) -> list[str]:
@@ -141,6 +148,14 @@ def probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+def _passing(bloom, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(hashes):
+        return hashes, places
+    low, high = probes(hashes)
+    hit = np.flatnonzero(bloom[low] & bloom[high])
+    return hashes[hit], places[hit]
+
+
 def _windows(rows: DataFrame, key: str, text: str, bloom: np.ndarray | None, least: int) -> DataFrame:
     """row, key, mark (of the text), hash, place, slots: the windows that the filter lets pass.
 
@@ -156,20 +171,23 @@ def _windows(rows: DataFrame, key: str, text: str, bloom: np.ndarray | None, lea
             found: list[list] = [[], [], [], []]
             taken = []
             for k, (template, distinct) in enumerate(templates(batch.column("text"))):
-                hashes, places, width = template.windows()
-                if bloom is not None and len(hashes):
-                    low, high = probes(hashes)
-                    hit = np.flatnonzero(bloom[low] & bloom[high])
-                    hashes, places = hashes[hit], places[hit]
-                if not len(hashes) or len(np.unique(hashes)) < least:
+                forms = [(template, *template.windows())]
+                if template.literals is not None:
+                    other = template.plain()
+                    value, at, width = other.windows()
+                    # only windows that hold a name read differently; both forms have all places' windows
+                    named = np.convolve(template.kinds == NAME, np.ones(max(1, width), np.int64))[width - 1 :][at] > 0 if len(at) else []
+                    forms.append((other, value[named], at[named], width))
+                if bloom is not None:
+                    forms = [(f, *_passing(bloom, value, at), width) for f, value, at, width in forms]
+                elif template.begins:
+                    other = template.inside()
+                    value, at, width = other.windows()
+                    forms.append((other, value[at == 0], at[at == 0], width))
+                if len(np.unique(np.concatenate([value for _, value, _, _ in forms]))) < max(1, least):
                     continue
                 seen = set()
-                both = [(template, hashes, places)]
-                if bloom is None and template.begins and places[0] == 0:
-                    other = template.inside()
-                    value, at, _ = other.windows()
-                    both.append((other, value[at == 0], at[at == 0]))
-                for form, hashes, places in both:
+                for form, hashes, places, width in forms:
                     for value, place in zip(hashes.view(np.int64).tolist(), places.tolist(), strict=True):
                         slots = _slots(form, distinct, place, width) if (form.kinds[place : place + width] != LITERAL).any() else []
                         if slots or bloom is None or value not in seen:
@@ -198,8 +216,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     spark = docs.sparkSession
     asked = _windows(items, "item_id", "text", None, 0)
     asked = checkpoint(asked.select(F.col("key").alias("item_id"), "hash", F.col("place").alias("at"), F.col("slots").alias("asked")).distinct())
-    # a window is known by its first place; the other form of a first window shares that place
-    sizes = asked.groupBy("item_id").agg(F.countDistinct("at").alias("windows"), F.countDistinct("hash").alias("hashes"))
+    # a window is known by its first place, which its other forms share
+    sizes = asked.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
     # the filter's set bits, 64 to a row: at most BLOOM_BITS / 64 rows
     bit = F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))).alias("h")
     bits = asked.select(bit).select(F.col("h").bitwiseAND(F.lit(BLOOM_BITS - 1)).alias("p"))
@@ -207,9 +225,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     filled = np.zeros(BLOOM_BITS // 64, np.uint64)
     filled[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
     bloom = np.unpackbits(filled.astype("<u8").view(np.uint8), bitorder="little").astype(bool)
-    # distinct hashes that any item needs at least, when its repeated windows all match
-    repeated = F.col("windows") - F.col("hashes") + 1
-    fewest = sizes.agg(F.min(F.ceil(F.col("windows") * F.lit(share) - 1e-9) - repeated)).first()[0] or 1
+    # distinct hashes that any item needs at least: a document's hash may stand for all places that have it
+    most = asked.groupBy("item_id", "hash").agg(F.countDistinct("at").alias("n")).groupBy("item_id").agg(F.max("n").alias("repeated"))
+    fewest = sizes.join(most, "item_id").agg(F.min(F.ceil((F.col("windows") * F.lit(share) - 1e-9) / F.col("repeated")))).first()[0] or 1
     shared = spark.sparkContext.broadcast(np.packbits(bloom, bitorder="little"))
 
     held = _windows_filtered(docs, shared, int(fewest))
@@ -252,6 +270,11 @@ def _windows_filtered(docs: DataFrame, shared, least: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows whose text holds no benchmark item, with all their columns."""
-    found = contaminated(docs, items, share).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_mark"]), "left_anti")
+    """The rows whose text holds no benchmark item, with all their columns.
+
+    The rows to go are counted first: few are sent to where the documents are read, many are joined.
+    """
+    found = contaminated(docs, items, share).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    found = checkpoint(found.distinct())
+    gone = F.broadcast(found) if found.count() <= FEW else found
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_mark"]), "left_anti")

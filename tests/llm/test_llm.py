@@ -333,14 +333,14 @@ def test_templates_and_slots(spark):
     noise = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet sed do".split()) for _ in range(80))
     rows = [
         (10, f"{noise()} {question} {noise()}"), (11, f"{noise()}. {changed} {noise()}"), (12, f"{noise()} {broken} {noise()}"), (13, noise()),
-        (14, other.upper()), (15, " ".join(other.split()[:12])), *EDGES, (None, other),
+        (14, other.upper()), (16, f"{noise()} {question.lower()}"), (15, " ".join(other.split()[:12])), *EDGES, (None, other),
     ]
     bench = items(spark, question, other, "", None, "short one", question)
     found = {(r["doc_id"], r["item_id"]) for r in template_decon.contaminated(docs(spark, *rows), bench).collect()}
-    assert found == {(10, 0), (10, 5), (11, 0), (11, 5), (14, 1), (None, 1)}
+    assert found == {(10, 0), (10, 5), (11, 0), (11, 5), (14, 1), (16, 0), (16, 5), (None, 1)}
     left = template_decon.decontaminate(docs(spark, *rows), bench)
     assert left.columns == docs(spark).columns
-    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(k) for k, t in rows if k not in (10, 11, 14) and t != other)
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(k) for k, t in rows if k not in (10, 11, 14, 16) and t != other)
     assert template_decon.contaminated(docs(spark).limit(0), bench).count() == 0
     assert template_decon.contaminated(docs(spark, *rows), bench.limit(0)).count() == 0
 
