@@ -39,28 +39,35 @@ def bag_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}0-9]+"), lambda t: t != "")
 
 
-def as_text(raw_json: Column) -> Column:
-    """A tool response as text: a string is itself, of an object the first string-valued key of
-    content, text, result, stdout, output; anything else its JSON text; null is empty.
+RESULT_KEYS = ("content", "text", "result", "stdout", "output")  # fixed values: members that may hold a result
+
+
+def text_of(value: Column, plain: Column) -> Column:
+    """A tool response as text: a string is itself, of an object the first string-valued member of
+    RESULT_KEYS, anything else its JSON text; null is empty.
 
-    ``raw_json``: the JSON text of the value. Objects keep their key order; numbers keep their spelling.
+    ``value`` is the response as a variant, ``plain`` as JSON text (which keeps the order of members
+    and the spelling of numbers).
     """
-    keys = ("content", "text", "result", "stdout", "output")
 
-    def of(value: Column) -> Column:
-        kind = F.schema_of_variant(value)
-        members = F.array(*[F.try_variant_get(value, f"$.{k}", "variant") for k in keys])
+    def of(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        members = F.array(*[F.try_variant_get(v, f"$.{k}", "variant") for k in RESULT_KEYS])
         texts = F.filter(members, lambda m: F.coalesce(F.schema_of_variant(m) == "STRING", F.lit(False)))
         first = F.try_variant_get(F.try_element_at(texts, F.lit(1)), "$", "string")
-        plain = F.get_json_object(F.concat(F.lit('{"v":'), raw_json, F.lit("}")), "$.v")
         return (
-            F.when(value.isNull() | (kind == "VOID"), F.lit(""))
-            .when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+            F.when(v.isNull() | (kind == "VOID"), F.lit(""))
+            .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
             .otherwise(F.coalesce(F.when(F.startswith(kind, F.lit("OBJECT")), first), plain, F.lit("")))
         )
 
-    # an array of one holds the parsed value, so that it is parsed once
-    return F.element_at(F.transform(F.array(F.try_parse_json(raw_json)), of), 1)
+    return F.element_at(F.transform(F.array(value), of), 1)  # an array of one holds the value, so that it is read once
+
+
+def as_text(raw_json: Column) -> Column:
+    """``text_of`` the JSON text of a value."""
+    wrapped = F.concat(F.lit('{"v":'), raw_json, F.lit("}"))
+    return text_of(F.try_parse_json(raw_json), F.get_json_object(wrapped, "$.v"))
 
 
 def split_hash(name: Column) -> Column:

@@ -6,24 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanloom.functions.text import as_text, content_hash, utf16_length
+from spanloom.functions.text import content_hash, text_of, utf16_length
 
 WRITE_TOOLS = ("Write", "Edit", "MultiEdit")
 SEARCH_TOOLS = ("Grep", "Glob")
 LEAST_RESULT = 20  # UTF-16 units that a search result must exceed
 MOST_PATTERN = 200
-
-
-def _field(raw: Column, path: str) -> Column:
-    return F.get_json_object(raw, path)
-
-
-def _json(raw: Column, name: str) -> Column:
-    """The JSON text of a member, null where it is missing."""
-    text = _field(raw, f"$.{name}")
-    member = F.array(F.try_variant_get(F.try_parse_json(raw), f"$.{name}", "variant"))
-    of = lambda m: F.when(F.schema_of_variant(m) == "STRING", F.to_json(m)).otherwise(text)
-    return F.element_at(F.transform(member, of), 1)
+EVENT = (
+    "session_id string, hook_event_name string, tool_name string, tool_response string, prompt string,"
+    " tool_input struct<file_path:string,path:string,content:string,url:string,pattern:string>"
+)
 
 
 def route(events: DataFrame, raw: str = "raw", generator: str = "agent") -> DataFrame:
@@ -35,16 +27,18 @@ def route(events: DataFrame, raw: str = "raw", generator: str = "agent") -> Data
     """
     body = F.col(raw)
     kept = [c for c in events.columns if c not in (raw, "resolved_content")]
-    written = F.coalesce(_field(body, "$.tool_input.content"), F.lit(""))
+    # the plain fields come from one typed parse; the response may be any JSON, so it stays a variant
+    parsed = events.withColumn("_v", F.try_parse_json(body)).where("_v is not null").withColumn("_e", F.from_json(body, EVENT))
+    text = lambda path: F.coalesce(F.col(f"_e.{path}"), F.lit(""))
+    written = text("tool_input.content")
     if "resolved_content" in events.columns:
         written = F.coalesce(F.col("resolved_content"), written)
-    event = events.where(F.try_parse_json(body).isNotNull()).select(
-        *kept, F.coalesce(_field(body, "$.session_id"), F.lit("unknown")).alias("session_id"),
-        _field(body, "$.tool_name").alias("_tool"), _field(body, "$.hook_event_name").alias("_name"),
-        F.coalesce(_field(body, "$.prompt"), F.lit("")).alias("_prompt"),
-        F.coalesce(_field(body, "$.tool_input.file_path"), _field(body, "$.tool_input.path"), F.lit("")).alias("_path"),
-        _field(body, "$.tool_input.url").alias("_url"), F.coalesce(_field(body, "$.tool_input.pattern"), F.lit("")).alias("_pattern"),
-        written.alias("_written"), as_text(_json(body, "tool_response")).alias("_answer"),
+    event = parsed.select(
+        *kept, F.coalesce("_e.session_id", F.lit("unknown")).alias("session_id"), F.col("_e.tool_name").alias("_tool"),
+        F.col("_e.hook_event_name").alias("_name"), text("prompt").alias("_prompt"),
+        F.coalesce("_e.tool_input.file_path", "_e.tool_input.path", F.lit("")).alias("_path"), F.col("_e.tool_input.url").alias("_url"),
+        text("tool_input.pattern").alias("_pattern"), written.alias("_written"),
+        text_of(F.try_variant_get("_v", "$.tool_response", "variant"), F.col("_e.tool_response")).alias("_answer"),
     )
     tool, name, prompt, path, answer = (F.col(c) for c in ("_tool", "_name", "_prompt", "_path", "_answer"))
     searching = tool.isin(*SEARCH_TOOLS) | F.startswith(tool, F.lit("mcp__"))
