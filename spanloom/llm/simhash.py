@@ -150,7 +150,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 256) -> DataFra
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (null last)."""
     found = near_duplicates(docs, width)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r"))
+    return kept_rows(docs, found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")))
+
+
+def kept_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each r (none, doc_id, mark) of ``first``, with all its columns."""
     kept = first.select(F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("r.mark").alias("_mark"))
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_mark": F.xxhash64("text")})
     return keyed.join(kept, ["_id", "_mark"]).dropDuplicates(["_id", "_mark"]).select(*docs.columns)
