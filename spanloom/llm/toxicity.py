@@ -4,7 +4,8 @@ Terms are words and character 5-grams of words (with marked word edges), so that
 compounded forms meet; a term that a text repeats, at least once in a hundred words, is one more
 term (written with a plus), so that what is said often and what is met by chance differ. The classifier is fitted on a bounded sample of labelled rows: at most
 ``EXAMPLES`` of each label, those with the smallest hashes of their doc_id; from them the
-``FEATURES`` terms with the largest chi-square against the label are kept. Document frequencies
+``FEATURES`` terms with the largest chi-square against the label are kept, of those that lean to one
+label by smoothed log odds beyond their standard error, which few examples can show. Document frequencies
 for the weights count all documents, and the base rate counts all labelled rows.
 
 Examples lie in an inverted index whose postings are cut in blocks of examples, each with the
@@ -37,9 +38,8 @@ from spanloom.llm.common import checkpoint, slices, texts
 
 EXAMPLES = 4096  # of each label
 FEATURES = 512
-LEAST_CHI2 = 60.0
-LEAST_LEAN = 0.5  # a term leans to one label by three to one at least
-LEAST_DF = 8
+LEAST_LEAN = 3.0  # a term leans to one label by odds of three to one at least,
+DOUBT = 2.0  # even so many standard errors below what the examples show
 GRAM = 5
 BLOCK = 64
 FREQUENT = 100  # words to an occurrence, at most, of a term that counts as frequent (and twice at least)
@@ -229,10 +229,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = sample.repartition(tasks, "h")  # texts are few but costly here
     counts = spread.select("text", "toxic").mapInArrow(count, "term string, pos bigint, neg bigint").groupBy("term")
-    counts = counts.agg(F.sum("pos").cast("double").alias("a"), F.sum("neg").cast("double").alias("b")).where(F.expr(f"a + b >= {LEAST_DF}"))
+    counts = counts.agg(F.sum("pos").cast("double").alias("a"), F.sum("neg").cast("double").alias("b"))
     chi2 = F.expr(f"({p} + {n}) * power(a * ({n} - b) - b * ({p} - a), 2) / ((a + b) * ({p} + {n} - a - b + 1) * {p}D * {n}D)")
-    apart = F.expr(f"abs(a / {p} - b / {n}) >= {LEAST_LEAN} * (a / {p} + b / {n})")
-    best = counts.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & apart).orderBy(F.desc("chi2"), "term").limit(features)
+    odds = F.expr(f"abs(ln((a + 0.5) * ({n} - b + 0.5) / ((b + 0.5) * ({p} - a + 0.5))))")
+    error = F.expr(f"sqrt(1 / (a + 0.5) + 1 / ({p} - a + 0.5) + 1 / (b + 0.5) + 1 / ({n} - b + 0.5))")
+    leaning = odds - DOUBT * error >= float(np.log(LEAST_LEAN))
+    best = counts.withColumn("chi2", chi2).where(leaning).orderBy(F.desc("chi2"), "term").limit(features)
     terms = sorted(best.toPandas()["term"])
     if not terms:
         return Model([], np.zeros(0), empty, np.zeros(0), [], base, (1.0, 1.0))
