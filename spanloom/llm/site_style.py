@@ -10,7 +10,8 @@ of the element's role (HTML sectioning and common class names tell menus, footer
 forms, sidebars and comments from article bodies). Each page loses its low branches.
 
 Statistics are sums over (host, node, value) and (host, node): a host that holds a third of all
-pages is pre-aggregated, never gathered; copies of a page count once. Only the low nodes travel
+pages is pre-aggregated, never gathered; copies of a page (the same html under any of the host's URLs) count
+once. Only the low nodes travel
 back to the pages: to where the pages are read if they are few (``FEW`` rows are counted first),
 else by a join on the host that is spread over ``SPREAD`` tasks for each host.
 
@@ -255,7 +256,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     host, _ = host_and_path(F.col(url))
     given = pages.select(
         F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"),
-        F.xxhash64(url, html).alias("mark"),
+        F.xxhash64(html).alias("mark"), F.pmod(F.xxhash64(url, html), F.lit(SPREAD)).cast("int").alias("spread"),
     )
     low = checkpoint(low_nodes(_observed(given)))
     # at most as many as a host's pages have kinds of nodes
@@ -264,7 +265,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         joined = given.join(F.broadcast(by_host), "host", "left")
     else:
         copies = by_host.withColumn("spread", F.explode(F.array(*[F.lit(k) for k in range(SPREAD)])))
-        joined = given.withColumn("spread", F.pmod("mark", F.lit(SPREAD)).cast("int")).join(copies, ["host", "spread"], "left")
+        joined = given.join(copies, ["host", "spread"], "left")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
