@@ -1,25 +1,27 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and character 5-grams of words (with marked word edges), so that inflected and
-compounded forms meet; a term that a text repeats, at least once in a hundred words, is one more
-term (written with a plus), so that what is said often and what is met by chance differ. The classifier is fitted on a bounded sample of labelled rows: at most
-``EXAMPLES`` of each label, those with the smallest hashes of their doc_id; from them the
-``FEATURES`` terms with the largest chi-square against the label are kept, of those that lean to one
-label by smoothed log odds beyond their standard error, which few examples can show. Document frequencies
-for the weights count all documents, and the base rate counts all labelled rows.
-
-Examples lie in an inverted index whose postings are cut in blocks of examples, each with the
-largest weight of a term in it. A query sums these maxima to bound every block, scores blocks
-from the highest bound on, and stops when no bound exceeds its k-th best cosine: exact top k.
-Neighbours vote with weights that fall with distance, and the base rate as a pseudo-vote; a
+A text's vector has all its words that any example holds, whole texts on both sides: (1 + ln tf) *
+idf * rf. Document frequencies count all documents; rf is the published relevance frequency of
+supervised term weighting, log2(2 + odds of the word in toxic examples against the others), with the
+odds one standard error below what is seen, to the power ``LEAN``. It is at least 1, so no word is
+left out and every text with a known word has neighbours.
+
+The examples are a bounded sample of labelled rows: at most ``EXAMPLES`` of each label and
+``SAMPLE_BYTES`` of their text, those with the smallest hashes of their doc_id (a text of over a
+sixteenth of that is no example; it is scored like all others). The base rate counts all labelled rows.
+
+Examples lie in an inverted index: sparse postings of each word, cut in blocks of ``BLOCK``
+examples, each with the word's largest weight in it. A query sums these maxima to bound every block,
+scores blocks from the highest bound on, and stops when no bound exceeds its k-th best cosine: exact
+top k. Neighbours vote with weights that fall with distance, and the base rate as a pseudo-vote; a
 logistic curve fitted on leave-one-out votes of the examples makes the vote a probability. The
-nearest example, its cosine and the shared terms are the evidence.
+nearest example, its cosine and the words shared with it are the evidence.
 
-Defined results: a null, empty or termless text gets the score of no evidence; texts are read
-whole; labels other than 0 and 1 and rows without a label do not train; a doc_id labelled twice
-counts as toxic if any says so; copies among the examples count once; without labels or without
-terms every score is the base rate (0 if there is none); repeated rows are scored alike; an empty
-table gives an empty table; other columns are not read.
+Defined results: a null or empty text, or one without a known word, gets the score of no evidence;
+texts are read whole; labels other than 0 and 1 and rows without a label do not train; a doc_id
+labelled twice counts as toxic if any says so; copies among the examples count once; without labels
+of both kinds every score is the base rate (0 if there is none); repeated rows are scored alike; an
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,33 +29,27 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import checkpoint, slices, texts
 
 EXAMPLES = 4096  # of each label
-FEATURES = 512
-LEAST_LEAN = 3.0  # a term leans to one label by odds of three to one at least,
-DOUBT = 2.0  # even so many standard errors below what the examples show
-GRAM = 5
+SAMPLE_BYTES = 1 << 25  # of each label's texts
+LEAN = 1.5
 BLOCK = 64
-FREQUENT = 100  # words to an occurrence, at most, of a term that counts as frequent (and twice at least)
+COMMON = 256  # words at most whose postings are rows of a matrix, if a 64th of the examples hold them
+TOGETHER = 128  # queries
+SLIP = 1e-9  # more than sums in another order can differ by
 NEIGHBOURS = 15
 PSEUDO = 0.5
 REMEMBERED = 50_000
 TOXIC_FROM = 0.7
-
-
-def grams(word: str) -> list[str]:
-    """The marked word and its character 5-grams."""
-    marked = f"^{word}$"
-    return [marked, *{marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)}] if len(marked) > GRAM else [marked]
-
+EVIDENCE = 5  # words
 
 BLANKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -63,93 +59,106 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(BLANKS).split()
 
 
-def _term_counts(batch: pa.RecordBatch) -> dict[str, tuple[int, int]]:
-    """How many toxic and other texts of a batch hold each term."""
-    held: list[Counter] = [Counter(), Counter()]
-    cached: dict[bytes, list[str]] = {}
-    for toxic, text in zip(batch.column("toxic").to_pylist(), texts(batch.column("text")), strict=True):
-        words = words_of(text)
-        own: Counter = Counter()
-        for word, n in Counter(words).items():
-            if word not in cached:
-                cached[word] = grams(word.decode("utf-8"))
-            for g in cached[word]:
-                own[g] += n
-        held[toxic].update(own.keys())
-        held[toxic].update(f"{g}+" for g, n in own.items() if n >= 2 and n * FREQUENT >= len(words))
-    return {t: (held[1][t], held[0][t]) for t in held[0].keys() | held[1].keys()}
-
-
-class Terms:
-    """Feature counts of texts: one automaton finds all terms in one pass over the marked words.
+def counted(words: dict[bytes, int], text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Known words of a text by number, ascending, and how often each stands there."""
+    found = Counter(words_of(text))
+    numbers = np.fromiter(map(words.get, found, repeat(-1)), np.int64, len(found))
+    many = np.fromiter(found.values(), np.float64, len(found))
+    order = np.argsort(numbers)[np.count_nonzero(numbers < 0) :]
+    return numbers[order], many[order]
 
-    Terms and texts are compared as UTF-8 bytes, each byte as one character.
-    """
 
-    def __init__(self, terms: list[str]):
-        import ahocorasick
-
-        base = sorted({t.rstrip("+") for t in terms})
-        place = {t: i for i, t in enumerate(terms)}
-        self.present = np.array([place.get(g, -1) for g in base], np.int64)
-        self.frequent = np.array([place.get(f"{g}+", -1) for g in base], np.int64)
-        self.automaton = ahocorasick.Automaton()
-        for i, g in enumerate(base):
-            self.automaton.add_word(g.encode("utf-8").decode("latin-1"), i)
-        self.automaton.make_automaton()
-
-    def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Parallel arrays, sorted by text and feature: text, feature, how often."""
-        out: list[list] = [[], [], []]
-        for k, text in enumerate(texts(column)):
-            words = words_of(text)
-            if not words:
-                continue
-            marked = (b"^" + b"$^".join(words) + b"$").decode("latin-1")
-            own: dict[int, int] = {}
-            for g, n in Counter([g for _, g in self.automaton.iter(marked)]).items():
-                if self.present[g] >= 0:
-                    own[int(self.present[g])] = n
-                if self.frequent[g] >= 0 and n >= 2 and n * FREQUENT >= len(words):
-                    own[int(self.frequent[g])] = n
-            for f in sorted(own):
-                for values, value in zip(out, (k, f, own[f]), strict=True):
-                    values.append(value)
-        return tuple(np.array(x, np.int64) for x in out)
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the runs that begin at ``starts``."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted index in blocks of BLOCK examples: a block's weights of each feature, and their maxima."""
+    """Postings in blocks of BLOCK examples, with each word's largest weight in a block.
+
+    The commonest words' postings are rows of a matrix, which many queries multiply at once; those
+    of all other words are sparse, sorted by word and example, in runs of one word and one block.
+    """
 
-    postings: np.ndarray  # block, feature, example of the block
-    most: np.ndarray  # feature, block
+    row: np.ndarray  # of each word in the matrix, or -1
+    matrix: np.ndarray  # common word, example
+    example: np.ndarray  # of each sparse posting
+    weight: np.ndarray
+    first: np.ndarray  # first posting of each run, and the end of the last one
+    block: np.ndarray  # of each run
+    most: np.ndarray  # largest weight of each run
+    word: np.ndarray  # first run of each word, and the end of the last one
 
     @classmethod
-    def build(cls, rows: np.ndarray, features: np.ndarray, weights: np.ndarray, size: int, many: int) -> BlockMaxIndex:
-        postings = np.zeros((max(1, -(-size // BLOCK)), many, BLOCK))
-        postings[rows // BLOCK, features, rows % BLOCK] = weights
-        return cls(postings, np.ascontiguousarray(postings.max(2, initial=0.0).T))
-
-    def nearest(self, features: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with a cosine above 0; ties to the earlier example."""
-        bounds = weights @ self.most[features]
+    def build(cls, examples: np.ndarray, words: np.ndarray, weights: np.ndarray, size: int, many: int) -> BlockMaxIndex:
+        blocks = -(-size // BLOCK)
+        held = np.bincount(words, minlength=many)
+        common = np.argsort(-held, kind="stable")[:COMMON]
+        common = common[held[common] * BLOCK >= size]
+        row = np.full(many, -1)
+        row[common] = np.arange(len(common))
+        matrix = np.zeros((len(common), blocks * BLOCK))
+        dense = row[words] >= 0
+        matrix[row[words[dense]], examples[dense]] = weights[dense]
+        examples, words, weights = examples[~dense], words[~dense], weights[~dense]
+        order = np.lexsort((examples, words))
+        examples, words, weights = examples[order].astype(np.int32), words[order], weights[order]
+        starts = np.flatnonzero(np.diff(words * (blocks + 1) + examples // BLOCK, prepend=-1))
+        most = np.maximum.reduceat(weights, starts) if len(starts) else np.zeros(0)
+        word = np.searchsorted(words[starts], np.arange(many + 1))
+        return cls(row, matrix, examples, weights, np.append(starts, len(words)), (examples[starts] // BLOCK).astype(np.int32), most, word)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (words, weights) the k nearest examples with a cosine above 0, and the cosines.
+
+        Ties go to the earlier example. Query number n leaves out example ``without`` + n.
+        """
+        for at in range(0, len(queries), TOGETHER):
+            group = queries[at : at + TOGETHER]
+            asked = np.zeros((len(group), len(self.matrix)))
+            for n, (words, weights) in enumerate(group):
+                rows = self.row[words]
+                asked[n, rows[rows >= 0]] = weights[rows >= 0]
+            for n, (score, (words, weights)) in enumerate(zip(asked @ self.matrix, group, strict=True)):
+                if without is not None:
+                    score[without + at + n] = -np.inf
+                rare = self.row[words] < 0
+                yield self._best(score, words[rare], weights[rare], k)
+
+    def _best(self, score: np.ndarray, words: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``score`` holds the common words' share of the cosines."""
+        sizes = self.word[words + 1] - self.word[words]
+        runs = _runs(self.word[words], sizes)
+        own, block = np.repeat(weights, sizes), self.block[runs]
+        by_block = score.reshape(-1, BLOCK)
+        bounds = by_block.max(1) + np.bincount(block, own * self.most[runs], minlength=len(by_block))
+        # the common words' share alone is a floor of each cosine
+        least = max(np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0, 0.0)
         order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 2
-        while at < len(order):
-            if len(scores) >= k and bounds[order[at]] < scores[k - 1] - 1e-9:
-                break
+        order = order[: np.count_nonzero((bounds > 0) & (bounds >= least - SLIP))]
+        turn = np.full(len(bounds), len(bounds), np.int32)
+        turn[order] = np.arange(len(order))
+        turn = turn[block]
+        found, best = np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, 8
+        while at < len(order) and bounds[order[at]] >= least - SLIP:
+            chosen = np.flatnonzero((turn >= at) & (turn < at + step))  # runs of the next blocks
+            some = runs[chosen]
+            lengths = self.first[some + 1] - self.first[some]
+            postings = _runs(self.first[some], lengths)
+            score += np.bincount(self.example[postings], self.weight[postings] * np.repeat(own[chosen], lengths), minlength=len(score))
             group = order[at : at + step]
-            at, step = at + step, step * 2
-            score = np.round(weights @ self.postings[group[:, None], features], 12).ravel()
-            example = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = np.flatnonzero((score > 0) & (example != without))
-            found, scores = np.concatenate([found, example[keep]]), np.concatenate([scores, score[keep]])
-            best = np.lexsort((found, -scores))[:k]
-            found, scores = found[best], scores[best]
-        return found, scores
+            at, step = at + step, step * 4
+            held = by_block[group]
+            place, inside = np.nonzero(held >= max(least - SLIP, SLIP))
+            found, best = np.concatenate([found, group[place] * BLOCK + inside]), np.concatenate([best, held[place, inside]])
+            if len(best) > k:
+                least = max(least, np.partition(best, len(best) - k)[len(best) - k])
+        best = np.round(best, 12)
+        order = np.lexsort((found, -best))[:k]
+        return found[order], best[order]
 
 
 _NONE = BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0, 0)
@@ -157,23 +166,25 @@ _NONE = BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zer
 
 @dataclass
 class Model:
-    terms: list[str]
-    idf: np.ndarray
+    words: dict[bytes, int]
+    worth: np.ndarray  # idf * rf of each word
     index: BlockMaxIndex
     toxic: np.ndarray  # of each example
     example_ids: list
+    example_words: list[np.ndarray]
     base: float
     weight: tuple[float, float]  # of an example with label 0 and 1
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def vector(self, features: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = (1 + np.log(many)) * self.idf[features]
-        norm = np.sqrt((raw**2).sum())
-        return features, raw / norm if norm else raw
+    def vector(self, words: np.ndarray, many: np.ndarray) -> np.ndarray:
+        raw = (1 + np.log(many)) * self.worth[words]
+        return raw / max(np.sqrt((raw**2).sum()), 1e-300)
 
     def vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
-        """Votes weighted by 1 / distance, against the base rate as a pseudo-vote."""
-        weights = cosines / (1.1 - cosines) * np.where(self.toxic[examples] == 1, self.weight[1], self.weight[0])
+        """Votes in proportion to the cosine, the nearest one's being 1, against the base rate as a pseudo-vote."""
+        if not len(examples):
+            return self.base
+        weights = cosines / cosines[0] * np.where(self.toxic[examples] == 1, self.weight[1], self.weight[0])
         return float(((weights * self.toxic[examples]).sum() + PSEUDO * self.base) / (weights.sum() + PSEUDO))
 
     def calibrated(self, vote: float) -> float:
@@ -203,124 +214,114 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features: int = FEATURES) -> Model:
+def _examples(docs: DataFrame, usable: DataFrame, most: int) -> DataFrame:
+    """h, doc_id, toxic, text of the sampled rows: at most ``most`` rows and SAMPLE_BYTES of text of each label."""
+    parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
+    chosen = F.broadcast(parts[0].union(parts[1]))  # at most 2 * most pairs of numbers
+    held = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES // 16).join(chosen, "doc_id")
+    once = held.withColumn("h", F.xxhash64("doc_id")).groupBy("text").agg(F.min(F.struct("h", "doc_id", "toxic")).alias("r")).select("r.*", "text")
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("h", "doc_id", F.xxhash64("text")))
+    return once.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).drop("so_far")
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """A model from all documents' statistics and a bounded sample of the labelled rows."""
     usable = training_labels(labels)
     totals = dict(usable.groupBy("toxic").count().collect())
     base = totals.get(1, 0) / max(1, sum(totals.values()))
-    parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
-    chosen = F.broadcast(parts[0].union(parts[1]))  # at most 2 * examples pairs of numbers
-    sample = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id")
-    sample = checkpoint(sample.withColumn("h", F.xxhash64("doc_id")).groupBy("text").agg(F.min(F.struct("h", "doc_id", "toxic")).alias("r")).select("text", "r.*"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = _term_counts(batch)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found)), pa.array([a for a, _ in found.values()], pa.int64()), pa.array([b for _, b in found.values()], pa.int64())],
-                names=["term", "pos", "neg"],
-            )
-
-    sizes = dict(sample.groupBy("toxic").count().collect())
-    p, n = sizes.get(1, 0), sizes.get(0, 0)
-    empty = _NONE
-    if not p or not n:
-        return Model([], np.zeros(0), empty, np.zeros(0), [], base, (1.0, 1.0))
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = sample.repartition(tasks, "h")  # texts are few but costly here
-    counts = spread.select("text", "toxic").mapInArrow(count, "term string, pos bigint, neg bigint").groupBy("term")
-    counts = counts.agg(F.sum("pos").cast("double").alias("a"), F.sum("neg").cast("double").alias("b"))
-    chi2 = F.expr(f"({p} + {n}) * power(a * ({n} - b) - b * ({p} - a), 2) / ((a + b) * ({p} + {n} - a - b + 1) * {p}D * {n}D)")
-    odds = F.expr(f"abs(ln((a + 0.5) * ({n} - b + 0.5) / ((b + 0.5) * ({p} - a + 0.5))))")
-    error = F.expr(f"sqrt(1 / (a + 0.5) + 1 / ({p} - a + 0.5) + 1 / (b + 0.5) + 1 / ({n} - b + 0.5))")
-    leaning = odds - DOUBT * error >= float(np.log(LEAST_LEAN))
-    best = counts.withColumn("chi2", chi2).where(leaning).orderBy(F.desc("chi2"), "term").limit(features)
-    terms = sorted(best.toPandas()["term"])
-    if not terms:
-        return Model([], np.zeros(0), empty, np.zeros(0), [], base, (1.0, 1.0))
+    found = _examples(docs, usable, examples).toPandas()  # the documented bound
+    toxic = found["toxic"].to_numpy(np.int64)
+    if not 0 < toxic.sum() < len(toxic):
+        return Model({}, np.zeros(0), _NONE, np.zeros(0), [], [], base, (1.0, 1.0))
+    words: dict[bytes, int] = {}
+    for text in found["text"]:
+        for w in words_of(text):
+            words.setdefault(w, len(words))
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # bounded by SAMPLE_BYTES
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rows = np.zeros(len(terms) + 1, np.int64), 0
-        look = Terms(terms)
-        for batch in batches:
-            _, feature, _ = look.counts(batch.column("text"))
-            found[:-1] += np.bincount(feature, minlength=len(terms))
+        known, rows = shared.value, 0
+        held = np.zeros(len(known), np.int64)
+        for batch in slices(batches):
+            for text in texts(batch.column("text")):
+                held[[known[w] for w in set(words_of(text)) if w in known]] += 1
             rows += batch.num_rows
-        found[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["feature", "n"])
-
-    df = docs.select("text").mapInArrow(frequency, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-    df = df.set_index("feature")["n"].reindex(range(len(terms) + 1)).fillna(0).to_numpy(np.float64)
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.01
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Terms(terms)
-        for batch in batches:
-            text, feature, many = look.counts(batch.column("text"))
-            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), batch.column("doc_id"), batch.column("toxic"), *(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x)) for x in (feature, many))],
-                names=["h", "doc_id", "toxic", "feature", "many"],
-            )
-
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    found = spread.mapInArrow(vectors, f"h bigint, doc_id {kind}, toxic int, feature array<bigint>, many array<bigint>").toPandas()
-    # examples of like terms share blocks, so that a block's maxima say much about its examples
-    found["lead"] = [max(zip(idf[f], f, strict=True), default=(0.0, -1))[1] for f in found["feature"]]
-    return _assemble(found.sort_values(["lead", "toxic", "h", "doc_id"]), terms, idf, base)
-
-
-def _assemble(found: pd.DataFrame, terms: list[str], idf: np.ndarray, base: float) -> Model:
-    """Index and calibration from the examples' feature counts (at most 2 * EXAMPLES rows)."""
-    toxic = found["toxic"].to_numpy(np.int64)
+        place = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(place, -1)), pa.array(np.append(held[place], rows))], names=["word", "n"])
+
+    counts = docs.select("text").mapInArrow(frequency, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    number, n = counts["word"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    held, rows = np.zeros(len(words)), int(n[number < 0].sum())
+    held[number[number >= 0]] = n[number >= 0]
+    return _assemble(found["h"].to_numpy(), found["doc_id"].tolist(), toxic, found["text"].tolist(), words, held, rows, base)
+
+
+def _assemble(h: np.ndarray, ids: list, toxic: np.ndarray, held_texts: list[str], words: dict[bytes, int], held: np.ndarray, rows: int, base: float) -> Model:
+    """Weights, index and calibration from the examples and the words' document frequencies."""
+    own = [counted(words, t) for t in held_texts]
+    inside = np.zeros((2, len(words)))
+    for (found, _), y in zip(own, toxic, strict=True):
+        inside[y, found] += 1
+    log_odds = np.log((inside[1] + 0.5) / (toxic.sum() + 1)) - np.log((inside[0] + 0.5) / (len(toxic) - toxic.sum() + 1))
+    error = np.sqrt(1 / (inside[1] + 0.5) + 1 / (inside[0] + 0.5))
+    worth = (np.log((rows + 1) / (held + 1)) + 0.01) * np.log2(2 + np.exp(log_odds - error)) ** LEAN
+    # examples that share their commonest word (of one language, mostly) and their weightiest one share
+    # blocks, so that a block's maxima say much about its examples
+    common = [f[held[f].argmax()] if len(f) else -1 for f, _ in own]
+    heavy = [f[((1 + np.log(n)) * worth[f]).argmax()] if len(f) else -1 for f, n in own]
+    order = np.lexsort((h, heavy, toxic, common))
+    own, toxic = [own[i] for i in order], toxic[order]
     share = toxic.mean()
     weight = ((1 - base) / max(1 - share, 1e-9), base / max(share, 1e-9))
-    model = Model(terms, idf, _NONE, toxic, found["doc_id"].tolist(), base, weight)
-    parts = [model.vector(np.asarray(f, np.int64), np.asarray(m, np.float64)) for f, m in zip(found["feature"], found["many"], strict=True)]
-    rows = np.repeat(np.arange(len(parts)), [len(f) for f, _ in parts])
-    model.index = BlockMaxIndex.build(rows, np.concatenate([f for f, _ in parts]), np.concatenate([w for _, w in parts]), len(parts), len(terms))
-    votes = np.array([model.vote(*model.index.nearest(f, w, NEIGHBOURS, i)) if len(f) else base for i, (f, w) in enumerate(parts)])
+    model = Model(words, worth, _NONE, toxic, [ids[i] for i in order], [f for f, _ in own], base, weight)
+    vectors = [model.vector(f, n) for f, n in own]
+    place = np.repeat(np.arange(len(own)), [len(f) for f, _ in own])
+    model.index = BlockMaxIndex.build(place, np.concatenate([f for f, _ in own]), np.concatenate(vectors), len(own), len(words))
+    asked = list(zip(model.example_words, vectors, strict=True))
+    votes = np.array([model.vote(*near) for near in model.index.nearest(asked, NEIGHBOURS, without=0)])
     model.curve = _fit_curve(votes, toxic, np.where(toxic == 1, weight[1], weight[0]))
     return model
 
 
 class Scorer:
-    """Scores batches of texts; equal counts of terms are scored once."""
+    """Scores batches of texts; texts with equal counts of words are scored once."""
 
     def __init__(self, model: Model):
-        self.model, self.look = model, Terms(model.terms)
-        self.none = (model.calibrated(model.base) if model.terms else model.base, None, 0.0, None)
+        self.model, self.spelled = model, list(model.words)
+        self.none = (model.calibrated(model.base) if model.words else model.base, None, 0.0, None)
         self.known: dict[bytes, tuple] = {}
 
     def batch(self, column: pa.Array) -> list[tuple]:
-        """(score, nearest example, cosine, terms) of each text."""
-        if not self.model.terms:
-            return [self.none] * len(column)
-        text, feature, many = self.look.counts(column)
-        cuts = np.searchsorted(text, np.arange(len(column) + 1))
-        out = [self.none] * len(column)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            out[k] = self._one(feature[cuts[k] : cuts[k + 1]], many[cuts[k] : cuts[k + 1]])
-        return out
-
-    def _one(self, features: np.ndarray, many: np.ndarray) -> tuple:
-        same = features.tobytes() + many.tobytes()
-        if same not in self.known:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            own = self.model
-            f, w = own.vector(features, many)
-            examples, cosines = own.index.nearest(f, w, NEIGHBOURS)
-            first = (own.example_ids[examples[0]], float(cosines[0])) if len(examples) else (None, 0.0)
-            words = " ".join(own.terms[i] for i in f[np.argsort(-w, kind="stable")][:5])
-            self.known[same] = (own.calibrated(own.vote(examples, cosines)), *first, words)
-        return self.known[same]
+        """(score, nearest example, cosine, words) of each text."""
+        import xxhash
+
+        own, wanted, new = self.model, [], {}
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        for text in texts(column) if own.words else ():
+            words, many = counted(own.words, text)
+            same = xxhash.xxh128_digest(words.tobytes() + many.tobytes()) if len(words) else b""
+            wanted.append(same)
+            if same and same not in self.known:
+                new.setdefault(same, (words, own.vector(words, many)))
+        near = own.index.nearest(list(new.values()), NEIGHBOURS)
+        for (same, asked), (examples, cosines) in zip(new.items(), near, strict=True):
+            self.known[same] = self._judged(*asked, examples, cosines) if len(examples) else self.none
+        return [self.known[same] if same else self.none for same in wanted] if own.words else [self.none] * len(column)
+
+    def _judged(self, words: np.ndarray, weights: np.ndarray, examples: np.ndarray, cosines: np.ndarray) -> tuple:
+        own = self.model
+        other = own.example_words[examples[0]]
+        met = other[np.minimum(np.searchsorted(other, words), len(other) - 1)] == words
+        most = words[met][np.argsort(-weights[met], kind="stable")[:EVIDENCE]]
+        shown = b" ".join(self.spelled[w] for w in most).decode()
+        return own.calibrated(own.vote(examples, cosines)), own.example_ids[examples[0]], float(cosines[0]), shown
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, nearest (id of the nearest example), cosine, terms (at most 5 of the text's)."""
+    """doc_id, score, nearest (id of the nearest example), cosine, terms (weightiest words shared with it)."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and FEATURES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and SAMPLE_BYTES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, with nulls, copies, ties and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -379,20 +380,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.detect(df.limit(0), labels).count() == 0
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("common", [0, 10, 256])  # words whose postings are dense
+def test_block_max_search_is_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(12)
     dense = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
     rows, features = np.nonzero(dense)
     index = toxicity.BlockMaxIndex.build(rows, features, dense[rows, features], 500, 40)
-    for _ in range(50):
-        query = rng.random(40) * (rng.random(40) < 0.15)
-        f = np.flatnonzero(query)
-        found, scores = index.nearest(f, query[f], 15)
+    queries = [rng.random(40) * (rng.random(40) < 0.15) for _ in range(200)]
+    asked = [(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in queries]
+    for query, (found, scores) in zip(queries, index.nearest(asked, 15), strict=True):
         every = np.round(dense @ query, 12)
         order = np.lexsort((np.arange(500), -every))
         expected = [i for i in order if every[i] > 0][:15]
         assert found.tolist() == expected
         assert np.allclose(scores, every[expected])
+    for n, (found, _) in enumerate(index.nearest(asked, 15, without=0)):
+        assert n not in found.tolist()
+
+
+def test_nearest_examples_of_whole_texts(spark):
+    """Every document's nearest example and cosine against dictionaries of all words of both texts."""
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    df, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(df, labels)
+    texts_ = {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    known = {w: k for w, k in model.words.items()}
+    rows = len(texts_)
+    held = dict.fromkeys(known, 0)
+    for text in texts_.values():
+        for w in set(toxicity.words_of(text or "")) & known.keys():
+            held[w] += 1
+    idf = {w: np.log((rows + 1) / (n + 1)) + 0.01 for w, n in held.items()}
+    lean = {w: model.worth[k] / idf[w] for w, k in known.items()}
+    assert min(lean.values()) >= 1 and len(known) > 8000  # no word is left out
+
+    def vector(text):
+        words = [w for w in toxicity.words_of(text or "") if w in known]
+        raw = {w: (1 + np.log(words.count(w))) * idf[w] * lean[w] for w in set(words)}
+        norm = sum(x * x for x in raw.values()) ** 0.5
+        return {w: x / norm for w, x in raw.items()}
+
+    examples = {i: vector(texts_[i]) for i in model.example_ids}
+    found = toxicity.score(df, model).collect()
+    assert len(found) == rows
+    for r in found:
+        own = vector(texts_[r["doc_id"]])
+        cosines = {i: sum(x * e[w] for w, x in own.items() if w in e) for i, e in examples.items()}
+        best = max(cosines.values())
+        assert abs(r["cosine"] - best) < 1e-9
+        assert (r["nearest"] is None) == (not own) and (not own or abs(cosines[r["nearest"]] - best) < 1e-9)
 
 
 # --- pages -----------------------------------------------------------------------------------
