@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, with nulls, copies, ties and clashing columns."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -208,6 +209,47 @@ def test_top_k_is_exact(spark):
     assert few == 3
 
 
+def test_top_k_of_large_components(spark):
+    """Against Python integers: components up to 1e16, mixed signs, scores beyond a long."""
+    rng = random.Random(7)
+    sizes = [1.0, 5.0, 4e7, 1e9, 3e12, 1e16]
+    rows = [(k, [rng.choice(sizes) * rng.choice((-1, 1)) * rng.choice((1, 0.37, 2.5)) for _ in range(3)]) for k in range(120)]
+    rows += [(k, [rng.uniform(-3, 3) for _ in range(3)]) for k in range(120, 200)] + [(200, [1.0, 1.0, 0.0]), (201, [4e7, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = voronoi.top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20).collect()
+    whole = {k: [math.floor(64 * x) for x in v] for k, v in rows}
+    bound = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    expected = []
+    for q in range(0, 201, 20):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), k) for k, v in whole.items() if k != q)[:20]
+        expected += [(q, n + 1, k, bound(-s)) for n, (s, k) in enumerate(scores)]
+    capped = lambda r: r[3] in (-(1 << 63), (1 << 63) - 1)
+    got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in found)
+    assert got == sorted(expected) and any(map(capped, got)) and not all(map(capped, got))
+    few = spark.createDataFrame([(200, [1.0, 1.0]), (1, [4e7, 1.0]), (2, [5.0, 1.0]), (3, [1e300, -1.0])], df.schema)
+    got = voronoi.top_k(few, "vec_id", "embedding", F.col("vec_id") == 200).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(3, (1 << 63) - 1), (1, 163840004096), (2, 64 * 64 * 6)]
+
+
+@pytest.mark.parametrize("tasks", ["4", "200"])
+def test_copies_of_blocks_do_not_grow_with_tasks(spark, tasks, monkeypatch):
+    monkeypatch.setattr(voronoi, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(voronoi, "DATA_BLOCK", 16)
+    df = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(300)], "vec_id bigint, embedding array<double>")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        found = voronoi.top_k(df, "vec_id", "embedding", F.col("vec_id") % 2 == 0, k=3)
+        got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    data = np.array([[64 * (k % 7), 64 * (k % 5)] for k in range(300)])
+    for q in range(0, 300, 2):
+        score = data @ data[q]
+        order = [k for k in np.lexsort((np.arange(300), -score)) if k != q][:3]
+        assert [(r[2], r[3]) for r in got if r[0] == q] == [(k, score[k]) for k in order]
+
+
 def test_cells_that_cannot_matter_are_left_out():
     import pandas as pd
 
