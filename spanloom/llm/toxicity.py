@@ -41,8 +41,9 @@ from spanloom.llm.common import checkpoint, slices, texts
 EXAMPLES = 4096  # of each label
 SAMPLE_BYTES = 1 << 25  # of each label's texts
 LEAN = 1.5
-BLOCK = 64
-COMMON = 256  # words at most whose postings are rows of a matrix, if a 64th of the examples hold them
+BLOCK = 256
+FIRST = 4  # blocks that are scored first, for a floor under the k best
+COMMON, SHARE = 512, 64  # words at most whose postings are rows of a matrix, if one of SHARE examples holds them
 TOGETHER = 128  # queries
 SLIP = 1e-9  # more than sums in another order can differ by
 NEIGHBOURS = 15
@@ -74,41 +75,47 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-@dataclass
 class BlockMaxIndex:
-    """Postings in blocks of BLOCK examples, with each word's largest weight in a block.
+    """Postings of words over examples in blocks of BLOCK, with each word's largest weight in a block.
 
     The commonest words' postings are rows of a matrix, which many queries multiply at once; those
-    of all other words are sparse, sorted by word and example, in runs of one word and one block.
+    of all other words are sparse, sorted by word and example. Block maxima are kept as bytes, rounded
+    up. Only the postings travel; where they are used the rest is made from them.
     """
 
-    row: np.ndarray  # of each word in the matrix, or -1
-    matrix: np.ndarray  # common word, example
-    example: np.ndarray  # of each sparse posting
-    weight: np.ndarray
-    first: np.ndarray  # first posting of each run, and the end of the last one
-    block: np.ndarray  # of each run
-    most: np.ndarray  # largest weight of each run
-    word: np.ndarray  # first run of each word, and the end of the last one
+    def __init__(self, example: np.ndarray, word: np.ndarray, weight: np.ndarray, size: int):
+        """Postings sorted by word and example: ``word`` holds each word's first one, and the end of the last."""
+        self.given = (example, word, weight, size)
+        many, blocks = len(word) - 1, -(-size // BLOCK)
+        held = np.diff(word)
+        common = np.argsort(-held, kind="stable")[:COMMON]
+        common = common[held[common] * SHARE >= size]
+        self.row = np.full(many, -1)  # of each word in the matrix
+        self.row[common] = np.arange(len(common))
+        words = np.repeat(np.arange(many), held)
+        dense = self.row[words] >= 0
+        self.matrix = np.zeros((len(common), blocks * BLOCK))
+        self.matrix[self.row[words[dense]], example[dense]] = weight[dense]
+        words = words[~dense]
+        self.example, self.weight = example[~dense].astype(np.int64), weight[~dense]
+        run = words * blocks + self.example // BLOCK
+        self.first = np.zeros((many, blocks + 1), np.int32)  # first posting of each word in each block
+        for at in range(0, many, 1 << 14):  # in steps, which bound the memory
+            some = np.arange(at, min(many, at + (1 << 14)))
+            self.first[some] = np.searchsorted(run, (some * blocks)[:, None] + np.arange(blocks + 1))
+        self.unit = float(self.weight.max(initial=0.0)) / 255 or 1.0
+        self.most = np.zeros((many, blocks), np.uint8)  # largest weight of a word in a block, in units
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        if len(starts):
+            self.most.ravel()[run[starts]] = np.ceil(np.maximum.reduceat(self.weight, starts) / self.unit)
+
+    def __reduce__(self) -> tuple:
+        return BlockMaxIndex, self.given
 
     @classmethod
     def build(cls, examples: np.ndarray, words: np.ndarray, weights: np.ndarray, size: int, many: int) -> BlockMaxIndex:
-        blocks = -(-size // BLOCK)
-        held = np.bincount(words, minlength=many)
-        common = np.argsort(-held, kind="stable")[:COMMON]
-        common = common[held[common] * BLOCK >= size]
-        row = np.full(many, -1)
-        row[common] = np.arange(len(common))
-        matrix = np.zeros((len(common), blocks * BLOCK))
-        dense = row[words] >= 0
-        matrix[row[words[dense]], examples[dense]] = weights[dense]
-        examples, words, weights = examples[~dense], words[~dense], weights[~dense]
         order = np.lexsort((examples, words))
-        examples, words, weights = examples[order].astype(np.int32), words[order], weights[order]
-        starts = np.flatnonzero(np.diff(words * (blocks + 1) + examples // BLOCK, prepend=-1))
-        most = np.maximum.reduceat(weights, starts) if len(starts) else np.zeros(0)
-        word = np.searchsorted(words[starts], np.arange(many + 1))
-        return cls(row, matrix, examples, weights, np.append(starts, len(words)), (examples[starts] // BLOCK).astype(np.int32), most, word)
+        return cls(examples[order].astype(np.int32), np.searchsorted(words[order], np.arange(many + 1)), weights[order], size)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query (words, weights) the k nearest examples with a cosine above 0, and the cosines.
@@ -129,28 +136,25 @@ class BlockMaxIndex:
 
     def _best(self, score: np.ndarray, words: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """``score`` holds the common words' share of the cosines."""
-        sizes = self.word[words + 1] - self.word[words]
-        runs = _runs(self.word[words], sizes)
-        own, block = np.repeat(weights, sizes), self.block[runs]
         by_block = score.reshape(-1, BLOCK)
-        bounds = by_block.max(1) + np.bincount(block, own * self.most[runs], minlength=len(by_block))
-        # the common words' share alone is a floor of each cosine
-        least = max(np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0, 0.0)
+        highest = by_block.max(1)
+        bounds = highest + (weights * self.unit) @ self.most[words]
+        # the common words' share alone is a floor of each cosine, and as many blocks as asked for hold one each
+        least = max(np.partition(highest, len(highest) - k)[len(highest) - k] if len(highest) > k else 0.0, 0.0)
         order = np.argsort(-bounds, kind="stable")
-        order = order[: np.count_nonzero((bounds > 0) & (bounds >= least - SLIP))]
-        turn = np.full(len(bounds), len(bounds), np.int32)
-        turn[order] = np.arange(len(order))
-        turn = turn[block]
         found, best = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 8
-        while at < len(order) and bounds[order[at]] >= least - SLIP:
-            chosen = np.flatnonzero((turn >= at) & (turn < at + step))  # runs of the next blocks
-            some = runs[chosen]
-            lengths = self.first[some + 1] - self.first[some]
-            postings = _runs(self.first[some], lengths)
-            score += np.bincount(self.example[postings], self.weight[postings] * np.repeat(own[chosen], lengths), minlength=len(score))
-            group = order[at : at + step]
-            at, step = at + step, step * 4
+        at, step = 0, FIRST
+        while at < len(order):
+            within = np.count_nonzero(bounds[order[at : at + step]] >= max(least - SLIP, SLIP))
+            if not within:
+                break
+            group = np.sort(order[at : at + within])
+            at, step = at + within, len(order)
+            starts = self.first[words[:, None], group].ravel()
+            sizes = self.first[words[:, None], group + 1].ravel() - starts
+            postings = _runs(starts, sizes)
+            own = np.repeat(np.repeat(weights, len(group)), sizes)
+            score += np.bincount(self.example[postings], self.weight[postings] * own, minlength=len(score))
             held = by_block[group]
             place, inside = np.nonzero(held >= max(least - SLIP, SLIP))
             found, best = np.concatenate([found, group[place] * BLOCK + inside]), np.concatenate([best, held[place, inside]])
@@ -171,7 +175,8 @@ class Model:
     index: BlockMaxIndex
     toxic: np.ndarray  # of each example
     example_ids: list
-    example_words: list[np.ndarray]
+    example_words: np.ndarray  # of all examples, end to end
+    cuts: np.ndarray  # where each example's begin
     base: float
     weight: tuple[float, float]  # of an example with label 0 and 1
     curve: tuple[float, float] = (1.0, 0.0)
@@ -229,13 +234,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     usable = training_labels(labels)
     totals = dict(usable.groupBy("toxic").count().collect())
     base = totals.get(1, 0) / max(1, sum(totals.values()))
-    found = _examples(docs, usable, examples).toPandas()  # the documented bound
-    toxic = found["toxic"].to_numpy(np.int64)
+    found = _examples(docs, usable, examples).toArrow()  # the documented bound
+    toxic = found["toxic"].to_numpy().astype(np.int64)
     if not 0 < toxic.sum() < len(toxic):
-        return Model({}, np.zeros(0), _NONE, np.zeros(0), [], [], base, (1.0, 1.0))
+        return Model({}, np.zeros(0), _NONE, np.zeros(0), [], np.zeros(0, np.int32), np.zeros(1, np.int64), base, (1.0, 1.0))
     words: dict[bytes, int] = {}
     for text in found["text"]:
-        for w in words_of(text):
+        for w in words_of(text.as_py()):
             words.setdefault(w, len(words))
     shared = docs.sparkSession.sparkContext.broadcast(words)  # bounded by SAMPLE_BYTES
 
@@ -244,41 +249,49 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         held = np.zeros(len(known), np.int64)
         for batch in slices(batches):
             for text in texts(batch.column("text")):
-                held[[known[w] for w in set(words_of(text)) if w in known]] += 1
+                own = set(words_of(text))
+                place = np.fromiter(map(known.get, own, repeat(-1)), np.int64, len(own))
+                held[place[place >= 0]] += 1
             rows += batch.num_rows
         place = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(place, -1)), pa.array(np.append(held[place], rows))], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(frequency, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    number, n = counts["word"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    counts = docs.select("text").mapInArrow(frequency, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    number, n = counts["word"].to_numpy(), counts["n"].to_numpy()
     held, rows = np.zeros(len(words)), int(n[number < 0].sum())
     held[number[number >= 0]] = n[number >= 0]
-    return _assemble(found["h"].to_numpy(), found["doc_id"].tolist(), toxic, found["text"].tolist(), words, held, rows, base)
+    shared.destroy()
+    return _assemble(found["h"].to_numpy(), found["doc_id"].to_pylist(), toxic, found["text"].to_pylist(), words, held, rows, base)
 
 
 def _assemble(h: np.ndarray, ids: list, toxic: np.ndarray, held_texts: list[str], words: dict[bytes, int], held: np.ndarray, rows: int, base: float) -> Model:
     """Weights, index and calibration from the examples and the words' document frequencies."""
-    own = [counted(words, t) for t in held_texts]
-    inside = np.zeros((2, len(words)))
-    for (found, _), y in zip(own, toxic, strict=True):
-        inside[y, found] += 1
-    log_odds = np.log((inside[1] + 0.5) / (toxic.sum() + 1)) - np.log((inside[0] + 0.5) / (len(toxic) - toxic.sum() + 1))
-    error = np.sqrt(1 / (inside[1] + 0.5) + 1 / (inside[0] + 0.5))
+    pairs = [counted(words, t) for t in held_texts]
+    sizes = np.array([len(f) for f, _ in pairs], np.int64)
+    flat, many = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
+    del pairs
+    label = np.repeat(toxic, sizes)
+    inside = [np.bincount(flat[label == y], minlength=len(words)) + 0.5 for y in (0, 1)]
+    log_odds = np.log(inside[1] / (toxic.sum() + 1)) - np.log(inside[0] / (len(toxic) - toxic.sum() + 1))
+    error = np.sqrt(1 / inside[1] + 1 / inside[0])
     worth = (np.log((rows + 1) / (held + 1)) + 0.01) * np.log2(2 + np.exp(log_odds - error)) ** LEAN
+    weights = (1 + np.log(many)) * worth[flat]
     # examples that share their commonest word (of one language, mostly) and their weightiest one share
     # blocks, so that a block's maxima say much about its examples
-    common = [f[held[f].argmax()] if len(f) else -1 for f, _ in own]
-    heavy = [f[((1 + np.log(n)) * worth[f]).argmax()] if len(f) else -1 for f, n in own]
+    own = [slice(e - n, e) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+    common, heavy = ([flat[s][by[s].argmax()] if s.start < s.stop else -1 for s in own] for by in (held[flat], weights))
     order = np.lexsort((h, heavy, toxic, common))
-    own, toxic = [own[i] for i in order], toxic[order]
+    run = _runs(np.cumsum(sizes)[order] - sizes[order], sizes[order])
+    flat, weights, sizes, toxic = flat[run], weights[run], sizes[order], toxic[order]
+    place = np.repeat(np.arange(len(sizes)), sizes)
+    weights /= np.sqrt(np.bincount(place, weights**2, minlength=len(sizes)))[place]
     share = toxic.mean()
     weight = ((1 - base) / max(1 - share, 1e-9), base / max(share, 1e-9))
-    model = Model(words, worth, _NONE, toxic, [ids[i] for i in order], [f for f, _ in own], base, weight)
-    vectors = [model.vector(f, n) for f, n in own]
-    place = np.repeat(np.arange(len(own)), [len(f) for f, _ in own])
-    model.index = BlockMaxIndex.build(place, np.concatenate([f for f, _ in own]), np.concatenate(vectors), len(own), len(words))
-    asked = list(zip(model.example_words, vectors, strict=True))
-    votes = np.array([model.vote(*near) for near in model.index.nearest(asked, NEIGHBOURS, without=0)])
+    index = BlockMaxIndex.build(place, flat, weights, len(sizes), len(words))
+    cuts = np.append(0, np.cumsum(sizes))
+    model = Model(words, worth, index, toxic, [ids[i] for i in order], flat.astype(np.int32), cuts, base, weight)
+    asked = [(flat[a:b], weights[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    votes = np.array([model.vote(*near) for near in index.nearest(asked, NEIGHBOURS, without=0)])
     model.curve = _fit_curve(votes, toxic, np.where(toxic == 1, weight[1], weight[0]))
     return model
 
@@ -311,7 +324,7 @@ class Scorer:
 
     def _judged(self, words: np.ndarray, weights: np.ndarray, examples: np.ndarray, cosines: np.ndarray) -> tuple:
         own = self.model
-        other = own.example_words[examples[0]]
+        other = own.example_words[own.cuts[examples[0]] : own.cuts[examples[0] + 1]]
         met = other[np.minimum(np.searchsorted(other, words), len(other) - 1)] == words
         most = words[met][np.argsort(-weights[met], kind="stable")[:EVIDENCE]]
         shown = b" ".join(self.spelled[w] for w in most).decode()
