@@ -1,15 +1,17 @@
 """URL filters as a sort-merge range join, in DataFrame operations only.
 
 A rule ``host/path`` fits its host, all subdomains, and every path that starts with its path.
-Written with its labels reversed, a host is followed by all its subdomains, so a rule is an
-interval of canonical keys (reversed host, path). A URL has one key for each depth of labels at
-which rules exist; rules and keys are sorted together, and a sweep carries the stack of the
-nested rules that were open at the last rule's start. A rule that is open at a key is a prefix
-of it, and all rules between are nested in it, so the open rules are those of the stack that
-are prefixes of the key. The longest of all depths wins.
+Written with its labels reversed, a host is followed by all its subdomains, so the hosts that a
+rule's host covers are one interval of canonical keys, and so are the paths that its path covers.
+Two sweeps find the rules. In the first, URLs and rules' hosts are sorted together by reversed host;
+the sweep keeps the stack of nested rule hosts that were open at the last one's start. A URL's rule
+hosts are those of the stack that are still open: prefixes of its own. In the second, each URL under
+each of its rule hosts is sorted by path with that host's rules, and the stack holds nested paths.
+The longest rule of all wins.
 
-Keys of one reversed host may be most of the table ("com"). They are salted into groups of at
-least 16 times the host's rules, with the host's rules in each: rules add a sixteenth at most.
+A sweep is dealt by ranges of the sorted keys, so a host or rule of any size is so many ranges:
+each range is swept by itself and starts with the stack that the ranges before hand on. Stacks are
+made on the rules' side alone.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no
 rule; A-Z in hosts are lowered; repeated rows each get their verdict; a rule given twice with
@@ -25,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from spanloom.llm.common import checkpoint
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LEAST_GROUP = 256
-SPREAD = 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -38,67 +40,77 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def reversed_host(labels: Column) -> Column:
-    return F.array_join(F.reverse(labels), ".")
+def reversed_host(host: Column) -> Column:
+    """Labels from the last to the first, each with a full stop behind it."""
+    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit("."))
+
 
+def _prefixes(value: Column, end: str) -> Column:
+    """All prefixes of a text that end in ``end``, or all of them if that is empty."""
+    lengths = F.sequence(F.lit(0), F.length(value))
+    cut = F.transform(lengths, lambda n: F.substring(value, F.lit(1), n))
+    return F.filter(cut, lambda p: F.endswith(p, F.lit(end)) & (p != "")) if end else cut
 
-def _stacks(rules: DataFrame) -> DataFrame:
-    """rev, path, stack: for each rule's start the rules that are open there, outermost first."""
-    clean = (
+
+def _clean(rules: DataFrame) -> DataFrame:
+    """rev, path, rule, reach, verdict: each rule once."""
+    return (
         rules.where("host is not null and host <> ''")
         .select(F.translate("host", UPPER, UPPER.lower()).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
         .groupBy("host", "path")
         .agg(F.max(F.struct((F.col("verdict") == "block").alias("blocks"), "verdict"))["verdict"].alias("verdict"))
-        .withColumn("rev", reversed_host(F.split("host", "\\.")))
-    )
-    starts = clean.select(
-        "rev", "path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("part")
+        .select(reversed_host(F.col("host")).alias("rev"), "path", F.concat("host", "path").alias("rule"), F.length("path").alias("reach"), "verdict")
     )
-    rule = F.struct(F.length("part").alias("reach"), F.col("part").alias("path"), F.concat("host", "part").alias("rule"), "verdict")
-    outer = clean.select("rev", F.col("path").alias("part"), "host", "verdict")
-    return starts.join(outer, ["rev", "part"]).groupBy("rev", "path").agg(F.array_sort(F.collect_list(rule)).alias("stack"))
+
+
+def _host_stacks(clean: DataFrame) -> DataFrame:
+    """rev, stack: for each rule host the rule hosts that are open at its start, outermost first."""
+    hosts = clean.select("rev").distinct()
+    below = hosts.select("rev", F.explode(_prefixes(F.col("rev"), ".")).alias("outer"))
+    met = below.join(hosts.select(F.col("rev").alias("outer")), "outer")
+    return met.groupBy("rev").agg(F.array_sort(F.collect_list("outer")).alias("stack"))  # a prefix sorts first
+
+
+def _path_stacks(clean: DataFrame) -> DataFrame:
+    """rev, path, stack: for each rule's start the rules of its host that are open there, outermost first."""
+    rule = F.struct("reach", "part", "rule", "verdict", "rev")
+    below = clean.select("rev", "path", F.explode(_prefixes(F.col("path"), "")).alias("part"))
+    met = below.join(clean.withColumnRenamed("path", "part"), ["rev", "part"])
+    return met.groupBy("rev", "path").agg(F.array_sort(F.collect_list(rule)).alias("stack"))
+
+
+def _swept(urls: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """The URLs with the stack of the last start at or before each, in the order of ``keys``."""
+    both = urls.withColumn("is_url", F.lit(1)).unionByName(starts.withColumn("is_url", F.lit(0)), allowMissingColumns=True)
+    order = [*keys, "is_url"]
+    # ranges are numbered once and for all: the sweep and what is handed on must see the same ones
+    dealt = checkpoint(both.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    ends = dealt.where("is_url = 0").groupBy("range").agg(F.max_by("stack", F.struct(*keys)).alias("end"))
+    ranges = dealt.select("range").distinct().join(ends, "range", "left")  # one row for each range
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ranges.select("range", F.last("end", ignorenulls=True).over(before).alias("handed"))
+    sweep = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.withColumn("here", F.last("stack", ignorenulls=True).over(sweep)).where("is_url = 1")
+    return swept.join(F.broadcast(handed), "range").withColumn("stack", F.coalesce("here", "handed")).drop("range", "here", "handed", "is_url")
 
 
 def judge_urls(rows: DataFrame, url: str, rules: DataFrame, keep: list[str], default: str = "allow") -> DataFrame:
     """``keep`` columns with host, path, rule and verdict of each row's URL."""
     host, path = host_and_path(F.col(url))
     split = rows.select(*keep, host.alias("_host"), path.alias("_path"))
-    stacks = _stacks(rules)
-    hosts = stacks.groupBy("rev").agg(F.count("*").alias("rules"))
-    depths = stacks.agg(F.collect_set(F.size(F.split("rev", "\\."))).alias("d")).first()["d"]  # as many as labels in a name
-
-    labels = F.split("_host", "\\.")
-    keys = split.select("_host", "_path").distinct().withColumn("labels", labels)
-    depth = F.explode(F.filter(F.array(*[F.lit(d) for d in sorted(depths)]).cast("array<int>"), lambda d: d <= F.size("labels")))
-    keys = keys.withColumn("depth", depth).select(
-        "_host", "_path", reversed_host(F.slice("labels", F.size("labels") - F.col("depth") + 1, F.col("depth"))).alias("rev")
-    )
-    # hosts' rows are copied SPREAD times, so that the keys of one reversed host meet them in as many tasks
-    spread = F.pmod(F.xxhash64("_host", "_path"), F.lit(SPREAD)).cast("int").alias("spread")
-    copied = lambda small: small.withColumn("spread", F.explode(F.array(*[F.lit(k) for k in range(SPREAD)])))
-    keys = keys.select("*", spread).join(copied(hosts.select("rev")), ["rev", "spread"], "left_semi")
-    # how many groups each reversed host's keys are dealt into
-    dealt = (
-        keys.groupBy("rev").agg(F.count("*").alias("n")).join(hosts, "rev")
-        .select("rev", F.ceil(F.col("n") / F.greatest(F.lit(LEAST_GROUP), 16 * F.col("rules"))).alias("salts"))
-    )
-    urls = keys.join(copied(dealt), ["rev", "spread"]).select(
-        "rev", F.pmod(F.xxhash64("_host", "_path"), F.col("salts")).alias("salt"), F.col("_path").alias("at"), F.lit(1).alias("kind"),
-        F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"), "_host",
-    )
-    opens = stacks.join(dealt, "rev").select(
-        "rev", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("path").alias("at"),
-        F.lit(0).alias("kind"), "stack", F.lit(None).cast("string").alias("_host"),
-    )
-    sweep = Window.partitionBy("rev", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = urls.unionByName(opens).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
-    inner = F.try_element_at(F.filter("stack", lambda r: F.startswith(F.col("at"), r["path"])), F.lit(-1))
+    clean = checkpoint(_clean(rules))
+    urls = split.where("_host <> ''").select("_host", F.col("_path").alias("path")).distinct()
+    hosts = _swept(urls.withColumn("rev", reversed_host(F.col("_host"))), _host_stacks(clean), ["rev"])
+    open_ = F.explode(F.filter("stack", lambda r: F.startswith(F.col("rev"), r)))
+    under = hosts.select("_host", "path", open_.alias("outer")).select("_host", "path", F.col("outer").alias("rev"))
+    paths = _swept(under, _path_stacks(clean), ["rev", "path"])
+    # the last start may be another host's, or its path may have ended
+    inner = F.try_element_at(F.filter("stack", lambda r: (r["rev"] == F.col("rev")) & F.startswith(F.col("path"), r["part"])), F.lit(-1))
     found = (
-        swept.withColumn("r", inner)
-        .where("r is not null")
-        .groupBy("_host", F.col("at").alias("_path"))
+        paths.withColumn("r", inner).where("r is not null")
+        .groupBy("_host", F.col("path").alias("_path"))
         .agg(F.max(F.struct(F.length("r.rule"), (F.length("r.rule") - F.col("r.reach")).alias("host_length"), "r.rule", "r.verdict")).alias("best"))
-    )
+    )
     judged = split.join(found, ["_host", "_path"], "left")
     return judged.select(
         *keep, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("best.rule").alias("rule"),

@@ -6,13 +6,13 @@ carry agrees: the entity tag (weak comparison), or else the last modification da
 headers are then updated by the revisit's, except for fields that describe the connection or
 the payload.
 
-The as-of join never gathers a URL's captures: captures of one URL and second are one point
-(pre-aggregated), points are swept in buckets of ``width`` seconds, which hold ``width`` points
-at most, and each bucket starts with the last response of the buckets before. A URL with a third
-of all records is so many buckets. Records move without their payloads.
+The as-of join never gathers a URL's captures: captures of one URL and microsecond are one point
+(pre-aggregated), points are swept in buckets of ``width`` seconds, and each bucket starts with the
+last response of the buckets before. A URL with a third of all records is so many buckets. Points
+move alone; the headers of the response found are joined last. Records move without their payloads.
 
-Defined results: only responses with status 200 are full; "earlier" is strictly earlier, in whole
-seconds; of responses in one second the one with the largest record id counts; a null URL, time
+Defined results: only responses with status 200 are full; "earlier" is strictly earlier, by the
+microsecond; of responses at one time the one with the largest record id counts; a null URL, time
 or record kind takes no part as a response, and such a revisit is ``no_earlier_response``; where
 no validator is shared the revisit is ``unverifiable``, where it differs ``validator_mismatch``;
 header names are compared in lower case, the last of two equal names counts; repeated revisits
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from spanloom.llm.common import checkpoint
 from spanloom.llm.url_rules import UPPER
 
 BUCKET = 86_400
@@ -71,43 +72,34 @@ def resolve_revisits(records: DataFrame, width: int = BUCKET) -> DataFrame:
     """record_id, url_key, seconds, outcome, target_id, target_seconds, payload_digest, headers.
 
     ``records``: record_id, kind (response or revisit), url, captured (timestamp), status,
-    headers (map), payload_digest.
+    headers (map), payload_digest. ``seconds`` are those of the time, cut to whole ones.
     """
     clean = records.select(
         "record_id", "kind", "status", canonical_url(F.col("url")).alias("url_key"), F.unix_timestamp("captured").alias("seconds"),
-        _lowered(F.col("headers")).alias("headers"), "payload_digest",
+        F.unix_micros("captured").alias("at"), _lowered(F.col("headers")).alias("headers"), "payload_digest",
     )
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    responses = (
-        clean.where(full & F.col("url_key").isNotNull() & F.col("seconds").isNotNull())
-        .groupBy("url_key", "seconds")
-        .agg(F.max_by(F.struct("record_id", "seconds", "payload_digest", "headers"), F.col("record_id")).alias("stored"))
+    timed = clean.where("url_key is not null and at is not null")
+    responses = timed.where(full).groupBy("url_key", "at").agg(
+        F.max_by(F.struct("record_id", "seconds", "payload_digest", "headers"), F.col("record_id")).alias("found")
     )
     revisits = clean.where("kind = 'revisit'")
-    asked = revisits.where("url_key is not null and seconds is not null").select("url_key", "seconds").distinct()
-    # one point for each URL and second; those that only ask have no response
+    # one point for each URL and time that a response or revisit has; headers stay behind until the end
     points = (
-        responses.unionByName(asked.withColumn("stored", F.lit(None).cast(responses.schema["stored"].dataType)))
-        .groupBy("url_key", "seconds")
-        .agg(F.first("stored", ignorenulls=True).alias("stored"))
-        .withColumn("bucket", F.floor(F.col("seconds") / width))
-    )
-    inside = Window.partitionBy("url_key", "bucket").orderBy("seconds").rowsBetween(Window.unboundedPreceding, -1)
+        timed.where(full | (F.col("kind") == "revisit")).groupBy("url_key", "at").agg(F.max(full).alias("full"))
+        .withColumn("stored", F.when(F.col("full"), F.col("at"))).withColumn("bucket", F.floor(F.col("at") / (width * 1_000_000)))
+    )
+    points = checkpoint(points.select("url_key", "at", "stored", "bucket"))
+    inside = Window.partitionBy("url_key", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     swept = points.withColumn("before", F.last("stored", ignorenulls=True).over(inside))
-    ends = points.where("stored is not null").groupBy("url_key", "bucket").agg(F.max_by("stored", "seconds").alias("end"))
     across = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        points.select("url_key", "bucket").distinct().join(ends, ["url_key", "bucket"], "left")
+        points.groupBy("url_key", "bucket").agg(F.max("stored").alias("end"))
         .withColumn("carried", F.last("end", ignorenulls=True).over(across)).drop("end")
     )
-    asof = (
-        swept.where("before is not null").select("url_key", "seconds", F.col("before").alias("found"))
-        .unionByName(
-            swept.where("before is null").join(carried.where("carried is not null"), ["url_key", "bucket"])
-            .select("url_key", "seconds", F.col("carried").alias("found"))
-        )
-    )
-    joined = revisits.join(asof, ["url_key", "seconds"], "left")
+    asof = swept.join(carried, ["url_key", "bucket"]).select("url_key", "at", F.coalesce("before", "carried").alias("found_at"))
+    met = revisits.join(asof.where("found_at is not null"), ["url_key", "at"], "left")
+    joined = met.join(responses.withColumnRenamed("at", "found_at"), ["url_key", "found_at"], "left")
     agree = _agree(F.col("headers"), F.col("found.headers"))
     outcome = (
         F.when(F.col("found").isNull(), "no_earlier_response")

@@ -541,6 +541,14 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisits_within_a_second(spark):
+    rows = [("a", "response", 10.2), ("b", "response", 10.25), ("c", "revisit", 10.9), ("d", "revisit", 10.25), ("e", "revisit", 10.2)]
+    schema = "record_id string, kind string, url string, t double, status int, headers map<string,string>, payload_digest string, found_at string, at string"
+    df = spark.createDataFrame([(i, k, "http://a.example/", t, 200 if k == "response" else 304, {"ETag": "x"}, i, "f", "a") for i, k, t in rows], schema)
+    found = warc.resolve_revisits(df.withColumn("captured", F.expr("timestamp_micros(cast(t * 1000000 as bigint))"))).collect()
+    assert {(r["record_id"], r["target_id"], r["seconds"]) for r in found} == {("c", "b", 10), ("d", "a", 10), ("e", None, 10)}
+
+
 def test_header_merge(spark):
     row = spark.createDataFrame([({"ETag": "a", "Content-Length": "9", "X": "1"}, {"x": "2", "content-length": "0", "Date": "d", "connection": "close"})], "s map<string,string>, r map<string,string>")
     merged = row.select(warc.merged_headers(warc._lowered(F.col("s")), warc._lowered(F.col("r"))).alias("m")).first()["m"]
