@@ -1,7 +1,7 @@
 """Packing of token sequences into windows by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised once, each followed by a separator id. Whole windows are cut off a
-document's front; the rest goes, in pieces of at most ``PIECE`` ids, into a block of windows
+document's front; the rest goes, in pieces of falling sizes (``piece``), into a block of windows
 that differencing balances: the two partial partitions with the largest spread merge with
 their sums in opposite order, until one partition is left. Its sums are near equal, so almost
 no window is padded. Where the largest sum exceeds the window, the block gets one more window.
@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 WINDOW = 1024
-PIECE = 128
+PIECE, LEAST_PIECE = 256, 4
 BLOCK = 64  # windows that are balanced together
-SLACK = 4  # ids a window of a full block leaves free, so that near-equal sums fit
+SLACK = 2  # ids a window of a full block leaves free on average, so that near-equal sums fit
 SEPARATOR = 0
 
 SCHEMA = (
@@ -83,13 +83,18 @@ def padded(length: int, window: int = WINDOW) -> int:
     return length if length & (length - 1) == 0 else window
 
 
+def piece(left: int) -> int:
+    """Ids of the next piece: two thirds of those left. Sizes of all kinds are what differencing evens out."""
+    return min(PIECE, left, max(LEAST_PIECE, -(-2 * left // 3)))
+
+
 class Encoder:
     """Ids of byte_bpe_50k for batches of texts; each distinct chunk of a batch is encoded once.
 
     A blank between two non-blanks always begins a pre-token, so a text may be cut there and its
     chunks encoded one by one. Chunks of Latin letters and ASCII go through the ranked form of the
     same vocabulary, which is several times faster and gives the same ids; all others go through
-    the JSON form. Strings of special tokens in a text are ordinary text.
+    the JSON form. A text that holds the string of a special token goes through the JSON form whole.
     """
 
     def __init__(self, json_name: str = "byte_bpe_50k.json", ranks_name: str = "byte_bpe_50k.tiktoken"):
@@ -99,7 +104,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(public_tokenizers.path(json_name))
-        self.exact.encode_special_tokens = True
+        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         with open(public_tokenizers.path(ranks_name), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(
@@ -161,8 +166,14 @@ class Encoder:
         usable = distinct.filter(pa.array(~edged))
         ids, start, count = np.zeros(0, np.uint32), np.zeros(len(edged), np.int64), np.zeros(len(edged), np.int64)
         ids, start[~edged], count[~edged] = self._distinct(usable)
+        special = np.zeros(len(column), bool)
+        for token in self.special:
+            special |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
         for k in range(len(column)):
             own = word[offsets[k] : offsets[k + 1]]
+            if special[k]:
+                yield np.array(self.exact.encode(column[k].as_py(), add_special_tokens=False).ids, np.uint32)
+                continue
             if len(own) < 2 or edged[own].any():
                 text = column[k].as_py()
                 yield self._careful(text) if text else np.zeros(0, np.uint32)
@@ -213,7 +224,7 @@ class _Packer:
             self.next_id += 1
             at += self.window
         while at < tokens:
-            length = min(PIECE, tokens - at, self.room - self.total)
+            length = min(piece(tokens - at), self.room - self.total)
             self.pieces.append((doc_id, at, length, crc(at, length), tokens))
             self.total += length
             at += length

@@ -74,17 +74,30 @@ def test_differencing():
     assert kk_packing.balance([600, 600, 600], 1024) == [[0], [1], [2]] or len(kk_packing.balance([600, 600, 600], 1024)) == 3
 
 
+def test_full_blocks_need_no_more_windows():
+    """Blocks of document tails fill their windows but for a thousandth."""
+    rng = random.Random(4)
+    room = kk_packing.BLOCK * (1024 - kk_packing.SLACK)
+    for shape in (lambda: int(rng.lognormvariate(6, 1.2)) % 1024 + 1, lambda: 700, lambda: rng.choice((3, 1023))):
+        for _ in range(4):
+            sizes, left = [], 0
+            while sum(sizes) < room:
+                left = left or shape()
+                sizes.append(min(kk_packing.piece(left), room - sum(sizes)))
+                left -= sizes[-1]
+            assert len(kk_packing.balance(sizes)) == kk_packing.BLOCK
+
+
 def test_packed_ids_are_whole(spark):
     pytest.importorskip("public_tokenizers")
     import public_tokenizers
     from tokenizers import Tokenizer
 
     rng = random.Random(3)
-    odd = ["  a  b", "a \n b", " lead", "trail ", "x  y z", "a\x1c b c", "don't we'll 12 3.4", "<|endoftext|> is text"]
+    odd = ["  a  b", "a \n b", " lead", "trail ", "x  y z", "a\x1c b c", "don't we'll 12 3.4", "<|endoftext|> is text", "in a <|endoftext|>line", "<|endoftext|>" * 3]
     rows = [*EDGES, *((200 + k, t) for k, t in enumerate(odd)), *((300 + k, " ".join(rng.choice(["thonen", "of", "the,", "Reé."]) for _ in range(rng.randint(1, 900)))) for k in range(80))]
     found = kk_packing.pack(docs(spark, *rows).coalesce(2)).collect()
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     ids = [np.array([*exact.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for _, t in rows]
     pieces, sequences = {}, {}
     for r in found:
