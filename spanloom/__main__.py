@@ -5,12 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
 from spanloom.api import Lineage
 from spanloom.operators.report import gate_failed
+from spanloom.sources.events import read_written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,12 +46,12 @@ def run(lineage: Lineage, args: argparse.Namespace) -> int:
     """1 if a gate fails or an attestation is not valid; 0 otherwise, also for unknown files."""
     match args.command:
         case "hook":
-            path = args.path
-            if path is None:
-                with tempfile.NamedTemporaryFile("w", suffix=".jsonl", delete=False) as lines:
-                    lines.write(sys.stdin.read())
-                path = lines.name
-            print(json.dumps(lineage.capture(path)))
+            given = args.path
+            if given is None:  # events of this machine: a write is as its file stands now
+                lines = read_written([x for x in sys.stdin.read().splitlines() if x.strip()])
+                rows = [(*r, k) for k, r in enumerate(lines)]
+                given = lineage.spark.createDataFrame(rows, "raw string, resolved_content string, seq bigint")
+            print(json.dumps(lineage.capture(given)))
         case "status":
             print(json.dumps(lineage.status()))
         case "sources":

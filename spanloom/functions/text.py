@@ -85,5 +85,10 @@ def first_match(text: Column, find: Column) -> Column:
     return F.instr(text, find) > 0
 
 
+def padded(text: Column, width: int) -> Column:
+    """Filled up with blanks to a width; longer texts stay as they are."""
+    return F.when(F.length(text) < width, F.rpad(text, width, " ")).otherwise(text)
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"([^.]*)$", 1)

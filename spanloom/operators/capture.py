@@ -36,11 +36,12 @@ def route(events: DataFrame, raw: str = "raw", generator: str = "agent") -> Data
     event = parsed.select(
         *kept, F.coalesce("_e.session_id", F.lit("unknown")).alias("session_id"), F.col("_e.tool_name").alias("_tool"),
         F.col("_e.hook_event_name").alias("_name"), text("prompt").alias("_prompt"),
-        F.coalesce("_e.tool_input.file_path", "_e.tool_input.path", F.lit("")).alias("_path"), F.col("_e.tool_input.url").alias("_url"),
+        text("tool_input.file_path").alias("_file"), F.coalesce("_e.tool_input.file_path", "_e.tool_input.path", F.lit("")).alias("_path"),
+        F.col("_e.tool_input.url").alias("_url"),
         text("tool_input.pattern").alias("_pattern"), written.alias("_written"),
         text_of(F.try_variant_get("_v", "$.tool_response", "variant"), F.col("_e.tool_response")).alias("_answer"),
     )
-    tool, name, prompt, path, answer = (F.col(c) for c in ("_tool", "_name", "_prompt", "_path", "_answer"))
+    tool, name, prompt, file, path, answer = (F.col(c) for c in ("_tool", "_name", "_prompt", "_file", "_path", "_answer"))
     searching = tool.isin(*SEARCH_TOOLS) | F.startswith(tool, F.lit("mcp__"))
 
     def row(target: str, uri: Column, kind: str | None, content: Column) -> Column:
@@ -50,7 +51,7 @@ def route(events: DataFrame, raw: str = "raw", generator: str = "agent") -> Data
     rules = (
         F.when((name == "UserPromptSubmit") & (prompt != ""), row("source", F.lit("user"), "user_msg", prompt))
         .when(tool.isin(*WRITE_TOOLS), F.when((path != "") & (F.col("_written") != ""), row("artifact", path, None, F.col("_written"))))
-        .when(tool == "Read", F.when((path != "") & (answer != ""), row("source", path, "file", answer)))
+        .when(tool == "Read", F.when((file != "") & (answer != ""), row("source", file, "file", answer)))  # a path is none
         .when(tool == "WebFetch", F.when(answer != "", row("source", F.coalesce("_url", F.lit("web")), "web", answer)))
         .when(searching, F.when(utf16_length(answer) > LEAST_RESULT, row("source", search_uri, "tool_result", answer)))
     )

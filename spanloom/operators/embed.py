@@ -8,11 +8,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.numeric import dot
-from spanloom.functions.text import bag_tokens
+from spanloom.functions.text import bag_tokens, content_hash
+from spanloom.operators import blocks
 
 VECTORS = "content_hash string, vec array<float>"
 WIDTH = 384
@@ -63,11 +63,25 @@ class ModelEmbedder:
         return texts.select("content_hash", "text").mapInPandas(embed, VECTORS)
 
 
+class ColumnEmbedder:
+    """Vectors that are an expression over ``text``."""
+
+    def __init__(self, vec: Column):
+        self.vec = vec
+
+    def transform(self, texts: DataFrame) -> DataFrame:
+        return texts.select("content_hash", self.vec.cast("array<float>").alias("vec"))
+
+
 def dense_scores(
-    spans: DataFrame, chunks: DataFrame, vectors: DataFrame, scope: list[str], span_key: list[str], chunk_key: list[str]
-) -> DataFrame:
-    """scope, span_key, chunk_key, sim of all spans and chunks of one scope, by the inner product of their vectors."""
-    hashed = lambda df, text, vec: df.withColumn("content_hash", F.sha2(text, 256)).join(vectors.withColumnRenamed("vec", vec), "content_hash").drop("content_hash")
-    left = hashed(spans, "text", "_a").select(*scope, *span_key, "_a")
-    right = hashed(chunks, "chunk", "_b").select(*scope, *chunk_key, "_b")
-    return left.join(right, scope).select(*scope, *span_key, *chunk_key, dot(F.col("_a"), F.col("_b")).alias("sim"))
+    spans: DataFrame, chunks: DataFrame, vectors: DataFrame, scope: list[str], span_key: list[str], chunk_key: list[str],
+    uri: str = "uri", order: tuple[str, ...] = ("uri_ord", "chunk_ord"),
+) -> DataFrame:
+    """scope, span_key, chunk_key, sim by the inner product of vectors: each span's best chunks of each uri.
+
+    All spans and chunks of a scope are compared, block by block; of each pair of blocks the best is kept.
+    """
+    hashed = lambda df, text: df.withColumn("content_hash", content_hash(F.col(text))).join(vectors, "content_hash")
+    left = hashed(spans, "text").select(*scope, *span_key, "vec")
+    right = hashed(chunks, "chunk").select(*scope, *chunk_key, "vec")
+    return blocks.products(left, right, scope, span_key, chunk_key, "vec", uri, order)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from spanloom.functions.numeric import f1, ratio
-from spanloom.functions.text import first_match
+from spanloom.functions.text import first_match, padded
 from spanloom.schema import FLOOR, HIGH, LOW, ORACLE_K
 
 UNGROUNDED = "UNGROUNDED"
@@ -89,6 +89,30 @@ def scored_by_judges(records: DataFrame, judges: dict[str, Column], by: list[str
     return confusion(rows.withColumn("model", F.col("_j.model")), predicted, F.col("source") == F.col("expected"), [*by, "model"])
 
 
+def with_truth(spans: DataFrame, truth: DataFrame, name: str = "name", default: str = "?") -> DataFrame:
+    """Adds ``expected`` by a map of names (name, expected); the default where it has none."""
+    return spans.join(truth.select(name, "expected"), name, "left").withColumn("expected", F.coalesce("expected", F.lit(default)))
+
+
+def live(test: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
+    """The test's records with live_status and live_source of a judge's results; ungrounded where it has none.
+
+    ``results`` (key, status, source) may hold more than the test: only those the test asks for are read.
+    """
+    asked = results.join(test.select(*key).distinct(), key, "left_semi")
+    first = asked.groupBy(*key).agg(F.min_by(F.struct("status", "source"), F.struct("status", "source")).alias("_v"))
+    found = test.join(first, key, "left")
+    return found.withColumns({"live_status": F.coalesce("_v.status", F.lit("ungrounded")), "live_source": F.col("_v.source")}).drop("_v")
+
+
+def live_lines(records: DataFrame, find: str) -> DataFrame:
+    """Adds the report's line of each live record: what was looked for, its status, and whether that is right."""
+    grounded, truth = F.col("live_status") == "grounded", F.col("expected") != UNGROUNDED
+    right = F.when(F.col("live_source") == F.col("expected"), "right").otherwise("wrong source")
+    mark = F.when(truth, F.when(grounded, right).otherwise("missed")).otherwise(F.when(grounded, "false attribution").otherwise("right"))
+    return records.withColumn("line", F.concat_ws(" ", padded(F.col(find), 20), padded(F.col("live_status"), 11), mark))
+
+
 def languages(labels: DataFrame, path: str = "path") -> DataFrame:
     """The number of distinct file extensions."""
     from spanloom.functions.text import extension

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACING_S, MOST_RETRIES, BACKOFF_S, MOST_BACKOFF_S = 4.5, 4, 4.0, 40.0
+AFTER_S = 0.5  # beyond the delay that a server names
 
 
 class Judge(Protocol):
@@ -54,6 +55,12 @@ class ColumnJudge:
         return pairs.withColumns({"derived": self.derived, "evidence": evidence, "judge_available": F.lit(True)})
 
 
+def choose(transports: dict[str, Callable[[str], str]], forced: str | None = None, **options) -> Judge:
+    """The judge of the forced service, else of the first one there is; without any, none is available."""
+    name = forced if forced is not None else next(iter(transports), None)
+    return CallableJudge(transports[name], **options) if name in transports else NoJudge()
+
+
 class RateLimited(Exception):
     """Raised by a transport that should be asked again; ``after`` seconds, if the server says so."""
 
@@ -81,7 +88,8 @@ def ask(transport: Callable[[str], str], question: str, sleep: Callable[[float],
         except RateLimited as limit:
             if limit.daily or attempt == MOST_RETRIES:
                 break
-            sleep(limit.after if limit.after is not None else min(2**attempt * BACKOFF_S, MOST_BACKOFF_S))
+            backoff = min(2**attempt * BACKOFF_S, MOST_BACKOFF_S)
+            sleep(backoff if limit.after is None else max(backoff, limit.after + AFTER_S))
         except Exception:
             break
     return False, "", False
@@ -110,4 +118,4 @@ class CallableJudge:
 
         kinds = {"derived": T.BooleanType(), "evidence": T.StringType(), "judge_available": T.BooleanType()}
         schema = T.StructType([*pairs.schema.fields, *(T.StructField(n, t) for n, t in kinds.items())])
-        return pairs.coalesce(self.partitions).mapInPandas(judge, schema)
+        return pairs.repartition(self.partitions).mapInPandas(judge, schema)

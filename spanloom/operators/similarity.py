@@ -2,44 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from spanloom.functions.text import bag_tokens, content_hash
+from spanloom.operators import blocks
 from spanloom.schema import TOP_CANDIDATES
 
-QUERY_BLOCK = 4096  # dense queries held at once: a bound of what is broadcast
 
+def _held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once for each row: behind a generator it is not copied into the lambdas that read it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
-def token_vectors(texts: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key, token, n: whole-number counts, so sums don't depend on their order."""
-    tokens = texts.select(*key, F.explode(bag_tokens(F.col(text))).alias("token"))
-    return tokens.groupBy(*key, "token").agg(F.count("*").alias("n"))
+
+def token_bags(texts: DataFrame, text: str, bag: str = "bag") -> DataFrame:
+    """Adds a text's tokens as an array of (token, n). Each row counts its own: nothing is shuffled."""
+    tokens = _held(texts, "_s", F.sort_array(bag_tokens(F.col(text))))
+    # where each run of equal tokens begins
+    begins = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    runs = _held(tokens, "_at", F.when(F.size("_s") > 0, begins).otherwise(F.array().cast("array<int>")))
+    counted = F.transform(
+        "_at", lambda i, k: F.struct(F.get("_s", i).alias("token"), (F.coalesce(F.get("_at", k + 1), F.size("_s")) - i).cast("bigint").alias("n"))
+    )
+    return _held(runs, bag, counted).drop("_s", "_at")
 
 
-def squared_norms(vectors: DataFrame, key: list[str]) -> DataFrame:
-    return vectors.groupBy(*key).agg(F.sum(F.col("n") * F.col("n")).alias("norm"))
+def squared_norm(bag: str = "bag") -> Column:
+    return F.aggregate(bag, F.lit(0).cast("bigint"), lambda s, t: s + t["n"] * t["n"])
+
+
+def token_vectors(texts: DataFrame, key: list[str], text: str) -> DataFrame:
+    """key, token, n: whole-number counts, so sums don't depend on their order."""
+    return token_bags(texts.select(*key, text), text).select(*key, F.explode("bag").alias("t")).select(*key, "t.*")
 
 
 def sparse_scores(spans: DataFrame, chunks: DataFrame, scope: list[str], span_key: list[str], chunk_key: list[str]) -> DataFrame:
     """scope, span_key, chunk_key, sim of pairs that share a token: an equi-join on scope and token.
 
     ``spans`` has scope, span_key, text; ``chunks`` has scope, chunk_key, chunk. Pairs that share
-    no token have similarity 0 and are not made.
+    no token have similarity 0 and are not made. Norms travel with the tokens, texts stay behind;
+    a token that many spans or chunks hold is split by the adaptive skew join.
     """
-    left = token_vectors(spans, [*scope, *span_key], "text")
-    right = token_vectors(chunks, [*scope, *chunk_key], "chunk").withColumnRenamed("n", "m")
-    dots = left.join(right, [*scope, "token"]).groupBy(*scope, *span_key, *chunk_key).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    spans_n = squared_norms(left, [*scope, *span_key]).withColumnRenamed("norm", "a")
-    chunks_n = squared_norms(right.withColumnRenamed("m", "n"), [*scope, *chunk_key]).withColumnRenamed("norm", "b")
+    a = token_bags(spans.select(*scope, *span_key, "text"), "text").withColumn("a", squared_norm())
+    b = token_bags(chunks.select(*scope, *chunk_key, "chunk"), "chunk").withColumn("b", squared_norm())
+    left = a.select(*scope, *span_key, "a", F.explode("bag").alias("t")).select(*scope, *span_key, "a", "t.*")
+    right = b.select(*scope, *chunk_key, "b", F.explode("bag").alias("t")).select(*scope, *chunk_key, "b", "t.token", F.col("t.n").alias("m"))
+    dots = left.join(right, [*scope, "token"]).groupBy(*scope, *span_key, *chunk_key, "a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
     sim = F.col("dot") / F.sqrt(F.col("a").cast("double") * F.col("b").cast("double"))
-    joined = dots.join(spans_n, [*scope, *span_key]).join(chunks_n, [*scope, *chunk_key])
-    return joined.select(*scope, *span_key, *chunk_key, sim.alias("sim"))
+    return dots.select(*scope, *span_key, *chunk_key, sim.alias("sim"))
 
 
 def best_per_source(scores: DataFrame, span_key: list[str], uri: str = "uri", order: tuple[str, ...] = ("cand_ord",)) -> DataFrame:
@@ -87,50 +98,13 @@ def dense_best(
     queries: DataFrame, pool: DataFrame, query_id: str = "vec_id", pool_id: str = "vec_id", vector: str = "embedding",
     uri: str | None = "label", least: float | None = None,
 ) -> DataFrame:
-    """query_id, uri, sim, cand_ord: each query's best pool row of each uri (all rows, if uri is None).
+    """query_id, uri, sim, cand_ord: each query's best pool row of each uri (all other rows, if uri is None).
 
-    Queries are gathered in blocks of at most QUERY_BLOCK and sent to the pool's partitions, which
-    score them by dense products and keep the best row of each uri before anything is shuffled.
-    ``least`` leaves out lower similarities. Products add up in double precision.
+    ``least`` leaves out lower similarities. The best of each uri are kept before anything is shuffled.
     """
-    spark = pool.sparkSession
-    rows = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).alias("v"))
-    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
-    given = pool.select(
-        F.col(pool_id).cast("bigint").alias("id"), (F.col(uri).cast("string") if uri else F.col(pool_id).cast("string")).alias("uri"), F.col(vector).alias("v")
-    )
-    out = None
-    for block in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).orderBy("q").toPandas()
-        if not len(part):
-            continue
-        shared = spark.sparkContext.broadcast((part["q"].to_numpy(np.int64), np.stack(part["v"]).astype(np.float64)))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                width = matrix.shape[1]
-                vectors = batch.column("v").flatten().to_numpy().astype(np.float64).reshape(-1, width)
-                scores = matrix @ vectors.T
-                own = batch.column("id").to_numpy()
-                names = np.array(batch.column("uri").to_pylist(), object)
-                groups = [np.flatnonzero(names == u) for u in dict.fromkeys(names)] if uri else [np.array([k]) for k in range(len(own))]
-                columns: list[list] = [[], [], [], []]
-                for group in groups:
-                    group = group[np.argsort(own[group], kind="stable")]
-                    best = scores[:, group].argmax(1)
-                    sim = scores[np.arange(len(ids)), group[best]]
-                    keep = np.ones(len(ids), bool) if least is None else sim >= least
-                    keep &= ids != own[group[best]] if not uri else True
-                    for values, one in zip(columns, (ids[keep], np.full(keep.sum(), names[group[0]], object), sim[keep], own[group[best]][keep]), strict=True):
-                        values.append(one)
-                arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "uri", "sim", "cand_ord"])
-
-        found = given.mapInArrow(scan, "query_id bigint, uri string, sim double, cand_ord bigint")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, uri string, sim double, cand_ord bigint")
-    return best_per_source(out, ["query_id"]) if uri else out
+    every = F.lit(0).alias("_all")
+    asked = queries.select(every, F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("v"))
+    name = F.col(uri or pool_id).cast("string").alias("uri")
+    given = pool.select(every, F.col(pool_id).cast("bigint").alias("cand_ord"), name, F.col(vector).alias("v"))
+    found = blocks.products(asked, given, ["_all"], ["query_id"], ["cand_ord", "uri"], "v", "uri" if uri else None, ("cand_ord",), least).drop("_all")
+    return best_per_source(found, ["query_id"]) if uri else found.where("query_id <> cand_ord")

@@ -11,21 +11,24 @@ from spanloom.operators.judge import Judge
 from spanloom.schema import EMBEDDING, FLOOR, HIGH, JUDGE_K, LOW, TOP_CANDIDATES
 
 
+CHUNK = ["scope", "uri", "uri_ord", "source_id", "chunk_ord"]
+
+
 def candidates(
     artifacts: DataFrame, sources: DataFrame, session_scoped: bool = True, embedder: Embedder | None = None, cache: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Spans (scope, path, start_line, end_line, text) and each span's best candidate of each uri.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans (scope, path, start_line, end_line, text), each span's best candidate of each uri, and the chunks.
 
     ``artifacts``: path, content, session_id; ``sources``: source_id, uri, uri_ord, content, session_id.
     Without session scope all sources are one pool. Without an embedder bags of tokens are compared;
-    with one, texts that ``cache`` (content_hash, vec) lacks are embedded.
+    with one, texts that ``cache`` (content_hash, vec) lacks are embedded. Candidates name their
+    chunk (``chunk_uri_ord``, ``source_id``, ``chunk_ord``); ``with_chunks`` fetches the texts of those that need them.
     """
     scope = F.col("session_id") if session_scoped else F.lit("*")
     spans = segment.segment(artifacts.withColumn("scope", scope), ["scope", "path"])
     pool = sources.withColumn("scope", scope)
     chunks = segment.chunk(pool, ["scope", "uri", "uri_ord", "source_id"])
-    chunk_key = ["uri", "uri_ord", "source_id", "chunk_ord", "chunk"]
-    span_key = ["path", "start_line", "end_line"]
+    chunk_key, span_key = CHUNK[1:], KEY[1:]
     if embedder is None:
         scores = similarity.sparse_scores(spans, chunks, ["scope"], span_key, chunk_key)
     else:
@@ -33,35 +36,43 @@ def candidates(
         held = cache if cache is not None else artifacts.sparkSession.createDataFrame([], EMBEDDING)
         vectors = similarity.embed_with_cache(texts, held, embedder.transform)
         scores = dense_scores(spans, chunks, vectors, ["scope"], span_key, chunk_key)
-    best = similarity.best_per_source(scores, ["scope", "path", "start_line", "end_line"], order=("uri_ord", "chunk_ord"))
-    firsts = chunks.where("chunk_ord = 0").groupBy("scope", "uri").agg(
-        F.min("uri_ord").alias("uri_ord"), F.min_by(F.struct("source_id", "chunk"), "uri_ord").alias("_f")
-    )
-    firsts = firsts.select("scope", "uri", "uri_ord", "_f.*")
+    best = similarity.best_per_source(scores, KEY, order=("uri_ord", "chunk_ord"))
+    firsts = pool.groupBy("scope", "uri").agg(F.min("uri_ord").alias("uri_ord"), F.min_by("source_id", "uri_ord").alias("source_id"))
+    firsts = firsts.select("scope", "uri", "uri_ord", "source_id", F.col("uri_ord").alias("chunk_uri_ord"), F.lit(0).cast("bigint").alias("chunk_ord"))
     # candidates rank by the first appearance of their uri, whichever of its sources was best
-    best = best.drop("uri_ord").join(firsts.select("scope", "uri", "uri_ord"), ["scope", "uri"])
-    full = similarity.with_zero_candidates(best, spans, firsts, ["scope"], ["path", "start_line", "end_line"])
-    return spans, full.select("scope", "path", "start_line", "end_line", "uri", "uri_ord", "source_id", "chunk", "sim")
+    best = best.withColumnRenamed("uri_ord", "chunk_uri_ord").join(firsts.select("scope", "uri", "uri_ord"), ["scope", "uri"])
+    full = similarity.with_zero_candidates(best, spans, firsts, ["scope"], span_key)
+    return spans, full.select(*KEY, "uri", "uri_ord", "source_id", "chunk_uri_ord", "chunk_ord", "sim"), chunks
 
 
 KEY = ["scope", "path", "start_line", "end_line"]
 
 
+def with_chunks(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The candidates with their chunk's text."""
+    texts = chunks.select(*CHUNK, "chunk").withColumnRenamed("uri_ord", "chunk_uri_ord")
+    return rows.join(texts, [c if c != "uri_ord" else "chunk_uri_ord" for c in CHUNK], "left")
+
+
 def attribute(
     artifacts: DataFrame, sources: DataFrame, judge: Judge | None = None, high: float = HIGH, low: float = LOW, floor: float = FLOOR,
     judge_k: int = JUDGE_K, session_scoped: bool = True, embedder: Embedder | None = None, cache: DataFrame | None = None,
 ) -> DataFrame:
     """path, start_line, end_line, text, status, source_id, source_uri, candidate_uri, top_candidates,
     confidence, method, evidence of every span of every artifact."""
-    spans, found = candidates(artifacts, sources, session_scoped, embedder, cache)
+    spans, found, chunks = candidates(artifacts, sources, session_scoped, embedder, cache)
     ranked = similarity.rank(found, KEY, ["uri_ord"], TOP_CANDIDATES)
-    tops = ranked.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rank", "uri", "sim"))).alias("_t"))
-    tops = tops.select(*KEY, F.transform("_t", lambda c: F.struct(c["uri"], c["sim"])).alias("top_candidates"))
-    first = ranked.where("rank = 1").select(*KEY, "uri", "source_id", "chunk", "sim")
-    best = spans.join(first, KEY, "left").join(tops, KEY, "left")
+    entry = F.struct("rank", "uri", "sim", "source_id", "chunk_uri_ord", "chunk_ord")
+    tops = ranked.groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("_t"))  # TOP_CANDIDATES at most
+    first = lambda c: F.get("_t", F.lit(0))[c].alias(c)
+    tops = tops.select(
+        *KEY, F.transform("_t", lambda c: F.struct(c["uri"], c["sim"])).alias("top_candidates"),
+        *(first(c) for c in ("uri", "sim", "source_id", "chunk_uri_ord", "chunk_ord")),
+    )
+    best = with_chunks(spans.join(tops, KEY, "left"), chunks).drop("chunk_uri_ord", "chunk_ord")
     if judge is None:
         return decide.decide(best, high, low)
-    listed = decide.shortlist(ranked, KEY, high, floor, judge_k)
+    listed = with_chunks(decide.shortlist(ranked, KEY, high, floor, judge_k), chunks)
     texts = spans.select(*KEY, F.col("text").alias("span_text"))
     whole = sources.select("source_id", F.col("content").alias("source_text"))
     # the band is filtered before the judge, whose cost no optimizer can see

@@ -45,15 +45,15 @@ def spans(table: str = "a") -> str:
     ), sp as (select path, start_line, end_line, text from sp0 where text <> '')"""
 
 
-def chunks(table: str, keys: str) -> str:
+def chunks(table: str, keys: str, marks: str = ".\\n;", least: int = 12, whole: str = "[content]") -> str:
     return f"""
     un as (
         select {keys}, content, list_filter(
-            list_transform(string_split(regexp_replace(content, '([.\\n;]){WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {trim("x")}),
-            lambda u: length(u) > 12) as u
+            list_transform(string_split(regexp_replace(content, '([{marks}]){WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {trim("x")}),
+            lambda u: length(u) > {least}) as u
         from {table}
     ), ch0 as (
-        select {keys}, case when len(u) > 0 then list_transform(range(1, len(u) + 1), lambda i: array_to_string(u[i:i+1], ' ')) else [content] end as c
+        select {keys}, case when len(u) > 0 then list_transform(range(1, len(u) + 1), lambda i: array_to_string(u[i:i+1], ' ')) else {whole} end as c
         from un
     ), ch as (select {keys}, unnest(c) as chunk, cast(generate_subscripts(c, 1) - 1 as bigint) as chunk_ord from ch0)"""
 
@@ -318,5 +318,68 @@ ORACLES: dict[str, str] = {
             from documents) where r = 1""",
     "stream_source_dedup": "select distinct sha256(event_type) as content_hash, cast(user_id as varchar) as session_id from events",
 }
+ORACLES |= {
+    "decide_unscoped": f"""
+        with {ARTIFACTS}, {SOURCES}, {spans()},
+        z as (select source_id, source_id as uri, cast(path as bigint) * 1000 + uri_ord as uri_ord, content from s), {chunks("z", "source_id, uri, uri_ord")},
+        st as {bag("sp", "path, start_line", "text")}, ct as {bag("ch", "source_id, uri, uri_ord, chunk_ord", "chunk")},
+        sn as (select path, start_line, cast(sum(n * n) as double) as a from st group by all),
+        cn as (select source_id, chunk_ord, cast(sum(n * n) as double) as b from ct group by all),
+        dt as (
+            select path, start_line, source_id, uri, uri_ord, chunk_ord, cast(sum(st.n * ct.n) as double) as dot from st join ct using (token) group by all
+        ), sc as (select dt.*, dot / sqrt(a * b) as sim from dt join sn using (path, start_line) join cn using (source_id, chunk_ord)),
+        bs as (select path, start_line, uri, max(sim) as sim from sc group by all),
+        pool as (
+            select sp.path, sp.start_line, z.uri, z.uri_ord, coalesce(bs.sim, 0) as sim
+            from sp cross join z left join bs on bs.path = sp.path and bs.start_line = sp.start_line and bs.uri = z.uri
+        ), rk as (select *, row_number() over (partition by path, start_line order by sim desc, uri_ord) as rank from pool)
+        select sp.path, sp.start_line, sp.end_line,
+            case when sim >= 0.45 then 'grounded' when sim >= 0.30 then 'uncertain' else 'ungrounded' end as status,
+            case when sim >= 0.30 then uri end as source_uri, uri as candidate_uri, round(greatest(coalesce(sim, -1), 0), 6) as confidence
+        from sp left join rk on sp.path = rk.path and sp.start_line = rk.start_line and rk.rank = 1""",
+    "decide_dense": f"""
+        with {ARTIFACTS}, {SOURCES}, {spans()}, {chunks("s", "path, source_id, uri, uri_ord")},
+        tx as (select text from sp union select chunk from ch),
+        vc as (
+            select text, list_transform(c, lambda n: cast(n / greatest(sqrt(list_sum(list_transform(c, lambda m: cast(m * m as double)))), 1e-12) as float)) as v
+            from (select text, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda l: length(lower(text)) - length(replace(lower(text), l, ''))) as c from tx)
+        ), sc as (
+            select sp.path, start_line, uri, uri_ord, round(list_dot_product(cast(a.v as double[]), cast(b.v as double[])), 12) as sim
+            from sp join ch on sp.path = ch.path join vc a on a.text = sp.text join vc b on b.text = ch.chunk
+        ), bs as (select path, start_line, uri, max(sim) as sim, min(uri_ord) as uri_ord from sc group by all),
+        rk as (select *, row_number() over (partition by path, start_line order by sim desc, uri_ord) as rank from bs)
+        select sp.path, sp.start_line, sp.end_line,
+            case when sim >= 0.95 then 'grounded' when sim >= 0.9 then 'uncertain' else 'ungrounded' end as status,
+            case when sim >= 0.9 then uri end as source_uri, uri as candidate_uri, round(greatest(coalesce(sim, -1), 0), 6) as confidence
+        from sp left join rk on sp.path = rk.path and sp.start_line = rk.start_line and rk.rank = 1""",
+    "vector_dot": """
+        select a.vec_id, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as sim
+        from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
+    "line_slices": f"""
+        with {ARTIFACTS}
+        select path, l.a, l.z, array_to_string((string_split(content, chr(10)))[greatest(l.a, 1):l.z], chr(10)) as lines
+        from a, (values (1::bigint, 1::bigint), (0::bigint, 2::bigint), (3::bigint, 5::bigint)) l(a, z)""",
+    "spike_spans": """
+        select cast(p_partkey as varchar) as path, 'f' || p_partkey as name, 2::bigint as start_line, 4::bigint as end_line,
+            sha256('export function f' || p_partkey || '(x) {' || chr(10) || '  return ' || p_size || chr(10) || '}') as text_hash
+        from part
+        union all select cast(p_partkey as varchar), 'g' || p_partkey, 6, 7, sha256('export function g' || p_partkey || '() {' || chr(10) || '  ' || p_brand) from part""",
+    "spike_truth": """
+        select 'f' || p_partkey as name, 2::bigint as start_line, case when p_partkey % 2 = 0 then p_brand else '?' end as expected from part
+        union all select 'g' || p_partkey, 6, '?' from part""",
+    "spike_chunks": f"""
+        with x as (select doc_id, text as content from documents), {chunks("x", "doc_id", ".\\n", 15, "cast([] as varchar[])")}
+        select doc_id, chunk_ord, sha256(chunk) as chunk_hash from ch""",
+    "live_scores": f"""
+        with {DENSE}, o as (
+            select *, 'all' as set, query_id % 3 <> 0 and sim >= 0.30 as live from rec where query_id % 2 = 0)
+        {confusion("o", "set", "live")}""",
+    "live_lines": f"""
+        with {DENSE}, o as (select *, query_id % 3 <> 0 and sim >= 0.30 as live, 'query ' || query_id as find from rec where query_id % 2 = 0)
+        select query_id, rpad(find, cast(greatest(20, length(find)) as int), ' ') || ' ' || case when live then 'grounded   ' else 'ungrounded ' end || ' ' ||
+            case when expected <> 'UNGROUNDED' then case when not live then 'missed' when source = expected then 'right' else 'wrong source' end
+                when live then 'false attribution' else 'right' end as line
+        from o""",
+}
 ORACLES["stream_route"] = ORACLES["hook_route"]
 ORACLES["stream_versions"] = ORACLES["artifact_versions"]

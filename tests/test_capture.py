@@ -58,3 +58,59 @@ def test_versions_skip_repeats_and_cross_buckets(spark):
         assert [(r["path"], r["t"], r["version"]) for r in found] == [("p", 0, 1), ("p", 100, 2), ("p", 200, 3), ("p", 250, 4), ("p", 400, 5), ("q", 10, 1)]
     latest = {r["path"]: r["version"] for r in capture.latest_artifacts(found and capture.version_artifacts(df)).collect()}
     assert latest == {"p": 5, "q": 1}
+
+
+def test_a_read_needs_a_file(spark):
+    rows = [
+        (1, '{"tool_name":"Read","tool_input":{"path":"p.md"},"tool_response":"text"}'),
+        (2, '{"tool_name":"Read","tool_input":{"file_path":"f.md","path":"p.md"},"tool_response":"text"}'),
+        (3, '{"tool_name":"Edit","tool_input":{"path":"p.md","content":"c"}}'),
+    ]
+    found = capture.route(spark.createDataFrame(rows, "seq bigint, raw string")).collect()
+    assert {(r["seq"], r["target"], r["uri"]) for r in found} == {(2, "source", "f.md"), (3, "artifact", "p.md")}
+
+
+def test_written_files_go_before_the_event(spark, tmp_path):
+    from spanloom.sources.events import read_written, with_written
+
+    (tmp_path / "a.py").write_text("after")
+    lines = [
+        '{"tool_name":"Edit","tool_input":{"file_path":"%s","content":"before"}}' % (tmp_path / "a.py"),
+        '{"tool_name":"Write","tool_input":{"path":"/no/such/file","content":"own"}}',
+        '{"tool_name":"Read","tool_input":{"file_path":"%s"},"tool_response":"r"}' % (tmp_path / "a.py"),
+        "no json", "[1]",
+    ]
+    here = read_written(lines)
+    assert [t for _, t in here] == ["after", None, None, None, None]
+    files = spark.createDataFrame([(str(tmp_path / "a.py"), "after")], "path string, content string")
+    joined = with_written(spark.createDataFrame([(x,) for x in lines], "raw string"), files)
+    for df in (spark.createDataFrame(here, "raw string, resolved_content string"), joined):
+        found = {(r["target"], r["content"]) for r in capture.route(df).collect()}
+        assert found == {("artifact", "after"), ("artifact", "own"), ("source", "r")}
+
+
+def test_dataset_files(tmp_path):
+    from spanloom.sources.datasets import dataset_files
+
+    (tmp_path / "d.json").write_text("{}")
+    held = str(tmp_path / "d.json")
+    assert dataset_files(["x.json", "-v", "y.txt"], [held]) == ["x.json"]
+    assert dataset_files(["-v"], [held, str(tmp_path / "none.json")]) == [held]
+
+
+def test_judges_are_chosen_and_wait(spark):
+    from spanloom.operators import judge
+
+    yes, no = (lambda q: '{"derived": true}'), (lambda q: '{"derived": false}')
+    assert judge.choose({}).available is False and judge.choose({"a": yes}, "b").available is False
+    assert judge.choose({"a": yes, "b": no}).transport is yes and judge.choose({"a": yes, "b": no}, "b").transport is no
+    waits, answers = [], [judge.RateLimited(), judge.RateLimited(1.0), judge.RateLimited(90.0), '{"derived": true, "evidence": "e"}']
+
+    def transport(question):
+        answer = answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    assert judge.ask(transport, "q", waits.append) == (True, "e", True)
+    assert waits == [4.0, 8.0, 90.5]
