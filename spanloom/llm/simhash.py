@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from spanloom.llm.common import checkpoint, slices, texts
 from spanloom.llm.components import components
@@ -114,8 +113,9 @@ def _subkeyed(rows: DataFrame) -> DataFrame:
 def near_links(fps: DataFrame, most: int = 256) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints of at most two differing bits."""
     keyed = _keyed(fps)
-    counted = keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    shared = checkpoint(counted)
+    # counts combine before the shuffle, and the join splits a hot key: no task holds all of one key
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = checkpoint(keyed.join(sizes, "key"))
     few = shared.where(F.col("size") <= most)
     tag = F.shiftrightunsigned("key", 32).cast("int")
     # the masked bit must differ: a pair that shares the whole half is found under that half alone
@@ -155,9 +155,11 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def kept_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
     """One row of ``docs`` for each r (none, doc_id, mark) of ``first``, with all its columns."""
-    kept = first.select(F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("r.mark").alias("_mark"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_mark": F.xxhash64("text")})
-    return keyed.join(kept, ["_id", "_mark"]).dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    kept = first.select(F.col("r.doc_id").alias("id"), F.col("r.mark").alias("mark"))
+    # the row is one column, so that none of its columns can clash with these names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("mark")))
+    return met.dropDuplicates(["id", "mark"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def hexed(fp: str) -> Column:
