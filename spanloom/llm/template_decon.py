@@ -36,7 +36,8 @@ WORDS = 5
 SHARE = 0.8
 LITERALS = 2
 BLOOM_BITS = 1 << 23
-FEW = 500_000  # rows of two numbers that may be sent to every executor
+FEW = 500_000  # rows of some numbers that may be sent to every executor
+SPREAD = 16
 
 # Units that become a placeholder.
 UNITS = frozenset(
@@ -231,7 +232,13 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     shared = spark.sparkContext.broadcast(np.packbits(bloom, bitorder="little"))
 
     held = _windows_filtered(docs, shared, int(fewest))
-    pairs = checkpoint(held.join(asked, "hash"))
+    # few items' windows go to where the documents are read; else a window that many documents hold is spread
+    if asked.count() <= FEW:
+        met = held.join(F.broadcast(asked), "hash")
+    else:
+        spread = asked.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SPREAD)])))
+        met = held.withColumn("salt", F.pmod("row", F.lit(SPREAD)).cast("int")).join(spread, ["hash", "salt"]).drop("salt")
+    pairs = checkpoint(met)
     diagonal = (F.col("place") - F.col("at")).alias("diagonal")
     slotted = pairs.where(F.size("slots") > 0).select(
         "row", "item_id", "hash", "at", "place", diagonal, F.explode(F.arrays_zip("asked", "slots")).alias("s")
