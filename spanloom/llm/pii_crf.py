@@ -9,7 +9,7 @@ decodes by Viterbi in numpy batches.
 Running text is mostly plain words, over which the CRF stays at "outside". A sequence is the
 stretch around tokens of any other shape, up to a run of plain words on either side that is
 twice as long as the longest detour the trained weights can pay for; so every text is decoded
-as it would be in one sequence, which tests compare.
+as it would be in one sequence, which tests compare. All tokens of all texts are classed.
 
 Defined results: a null text is empty and has no span; texts are read whole; each row, repeated
 or not, is judged on its own; an empty table gives an empty table; other columns are not read.
@@ -23,6 +23,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- word shapes -----------------------------------------------------------------------------
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
+GLUED = (re.compile(r"(?<=\d)\.(?=\d)"), "\x01"), (re.compile(r"(?<=\d),(?=\d)"), "\x02")
 WORD = re.compile(r"\w")
 STRONG_CUES = frozenset("password passwd passphrase pwd apikey api_key access_key secret_key access_token auth_token".split())
 SECRET_CUES = frozenset("secret token key bearer auth credential pin".split())
@@ -97,16 +99,17 @@ CONTACT_CUES = frozenset("call phone tel telephone mobile cell fax dial ring wha
 SPELT = frozenset(("at", "dot"))
 DOMAINS = frozenset("com org net edu gov io info".split())  # shape "tld"
 KEY_ID = "AKIA"  # fixed value: how a well-known kind of access key begins
-ODD = re.compile(rf"[^\w\s.,]|[0-9]|{KEY_ID}|\b(?:{'|'.join(sorted(STRONG_CUES | SECRET_CUES | CONTACT_CUES | SPELT | DOMAINS))})\b", re.I | re.A)
 PLAIN = "w"
+REMEMBERED = 50_000
 
 
-@lru_cache(maxsize=1 << 16)
-def shape(token: str, glued: bool) -> str:
-    """The class of a token; ``glued``: a digit touches it on both sides (of a full stop or comma)."""
+def shape(token: str) -> str:
+    """The class of a token."""
     if not WORD.match(token):
         if token in ".,":
-            return f"{token}#" if glued else PLAIN
+            return PLAIN
+        if token in ("\x01", "\x02"):
+            return ".#" if token == "\x01" else ",#"
         return token if token in "=:()[]-+@#\"'/" else "pun"
     lower = token.lower()
     if lower in STRONG_CUES:
@@ -131,13 +134,16 @@ def shape(token: str, glued: bool) -> str:
     return ("hex" if re.fullmatch("[0-9a-f]+", token) else "mix") + size
 
 
-def tokens(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
-    out = []
-    for m in TOKEN.finditer(text, start, end):
-        s, e = m.span()
-        glued = 0 < s and e < len(text) and text[s - 1].isdigit() and text[e].isdigit()
-        out.append((s, e, shape(m[0], glued)))
-    return out
+def marked_up(text: str) -> str:
+    """The text, as long as it was, with full stops and commas between digits as characters of their own."""
+    for pattern, mark in GLUED:
+        text = text.replace(mark, "\x03")
+        text = pattern.sub(mark, text)
+    return text
+
+
+def tokens(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), shape(m[0])) for m in TOKEN.finditer(marked_up(text))]
 
 
 # The labelled table: {kind|...} marks a span, all other text is outside.
@@ -283,7 +289,7 @@ def train(labelled: list[str] | None = None, rounds: int = 300, rate: float = 0.
     examples = []
     for line in labelled or [*LABELLED, *junk_lines()]:
         text, spans = parse_labelled(line)
-        found = tokens(text, 0, len(text))
+        found = tokens(text)
         labels = np.zeros(len(found), np.int64)
         for kind, start, end in spans:
             begin = True
@@ -349,44 +355,6 @@ def default_crf() -> Crf:
     return train()
 
 
-def _pieces(text: str, margin: int) -> Iterator[list[tuple[int, int, str]]]:
-    """Tokens around all places that are not plain words, with ``margin`` plain tokens beside at least."""
-    near, spans = 64 * margin, []
-    for m in ODD.finditer(text):
-        if spans and m.start() - spans[-1][1] <= near:
-            spans[-1][1] = m.end()
-        else:
-            spans.append([m.start(), m.end()])
-    at = -1
-    for k, (first, last) in enumerate(spans):
-        start = _reach(text, first, -1, margin) if at < 0 else at
-        end = _reach(text, last, 1, margin)
-        at = -1
-        if k + 1 < len(spans) and (then := _reach(text, spans[k + 1][0], -1, margin)) <= end:
-            at = start  # the next stretch begins inside this one
-        else:
-            yield tokens(text, start, end)
-            if k + 1 < len(spans):
-                at = then
-
-
-def _reach(text: str, at: int, way: int, margin: int) -> int:
-    """A white-space edge beyond a run of 2 * margin plain tokens next to ``at``, or the text's end."""
-    size = 32 * margin
-    while True:
-        edge = at + way * size
-        while 0 < edge < len(text) and not text[edge].isspace():
-            edge += way
-        if not 0 < edge < len(text):
-            return 0 if way < 0 else len(text)
-        run = 0
-        for start, end, symbol in tokens(text, *sorted((at, edge)))[::way]:
-            run = run + 1 if symbol == PLAIN else 0
-            if run == 2 * margin:
-                return start if way < 0 else end
-        size *= 4
-
-
 def _stretches(symbols: np.ndarray, plain: int, margin: int) -> Iterator[tuple[int, int]]:
     """Parts of a sequence without its long runs of plain words: 2 * ``margin`` of them are left on either side."""
     odd = np.flatnonzero(symbols != plain)
@@ -396,39 +364,53 @@ def _stretches(symbols: np.ndarray, plain: int, margin: int) -> Iterator[tuple[i
         yield from zip((np.maximum(firsts - 2 * margin, 0)).tolist(), (np.minimum(lasts + 2 * margin + 1, len(symbols))).tolist(), strict=True)
 
 
-def added_spans(found: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
+class Shapes:
+    """Symbols of all tokens of a text; each distinct token is classed once."""
+
+    def __init__(self, crf: Crf):
+        self.index, self.unknown = crf.index, crf.index["pun"]
+        self.known: dict[str, int] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        found = TOKEN.findall(marked_up(text))
+        symbols = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
+        for k in np.flatnonzero(symbols < 0).tolist():
+            symbols[k] = self.known[found[k]] = self.index.get(shape(found[k]), self.unknown)
+        return symbols
+
+
+def added_spans(found: list[str], crf: Crf, shapes: Shapes | None = None) -> list[list[tuple[int, int, int]]]:
     """For each text the (kind, start, end) that the CRF finds."""
-    pieces, sequences, owner = [], [], []
-    plain, unknown = crf.index[PLAIN], crf.index["pun"]
+    sequences, owner = [], []
+    shapes = shapes or Shapes(crf)
     for k, text in enumerate(found):
-        for piece in _pieces(text, crf.margin):
-            symbols = np.array([crf.index.get(s, unknown) for _, _, s in piece], np.int64)
-            for start, end in _stretches(symbols, plain, crf.margin):
-                pieces.append(piece[start:end])
-                sequences.append(symbols[start:end])
-                owner.append(k)
+        symbols = shapes(text)
+        for start, end in _stretches(symbols, crf.index[PLAIN], crf.margin):
+            sequences.append(symbols[start:end])
+            owner.append((k, start))
     out: list[list[tuple[int, int, int]]] = [[] for _ in found]
-    for k, piece, path in zip(owner, pieces, crf.decode(sequences), strict=True):
-        marked = np.flatnonzero(path)
-        t = int(marked[0]) if len(marked) else len(piece)
-        while t < len(piece):
+    places: tuple[int, list[tuple[int, int, str]]] = (-1, [])  # tokens of the text at hand, if it has a span
+    for (k, start), path in zip(owner, crf.decode(sequences), strict=True):
+        for t in np.flatnonzero(path).tolist():
+            if places[0] != k:
+                places = (k, tokens(found[k]))
+            first, last, _ = places[1][start + t]
             name = LABELS[path[t]]
-            if name == "O":
-                t += 1
-                continue
-            kind, end = KINDS.index(name[2:]), t + 1
-            while end < len(piece) and LABELS[path[end]] == f"I-{name[2:]}":
-                end += 1
-            out[k].append((kind, piece[t][0], piece[end - 1][1]))
-            t = end
+            if name[0] == "B":
+                out[k].append((KINDS.index(name[2:]), first, last))
+            else:  # the chain lets it follow a span of its kind only
+                kind, begin, _ = out[k][-1]
+                out[k][-1] = (kind, begin, last)
     return out
 
 
-def find_spans(found: list[str], crf: Crf) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+def find_spans(found: list[str], crf: Crf, shapes: Shapes | None = None) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
     """Base spans and all spans of each text, by kind and start."""
     base = [base_spans(t) for t in found]
     every = []
-    for own, extra in zip(base, added_spans(found, crf), strict=True):
+    for own, extra in zip(base, added_spans(found, crf, shapes), strict=True):
         clear = [x for x in extra if all(x[2] <= s or e <= x[1] for _, s, e in own)]
         every.append(sorted([*own, *clear]))
     return base, every
@@ -444,8 +426,9 @@ def find(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes(crf)
         for batch in slices(batches):
-            base, every = find_spans(texts(batch.column("text")), crf)
+            base, every = find_spans(texts(batch.column("text")), crf, shapes)
             columns = [
                 batch.column("doc_id"),
                 *(pa.array([sum(k == n for k, _, _ in own) for own in base], pa.int64()) for n in range(len(BASE))),
@@ -477,9 +460,10 @@ def redact(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     counted = "n_chars" in docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes(crf)
         for batch in slices(batches):
             found = texts(batch.column("text"))
-            _, every = find_spans(found, crf)
+            _, every = find_spans(found, crf, shapes)
             clean = [t if not s else masked(t, s) for t, s in zip(found, every, strict=True)]
             given = batch.column("text").is_null().to_pylist()
             where = batch.schema.get_field_index("text")

@@ -358,7 +358,7 @@ def test_crf_learns_and_windows_change_nothing():
 
 def whole_text_spans(text, crf):
     """Spans of the text decoded as one sequence."""
-    found = pii_crf.tokens(text, 0, len(text))
+    found = pii_crf.tokens(text)
     path = crf.decode([np.array([crf.index.get(s, crf.index["pun"]) for _, _, s in found], np.int64)])[0]
     spans = []
     for (start, end, _), label in zip(found, path, strict=True):
@@ -481,8 +481,8 @@ def test_block_max_search_is_exact(monkeypatch, common):
     monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(12)
     dense = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
-    rows, features = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex.build(rows, features, dense[rows, features], 500, 40)
+    features, rows = np.nonzero(dense.T)
+    index = toxicity.BlockMaxIndex(rows, (dense > 0).sum(0), lambda places, words: dense[rows[places], words], 500)
     queries = [rng.random(40) * (rng.random(40) < 0.15) for _ in range(200)]
     asked = [(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in queries]
     for query, (found, scores) in zip(queries, index.nearest(asked, 15), strict=True):
@@ -493,6 +493,8 @@ def test_block_max_search_is_exact(monkeypatch, common):
         assert np.allclose(scores, every[expected])
     for n, (found, _) in enumerate(index.nearest(asked, 15, without=np.arange(len(asked)))):
         assert n not in found.tolist()
+    for words, _ in asked:
+        assert (index.shared(words, 7) == (dense[7, words] > 0)).all()
 
 
 def test_nearest_examples_of_whole_texts(spark):
@@ -503,7 +505,9 @@ def test_nearest_examples_of_whole_texts(spark):
     df, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(df, labels)
     texts_ = {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
-    known = {w: k for w, k in model.words.items()}
+    every = sorted({w for t in texts_.values() for w in toxicity.words_of(t or "")})
+    known = {w: k for w, k in zip(every, model.words.numbers(every, len(every)).tolist(), strict=True) if k >= 0}
+    assert len(known) == len(model.words)
     rows = len(texts_)
     held = dict.fromkeys(known, 0)
     for text in texts_.values():
