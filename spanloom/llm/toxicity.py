@@ -27,12 +27,12 @@ empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,16 +41,17 @@ from spanloom.llm.common import checkpoint, slices, texts
 EXAMPLES = 4096  # of each label
 SAMPLE_BYTES = 1 << 25  # of each label's texts
 LEAN = 1.5
-BLOCK = 256
-FIRST = 4  # blocks that are scored first, for a floor under the k best
+BLOCK = 512
+FIRST = 2  # blocks that are scored first, for a floor under the k best
 COMMON, SHARE = 512, 64  # words at most whose postings are rows of a matrix, if one of SHARE examples holds them
-TOGETHER = 128  # queries
+TOGETHER = 64  # queries
 SLIP = 1e-9  # more than sums in another order can differ by
 NEIGHBOURS = 15
 PSEUDO = 0.5
-REMEMBERED = 50_000
+REMEMBERED = 10_000
 TOXIC_FROM = 0.7
 EVIDENCE = 5  # words
+STEP = 1 << 18  # postings handled at once where the index is made
 
 BLANKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -60,10 +61,28 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(BLANKS).split()
 
 
-def counted(words: dict[bytes, int], text: str) -> tuple[np.ndarray, np.ndarray]:
+class Vocabulary:
+    """Numbers of words, in the order of their XXH64: eight bytes a word; two of 2**26 words are taken for one in 1 of 8000 cases."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes  # sorted
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def numbers(self, words: Iterable[bytes], many: int) -> np.ndarray:
+        """The number of each of ``many`` words, -1 if it is not known."""
+        from xxhash import xxh64_intdigest
+
+        own = np.fromiter(map(xxh64_intdigest, words), np.uint64, many)
+        place = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
+        return np.where(self.hashes[place] == own, place, -1) if len(self.hashes) else np.full(many, -1)
+
+
+def counted(words: Vocabulary, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Known words of a text by number, ascending, and how often each stands there."""
     found = Counter(words_of(text))
-    numbers = np.fromiter(map(words.get, found, repeat(-1)), np.int64, len(found))
+    numbers = words.numbers(found, len(found))
     many = np.fromiter(found.values(), np.float64, len(found))
     order = np.argsort(numbers)[np.count_nonzero(numbers < 0) :]
     return numbers[order], many[order]
@@ -80,47 +99,60 @@ class BlockMaxIndex:
 
     The commonest words' postings are rows of a matrix, which many queries multiply at once; those
     of all other words are sparse, sorted by word and example. Block maxima are kept as bytes, rounded
-    up. Only the postings travel; where they are used the rest is made from them.
+    up. It is made where it is used; only the examples' words travel.
     """
 
-    def __init__(self, example: np.ndarray, word: np.ndarray, weight: np.ndarray, size: int):
-        """Postings sorted by word and example: ``word`` holds each word's first one, and the end of the last."""
-        self.given = (example, word, weight, size)
-        many, blocks = len(word) - 1, -(-size // BLOCK)
-        held = np.diff(word)
+    def __init__(self, examples: np.ndarray, held: np.ndarray, weights: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int):
+        """Postings by word, then example: ``held`` is how many each word has, ``weights`` of (places, their words)."""
+        many, blocks = len(held), -(-size // BLOCK)
         common = np.argsort(-held, kind="stable")[:COMMON]
         common = common[held[common] * SHARE >= size]
-        self.row = np.full(many, -1)  # of each word in the matrix
+        self.row = np.full(many, -1, np.int32)  # of each word in the matrix
         self.row[common] = np.arange(len(common))
-        words = np.repeat(np.arange(many), held)
-        dense = self.row[words] >= 0
+        word = np.repeat(np.arange(many, dtype=np.int32), held)
+        dense = np.flatnonzero(self.row[word] >= 0)
         self.matrix = np.zeros((len(common), blocks * BLOCK))
-        self.matrix[self.row[words[dense]], example[dense]] = weight[dense]
-        words = words[~dense]
-        self.example, self.weight = example[~dense].astype(np.int64), weight[~dense]
-        run = words * blocks + self.example // BLOCK
-        self.first = np.zeros((many, blocks + 1), np.int32)  # first posting of each word in each block
-        for at in range(0, many, 1 << 14):  # in steps, which bound the memory
-            some = np.arange(at, min(many, at + (1 << 14)))
-            self.first[some] = np.searchsorted(run, (some * blocks)[:, None] + np.arange(blocks + 1))
-        self.unit = float(self.weight.max(initial=0.0)) / 255 or 1.0
+        self.matrix[self.row[word[dense]], examples[dense]] = weights(dense, word[dense])
+        sparse = np.ones(len(word), bool)
+        sparse[dense] = False
+        self.example, word = examples[sparse], word[sparse]
+        self.weight = np.empty(len(word))
+        rest = np.flatnonzero(sparse)
+        del dense, sparse
+        for at in range(0, len(rest), STEP):  # in steps, which bound the memory
+            self.weight[at : at + STEP] = weights(rest[at : at + STEP], word[at : at + STEP])
+        del rest
+        self.word = np.searchsorted(word, np.arange(many))  # first posting of each word
+        self.first = np.zeros((many, blocks + 1), np.uint16 if size < 1 << 16 else np.uint32)  # of each word in each block, from its first on
         self.most = np.zeros((many, blocks), np.uint8)  # largest weight of a word in a block, in units
-        starts = np.flatnonzero(np.diff(run, prepend=-1))
-        if len(starts):
-            self.most.ravel()[run[starts]] = np.ceil(np.maximum.reduceat(self.weight, starts) / self.unit)
-
-    def __reduce__(self) -> tuple:
-        return BlockMaxIndex, self.given
-
-    @classmethod
-    def build(cls, examples: np.ndarray, words: np.ndarray, weights: np.ndarray, size: int, many: int) -> BlockMaxIndex:
-        order = np.lexsort((examples, words))
-        return cls(examples[order].astype(np.int32), np.searchsorted(words[order], np.arange(many + 1)), weights[order], size)
-
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.unit = float(self.weight.max(initial=0.0)) / 255 or 1.0
+        ends = np.append(self.word, len(word))
+        for at in range(0, many, STEP // blocks):
+            some = np.arange(at, min(many, at + STEP // blocks))
+            here = slice(ends[some[0]], ends[some[-1] + 1])
+            run = (word[here].astype(np.int64) - at) * blocks + self.example[here] // BLOCK
+            places = np.searchsorted(run, (np.arange(len(some)) * blocks)[:, None] + np.arange(blocks + 1))
+            self.first[some] = places - (self.word[some] - here.start)[:, None]
+            starts = np.flatnonzero(np.diff(run, prepend=-1))
+            if len(starts):
+                most = np.zeros(len(some) * blocks, np.uint8)
+                most[run[starts]] = np.ceil(np.maximum.reduceat(self.weight[here], starts) / self.unit)
+                self.most[some] = most.reshape(len(some), blocks)
+
+    def shared(self, words: np.ndarray, example: int) -> np.ndarray:
+        """Which of the words the example holds."""
+        rows, block = self.row[words], example // BLOCK
+        met = (rows >= 0) & (self.matrix[rows, example] > 0) if len(self.matrix) else np.zeros(len(words), bool)
+        begins = self.first[words, block].astype(np.int64)
+        sizes = self.first[words, block + 1] - begins
+        hits = np.repeat(np.arange(len(words)), sizes)[self.example[_runs(begins + self.word[words], sizes)] == example]
+        met[hits] = True
+        return met
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query (words, weights) the k nearest examples with a cosine above 0, and the cosines.
 
-        Ties go to the earlier example. Query number n leaves out example ``without`` + n.
+        Ties go to the earlier example. A query leaves out its example of ``without``.
         """
         for at in range(0, len(queries), TOGETHER):
             group = queries[at : at + TOGETHER]
@@ -130,7 +162,7 @@ class BlockMaxIndex:
                 asked[n, rows[rows >= 0]] = weights[rows >= 0]
             for n, (score, (words, weights)) in enumerate(zip(asked @ self.matrix, group, strict=True)):
                 if without is not None:
-                    score[without + at + n] = -np.inf
+                    score[without[at + n]] = -np.inf
                 rare = self.row[words] < 0
                 yield self._best(score, words[rare], weights[rare], k)
 
@@ -150,9 +182,9 @@ class BlockMaxIndex:
                 break
             group = np.sort(order[at : at + within])
             at, step = at + within, len(order)
-            starts = self.first[words[:, None], group].ravel()
-            sizes = self.first[words[:, None], group + 1].ravel() - starts
-            postings = _runs(starts, sizes)
+            begins = self.first[words[:, None], group].astype(np.int64)
+            sizes = (self.first[words[:, None], group + 1] - begins).ravel()
+            postings = _runs((begins + self.word[words][:, None]).ravel(), sizes)
             own = np.repeat(np.repeat(weights, len(group)), sizes)
             score += np.bincount(self.example[postings], self.weight[postings] * own, minlength=len(score))
             held = by_block[group]
@@ -165,21 +197,36 @@ class BlockMaxIndex:
         return found[order], best[order]
 
 
-_NONE = BlockMaxIndex.build(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0, 0)
-
-
 @dataclass
 class Model:
-    words: dict[bytes, int]
+    words: Vocabulary
     worth: np.ndarray  # idf * rf of each word
-    index: BlockMaxIndex
     toxic: np.ndarray  # of each example
     example_ids: list
-    example_words: np.ndarray  # of all examples, end to end
-    cuts: np.ndarray  # where each example's begin
+    marks: np.ndarray  # XXH64 of the examples' texts
+    held: np.ndarray  # how many examples hold each word
+    postings: np.ndarray  # examples by word
+    counts: np.ndarray  # how often the word stands there
+    norms: np.ndarray  # of the examples' vectors
     base: float
     weight: tuple[float, float]  # of an example with label 0 and 1
     curve: tuple[float, float] = (1.0, 0.0)
+    shared: Broadcast | None = None  # of this model, all but its curve
+    held_index: BlockMaxIndex | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shared": None, "held_index": None}
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        """Made once in each worker."""
+        if self.held_index is None:
+
+            def weights(places: np.ndarray, words: np.ndarray) -> np.ndarray:
+                return (1 + np.log(self.counts[places].astype(np.float64))) * self.worth[words] / self.norms[self.postings[places]]
+
+            self.held_index = BlockMaxIndex(self.postings, self.held, weights, len(self.toxic))
+        return self.held_index
 
     def vector(self, words: np.ndarray, many: np.ndarray) -> np.ndarray:
         raw = (1 + np.log(many)) * self.worth[words]
@@ -192,9 +239,10 @@ class Model:
         weights = cosines / cosines[0] * np.where(self.toxic[examples] == 1, self.weight[1], self.weight[0])
         return float(((weights * self.toxic[examples]).sum() + PSEUDO * self.base) / (weights.sum() + PSEUDO))
 
-    def calibrated(self, vote: float) -> float:
-        vote = min(max(vote, 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.curve[0] * np.log(vote / (1 - vote)) + self.curve[1]))))
+
+def calibrated(vote: float, curve: tuple[float, float]) -> float:
+    vote = min(max(vote, 1e-6), 1 - 1e-6)
+    return float(1 / (1 + np.exp(-(curve[0] * np.log(vote / (1 - vote)) + curve[1]))))
 
 
 def _fit_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -224,25 +272,32 @@ def _examples(docs: DataFrame, usable: DataFrame, most: int) -> DataFrame:
     parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most 2 * most pairs of numbers
     held = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES // 16).join(chosen, "doc_id")
-    once = held.withColumn("h", F.xxhash64("doc_id")).groupBy("text").agg(F.min(F.struct("h", "doc_id", "toxic")).alias("r")).select("r.*", "text")
+    once = held.withColumn("h", F.xxhash64("doc_id")).groupBy("text").agg(F.min(F.struct("h", "doc_id", "toxic")).alias("r")).select("r.*", "text").withColumn("mark", F.xxhash64("text"))
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("h", "doc_id", F.xxhash64("text")))
     return once.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).drop("so_far")
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """A model from all documents' statistics and a bounded sample of the labelled rows."""
+    import xxhash
+
+    sc = docs.sparkSession.sparkContext
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     usable = training_labels(labels)
     totals = dict(usable.groupBy("toxic").count().collect())
     base = totals.get(1, 0) / max(1, sum(totals.values()))
-    found = _examples(docs, usable, examples).toArrow()  # the documented bound
+    sample = checkpoint(_examples(docs, usable, examples))
+    found = sample.toArrow()  # the documented bound
     toxic = found["toxic"].to_numpy().astype(np.int64)
     if not 0 < toxic.sum() < len(toxic):
-        return Model({}, np.zeros(0), _NONE, np.zeros(0), [], np.zeros(0, np.int32), np.zeros(1, np.int64), base, (1.0, 1.0))
-    words: dict[bytes, int] = {}
+        none = np.zeros(0, np.int64)
+        return Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), none, [], none, none, none, none, np.zeros(0), base, (1.0, 1.0))
+    met: set[int] = set()
     for text in found["text"]:
-        for w in words_of(text.as_py()):
-            words.setdefault(w, len(words))
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # bounded by SAMPLE_BYTES
+        met.update(map(xxhash.xxh64_intdigest, set(words_of(text.as_py()))))
+    words = Vocabulary(np.sort(np.fromiter(met, np.uint64, len(met))))
+    del met
+    shared = sc.broadcast(words)  # bounded by SAMPLE_BYTES
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rows = shared.value, 0
@@ -250,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         for batch in slices(batches):
             for text in texts(batch.column("text")):
                 own = set(words_of(text))
-                place = np.fromiter(map(known.get, own, repeat(-1)), np.int64, len(own))
+                place = known.numbers(own, len(own))
                 held[place[place >= 0]] += 1
             rows += batch.num_rows
         place = np.flatnonzero(held)
@@ -260,48 +315,67 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     number, n = counts["word"].to_numpy(), counts["n"].to_numpy()
     held, rows = np.zeros(len(words)), int(n[number < 0].sum())
     held[number[number >= 0]] = n[number >= 0]
-    shared.destroy()
-    return _assemble(found["h"].to_numpy(), found["doc_id"].to_pylist(), toxic, found["text"].to_pylist(), words, held, rows, base)
+    model = _assemble(found, toxic, words, held, rows, base)
+    shared.unpersist()
+    model.shared = judges = sc.broadcast(model)  # bounded by EXAMPLES and SAMPLE_BYTES
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = judges.value
+        by_mark = np.argsort(own.marks)
+        for batch in slices(batches, TOGETHER):
+            ids = by_mark[np.searchsorted(own.marks[by_mark], batch.column("mark").to_numpy())]
+            asked = [(words, own.vector(words, many)) for words, many in (counted(own.words, t) for t in texts(batch.column("text")))]
+            votes = [own.vote(*near) for near in own.index.nearest(asked, NEIGHBOURS, without=ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+    voted = sample.select("mark", "text").repartition(tasks).mapInArrow(vote, "id bigint, vote double").toArrow()
+    votes = np.zeros(len(model.toxic))
+    votes[voted["id"].to_numpy()] = voted["vote"].to_numpy()
+    model.curve = _fit_curve(votes, model.toxic, np.where(model.toxic == 1, model.weight[1], model.weight[0]))
+    return model
 
 
-def _assemble(h: np.ndarray, ids: list, toxic: np.ndarray, held_texts: list[str], words: dict[bytes, int], held: np.ndarray, rows: int, base: float) -> Model:
-    """Weights, index and calibration from the examples and the words' document frequencies."""
-    pairs = [counted(words, t) for t in held_texts]
-    sizes = np.array([len(f) for f, _ in pairs], np.int64)
-    flat, many = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
-    del pairs
+def _assemble(found: pa.Table, toxic: np.ndarray, words: Vocabulary, held: np.ndarray, rows: int, base: float) -> Model:
+    """Weights and vectors of the examples (h, doc_id, text) and the words' document frequencies; no curve yet."""
+    parts: list[list[np.ndarray]] = [[], []]
+    for text in found["text"]:
+        for values, value, kind in zip(parts, counted(words, text.as_py()), (np.int32, np.int32), strict=True):
+            values.append(value.astype(kind))
+    sizes = np.array([len(f) for f in parts[0]], np.int64)
+    flat, many = (np.concatenate(p) for p in parts)
+    del parts
     label = np.repeat(toxic, sizes)
     inside = [np.bincount(flat[label == y], minlength=len(words)) + 0.5 for y in (0, 1)]
     log_odds = np.log(inside[1] / (toxic.sum() + 1)) - np.log(inside[0] / (len(toxic) - toxic.sum() + 1))
     error = np.sqrt(1 / inside[1] + 1 / inside[0])
     worth = (np.log((rows + 1) / (held + 1)) + 0.01) * np.log2(2 + np.exp(log_odds - error)) ** LEAN
-    weights = (1 + np.log(many)) * worth[flat]
+    weights = (1 + np.log(many.astype(np.float64))) * worth[flat]
     # examples that share their commonest word (of one language, mostly) and their weightiest one share
     # blocks, so that a block's maxima say much about its examples
     own = [slice(e - n, e) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
     common, heavy = ([flat[s][by[s].argmax()] if s.start < s.stop else -1 for s in own] for by in (held[flat], weights))
-    order = np.lexsort((h, heavy, toxic, common))
-    run = _runs(np.cumsum(sizes)[order] - sizes[order], sizes[order])
-    flat, weights, sizes, toxic = flat[run], weights[run], sizes[order], toxic[order]
-    place = np.repeat(np.arange(len(sizes)), sizes)
-    weights /= np.sqrt(np.bincount(place, weights**2, minlength=len(sizes)))[place]
+    order = np.lexsort((found["h"].to_numpy(), heavy, toxic, common))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    place, toxic = np.repeat(rank, sizes), toxic[order]
+    norms = np.sqrt(np.bincount(place, weights**2, minlength=len(order)))
+    del weights
+    by_word = np.lexsort((place, flat))
     share = toxic.mean()
     weight = ((1 - base) / max(1 - share, 1e-9), base / max(share, 1e-9))
-    index = BlockMaxIndex.build(place, flat, weights, len(sizes), len(words))
-    cuts = np.append(0, np.cumsum(sizes))
-    model = Model(words, worth, index, toxic, [ids[i] for i in order], flat.astype(np.int32), cuts, base, weight)
-    asked = [(flat[a:b], weights[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    votes = np.array([model.vote(*near) for near in index.nearest(asked, NEIGHBOURS, without=0)])
-    model.curve = _fit_curve(votes, toxic, np.where(toxic == 1, weight[1], weight[0]))
-    return model
+    place = place[by_word].astype(np.uint16 if len(order) < 1 << 16 else np.int32)
+    counts = many[by_word].astype(np.min_scalar_type(int(many.max(initial=1))))
+    ids, marks = (found[c].take(pa.array(order)) for c in ("doc_id", "mark"))
+    held_by = np.bincount(flat, minlength=len(words))
+    return Model(words, worth, toxic, ids.to_pylist(), marks.to_numpy(), held_by, place, counts, norms, base, weight)
 
 
 class Scorer:
     """Scores batches of texts; texts with equal counts of words are scored once."""
 
-    def __init__(self, model: Model):
-        self.model, self.spelled = model, list(model.words)
-        self.none = (model.calibrated(model.base) if model.words else model.base, None, 0.0, None)
+    def __init__(self, model: Model, curve: tuple[float, float]):
+        self.model, self.curve = model, curve
+        self.none = (calibrated(model.base, curve) if len(model.words) else model.base, None, 0.0, None)
         self.known: dict[bytes, tuple] = {}
 
     def batch(self, column: pa.Array) -> list[tuple]:
@@ -311,33 +385,35 @@ class Scorer:
         own, wanted, new = self.model, [], {}
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        for text in texts(column) if own.words else ():
+        for text in texts(column) if len(own.words) else ():
             words, many = counted(own.words, text)
             same = xxhash.xxh128_digest(words.tobytes() + many.tobytes()) if len(words) else b""
             wanted.append(same)
             if same and same not in self.known:
-                new.setdefault(same, (words, own.vector(words, many)))
-        near = own.index.nearest(list(new.values()), NEIGHBOURS)
+                new.setdefault(same, (text, words, own.vector(words, many)))
+        near = own.index.nearest([(words, weights) for _, words, weights in new.values()], NEIGHBOURS) if new else ()
         for (same, asked), (examples, cosines) in zip(new.items(), near, strict=True):
             self.known[same] = self._judged(*asked, examples, cosines) if len(examples) else self.none
-        return [self.known[same] if same else self.none for same in wanted] if own.words else [self.none] * len(column)
+        return [self.known[same] if same else self.none for same in wanted] if len(own.words) else [self.none] * len(column)
+
+    def _judged(self, text: str, words: np.ndarray, weights: np.ndarray, examples: np.ndarray, cosines: np.ndarray) -> tuple:
+        from xxhash import xxh64_intdigest
 
-    def _judged(self, words: np.ndarray, weights: np.ndarray, examples: np.ndarray, cosines: np.ndarray) -> tuple:
         own = self.model
-        other = own.example_words[own.cuts[examples[0]] : own.cuts[examples[0] + 1]]
-        met = other[np.minimum(np.searchsorted(other, words), len(other) - 1)] == words
+        met = own.index.shared(words, int(examples[0]))
         most = words[met][np.argsort(-weights[met], kind="stable")[:EVIDENCE]]
-        shown = b" ".join(self.spelled[w] for w in most).decode()
-        return own.calibrated(own.vote(examples, cosines)), own.example_ids[examples[0]], float(cosines[0]), shown
+        spelled = {xxh64_intdigest(w): w for w in set(words_of(text))}
+        shown = b" ".join(spelled[h] for h in own.words.hashes[most].tolist()).decode()
+        return calibrated(own.vote(examples, cosines), self.curve), own.example_ids[examples[0]], float(cosines[0]), shown
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, nearest (id of the nearest example), cosine, terms (weightiest words shared with it)."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and SAMPLE_BYTES
+    shared, curve = model.shared or docs.sparkSession.sparkContext.broadcast(model), model.curve
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.value, curve)
         for batch in slices(batches):
             ids = batch.schema.field("doc_id").type
             columns = list(zip(*scorer.batch(batch.column("text")), strict=True)) or [(), (), (), ()]
@@ -364,10 +440,12 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not predicted to be toxic, with all their columns: scored and dropped in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = fit(docs, labels)
+    shared, curve = model.shared or docs.sparkSession.sparkContext.broadcast(model), model.curve
+    del model
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.value, curve)
         for batch in slices(batches):
             yield batch.filter(pa.array([s < TOXIC_FROM for s, *_ in scorer.batch(batch.column("text"))], pa.bool_()))
 
