@@ -442,6 +442,78 @@ def test_templates_and_slots(spark):
     assert template_decon.contaminated(docs(spark, *rows), bench.limit(0)).count() == 0
 
 
+def brute_windows(text, item):
+    """(place, window, slots) of all windows of five template words, from the module's word classes alone."""
+    raw = [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", text or "") if w]
+    words, first = [], True
+    for w in raw:
+        bare = w if w.isalnum() else template_decon.EDGE.sub("", w)
+        low = bare.lower()
+        if bare:
+            kind = "unit" if low in template_decon.UNITS else "num" if bare[0].isdigit() and template_decon.NUMBER.fullmatch(bare) else "word"
+            capital = kind == "word" and bare[0].isupper() and bare[1:].islower()
+            words.append(("name" if capital and not first else kind, low, capital and first))
+        first = not w.isalnum() and w.rstrip("\"')]”’»")[-1:] in (".", "!", "?", ":", "…")
+    forms = [(words, lambda at, width: True)]
+    forms.append(([("word" if k == "name" else k, w, c) for k, w, c in words], lambda at, width: any(k == "name" for k, _, _ in words[at : at + width])))
+    if item and words and words[0][2]:
+        forms.append(([("name", *words[0][1:]), *words[1:]], lambda at, width: at == 0))
+    found = set()
+    for form, wanted in forms:
+        width = min(5, len(form))
+        for at in range(len(form) - width + 1 if form else 0):
+            part = form[at : at + width]
+            if wanted(at, width) and sum(k == "word" for k, _, _ in part) >= min(2, width):
+                found.add((at, tuple(w if k == "word" else f"<{k}>" for k, w, _ in part), tuple((k, w) for k, w, _ in part if k != "word")))
+    return found
+
+
+def brute_leak(text, item):
+    """Whether 0.8 of the item's windows stand in the text with slots that agree along each alignment."""
+    own, asked = brute_windows(text, False), brute_windows(item, True)
+    pairs = [(at, place, mine, theirs) for place, w, mine in own for at, x, theirs in asked if w == x]
+    values = {}
+    for at, place, mine, theirs in pairs:
+        for a, b in zip(theirs, mine, strict=True):
+            values.setdefault((place - at, a), set()).add(b)
+    sound = {at for at, place, mine, theirs in pairs if all(len(values[place - at, a]) == 1 for a in theirs)}
+    places = {at for at, _, _ in asked}
+    return bool(places) and len(sound) >= 0.8 * len(places) - 1e-9
+
+
+@pytest.mark.parametrize("few", [500_000, 0])  # 0: items' windows are joined in spread form
+def test_parameterised_questions_as_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(template_decon, "FEW", few)
+    rng = random.Random(17)
+    shapes = [
+        "A tank of {n} litres loses {m} litres every {k} minutes while {P} adds {m} litres of water from the old well near the road.",
+        "{P} and {Q} share {n} apples so that {P} gets {m} more than {Q} and nobody at the long table counts the rest of them.",
+        "How far does the train of {P} go in {n} hours at {m} km/h before it stops {k} miles short of the northern town?",
+        "Seven small boats cross the wide grey river each morning while nobody on the far bank looks up from the nets.",
+    ]
+    names, number = "Anna Boris Carla Dimitri Eva".split(), lambda: str(rng.randint(2, 99))
+
+    def fill(shape, loose=0.0):
+        values = {"n": number(), "m": number(), "k": number(), "P": rng.choice(names[:3]), "Q": rng.choice(names[3:])}
+        return re.sub(r"\{(\w)\}", lambda x: number() if rng.random() < loose and x[1] in "nmk" else values[x[1]], shape)
+
+    bench = [fill(s) for s in shapes]
+    noise = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet sed do 12 Rome km".split()) for _ in range(rng.randint(0, 20)))
+    rows = []
+    for k in range(120):
+        body = fill(rng.choice(shapes), rng.choice((0.0, 0.0, 0.3, 0.9)))
+        words = body.split()
+        if rng.random() < 0.3:
+            words = words[: rng.randint(5, len(words))]
+        if rng.random() < 0.3:
+            words[rng.randrange(len(words))] = "other"
+        rows.append((k, f"{noise()} {' '.join(words)} {noise()}"))
+    found = {(r["doc_id"], r["item_id"]) for r in template_decon.contaminated(docs(spark, *rows), items(spark, *bench)).collect()}
+    expected = {(k, i) for k, text in rows for i, item in enumerate(bench) if brute_leak(text, item)}
+    literal = {(k, i) for k, text in rows for i, item in enumerate(bench) if item.lower().split()[3:-3] == text.lower().split()[3:-3]}
+    assert found == expected and len(expected) > 20 and len(expected - literal) > 10
+
+
 # --- toxicity --------------------------------------------------------------------------------
 
 
