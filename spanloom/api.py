@@ -15,7 +15,7 @@ from spanloom.operators.judge import Judge
 from spanloom.plans.attribute import attribute
 from spanloom.schema import FLOOR, HIGH, JUDGE_K, LOW
 from spanloom.sources.events import read_events
-from spanloom.sources.store import Store
+from spanloom.sources.store import DEFAULT, Store
 
 NO_LINKS = "No attribution for this line yet."
 
@@ -130,7 +130,9 @@ class Lineage:
         return self._signer().verify(attest.read_attestation(document) if isinstance(document, str) else document)
 
     def _signer(self) -> attest.Signer:
-        return attest.Signer(self.spark, str(Path(self.store.path).parent / "keys"))
+        # keys stay on this machine, wherever the store is
+        beside = DEFAULT if "://" in self.store.path else self.store.path
+        return attest.Signer(self.spark, str(Path(beside).parent / "keys"))
 
     def reset(self) -> None:
         self.store.reset()
