@@ -44,7 +44,7 @@ LEAN = 1.5
 BLOCK = 512
 FIRST = 2  # blocks that are scored first, for a floor under the k best
 COMMON, SHARE = 512, 64  # words at most whose postings are rows of a matrix, if one of SHARE examples holds them
-TOGETHER = 64  # queries
+TOGETHER = 128  # queries
 SLIP = 1e-9  # more than sums in another order can differ by
 NEIGHBOURS = 15
 PSEUDO = 0.5
@@ -79,13 +79,18 @@ class Vocabulary:
         return np.where(self.hashes[place] == own, place, -1) if len(self.hashes) else np.full(many, -1)
 
 
-def counted(words: Vocabulary, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Known words of a text by number, ascending, and how often each stands there."""
+def spelled(words: Vocabulary, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Known words of a text by number, ascending, how often each stands there, the text's words, and which of them each is."""
     found = Counter(words_of(text))
     numbers = words.numbers(found, len(found))
     many = np.fromiter(found.values(), np.float64, len(found))
     order = np.argsort(numbers)[np.count_nonzero(numbers < 0) :]
-    return numbers[order], many[order]
+    return numbers[order], many[order], list(found), order
+
+
+def counted(words: Vocabulary, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Known words of a text by number, ascending, and how often each stands there."""
+    return spelled(words, text)[:2]
 
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -386,24 +391,21 @@ class Scorer:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         for text in texts(column) if len(own.words) else ():
-            words, many = counted(own.words, text)
+            words, many, names, order = spelled(own.words, text)
             same = xxhash.xxh128_digest(words.tobytes() + many.tobytes()) if len(words) else b""
             wanted.append(same)
             if same and same not in self.known:
-                new.setdefault(same, (text, words, own.vector(words, many)))
-        near = own.index.nearest([(words, weights) for _, words, weights in new.values()], NEIGHBOURS) if new else ()
+                new.setdefault(same, (words, own.vector(words, many), names, order))
+        near = own.index.nearest([asked[:2] for asked in new.values()], NEIGHBOURS) if new else ()
         for (same, asked), (examples, cosines) in zip(new.items(), near, strict=True):
             self.known[same] = self._judged(*asked, examples, cosines) if len(examples) else self.none
         return [self.known[same] if same else self.none for same in wanted] if len(own.words) else [self.none] * len(column)
 
-    def _judged(self, text: str, words: np.ndarray, weights: np.ndarray, examples: np.ndarray, cosines: np.ndarray) -> tuple:
-        from xxhash import xxh64_intdigest
-
+    def _judged(self, words: np.ndarray, weights: np.ndarray, names: list[bytes], order: np.ndarray, examples: np.ndarray, cosines: np.ndarray) -> tuple:
         own = self.model
         met = own.index.shared(words, int(examples[0]))
-        most = words[met][np.argsort(-weights[met], kind="stable")[:EVIDENCE]]
-        spelled = {xxh64_intdigest(w): w for w in set(words_of(text))}
-        shown = b" ".join(spelled[h] for h in own.words.hashes[most].tolist()).decode()
+        most = order[met][np.argsort(-weights[met], kind="stable")[:EVIDENCE]]
+        shown = b" ".join(names[k] for k in most.tolist()).decode()
         return calibrated(own.vote(examples, cosines), self.curve), own.example_ids[examples[0]], float(cosines[0]), shown
 
 
