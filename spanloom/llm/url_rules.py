@@ -79,10 +79,13 @@ def _path_stacks(clean: DataFrame) -> DataFrame:
     return met.groupBy("rev", "path").agg(F.array_sort(F.collect_list(rule)).alias("stack"))
 
 
-def _swept(urls: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
-    """The URLs with the stack of the last start at or before each, in the order of ``keys``."""
+def _swept(urls: DataFrame, starts: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
+    """The URLs with the stack of the last start at or before each, in the order of ``keys``.
+
+    URLs of equal keys are told apart by ``ties``, so that ranges cut through them as well.
+    """
     both = urls.withColumn("is_url", F.lit(1)).unionByName(starts.withColumn("is_url", F.lit(0)), allowMissingColumns=True)
-    order = [*keys, "is_url"]
+    order = [*keys, "is_url", *ties]
     # ranges are numbered once and for all: the sweep and what is handed on must see the same ones
     dealt = checkpoint(both.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
     ends = dealt.where("is_url = 0").groupBy("range").agg(F.max_by("stack", F.struct(*keys)).alias("end"))
@@ -100,10 +103,10 @@ def judge_urls(rows: DataFrame, url: str, rules: DataFrame, keep: list[str], def
     split = rows.select(*keep, host.alias("_host"), path.alias("_path"))
     clean = checkpoint(_clean(rules))
     urls = split.where("_host <> ''").select("_host", F.col("_path").alias("path")).distinct()
-    hosts = _swept(urls.withColumn("rev", reversed_host(F.col("_host"))), _host_stacks(clean), ["rev"])
+    hosts = _swept(urls.withColumn("rev", reversed_host(F.col("_host"))), _host_stacks(clean), ["rev"], ["path"])
     open_ = F.explode(F.filter("stack", lambda r: F.startswith(F.col("rev"), r)))
     under = hosts.select("_host", "path", open_.alias("outer")).select("_host", "path", F.col("outer").alias("rev"))
-    paths = _swept(under, _path_stacks(clean), ["rev", "path"])
+    paths = _swept(under, _path_stacks(clean), ["rev", "path"], ["_host"])
     # the last start may be another host's, or its path may have ended
     inner = F.try_element_at(F.filter("stack", lambda r: (r["rev"] == F.col("rev")) & F.startswith(F.col("path"), r["part"])), F.lit(-1))
     found = (
