@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing, pii_crf, simhash, site_style, template_decon, toxicity, url_rules, voronoi, warc
+from spanloom.llm import jump_sharding, kk_packing, license_scan, pii_crf, simhash, site_style, template_decon, toxicity, url_rules, voronoi, warc
 from spanloom.llm.common import table
 
 
@@ -106,6 +106,17 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return template_decon.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    return license_scan.label(table(spark, sf_dir, "documents"), license_scan.license_templates(spark))
+
+
+def _template_values() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    rows = [(label, text, "true", 1.0) for label, text in license_scan.PHRASES] + [(label, text, "false", 0.8) for label, text in license_scan.NOTICES]
+    return ", ".join(f"({quoted(label)}, {quoted(text)}, {base}, {least}::double)" for label, text, base, least in rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_knn_toxicity": op2_knn_toxicity,
@@ -117,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_crf": op8_pii_crf,
     "op9_kk_packing": op9_kk_packing,
     "op10_template_decontamination": op10_template_decontamination,
+    "op13_license_diagonals": op13_license_diagonals,
 }
 
 ORACLES: dict[str, str] = {
@@ -212,4 +224,49 @@ ORACLES: dict[str, str] = {
         )
         select doc_id, item_id, windows, matched, matched / windows as share from m join n using (item_id) where matched / windows >= 0.8 - 1e-9
     """,
+    "op13_license_diagonals": r"""
+        with given(label, text, is_base, threshold) as (values {templates}),
+        t as (
+            select row_number() over () as template, label, is_base, threshold, list_filter(
+                string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+                lambda x: x <> '') as w
+            from given
+        ), m as (
+            select *, len(w) as size, case when len(w) >= 4 then 4 else least(len(w), 2) end as width,
+                case when threshold >= 1 then 0 else floor(len(w) * (1 - threshold) / 2)::int end as slack
+            from t
+        ), g as (
+            select *, array_to_string(w[place + 1:place + width], ' ') as gram from (select *, unnest(range(0, size - width + 1)) as place from m)
+        ), d as (
+            select row_number() over () as r, doc_id, list_filter(
+                string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+                lambda x: x <> '') as w
+            from documents
+        ), dg as (
+            select r, width, i, array_to_string(w[i + 1:i + width], ' ') as gram
+            from (select r, w, width, unnest(range(0, greatest(len(w) - width + 1, 0))) as i from d, (values (2), (4)) k(width))
+        ), votes as (
+            select distinct r, template, i - place as diagonal, place from dg join g using (width, gram)
+        ), begun as (
+            select r, template, diagonal, coalesce(diagonal - lag(diagonal) over (partition by r, template order by diagonal) > slack, true)::int as b
+            from (select distinct r, template, diagonal from votes) join m using (template)
+        ), merged as (
+            select r, template, diagonal, sum(b) over (partition by r, template order by diagonal) as k from begun
+        ), covered as (
+            select r, template, k, unnest(range(place, place + width)) as p, diagonal from votes join merged using (r, template, diagonal) join m using (template)
+        ), spans as (
+            select r, template, k, least(count(distinct p), count(distinct p + diagonal)) as n, min(p + diagonal) as start from covered group by all
+        ), s as (
+            select r, label, is_base, start, n / size as share, n / size >= threshold as found from spans join m using (template)
+        ), f as (
+            select r, count(*) filter (where found and is_base) as n_base, min(start) filter (where found and is_base) as first_word,
+                max(start) filter (where found and is_base) as last_word,
+                string_agg(distinct label, ',' order by label) filter (where found and is_base) as base_labels,
+                string_agg(distinct label, ',' order by label) filter (where found) as labels, max(share) as score
+            from s group by r
+        )
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word,
+            cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0) as score
+        from d left join f using (r)
+    """.replace("{templates}", _template_values()),
 }
