@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jump_sharding, kk_packing, license_scan, pii_crf, simhash, site_style, template_decon, toxicity, url_rules, voronoi, warc
+from spanloom.llm import jump_sharding, kk_packing, license_scan, pii_crf, pq_negatives, prefix_trie, simhash, site_style, template_decon, toxicity, url_rules, voronoi, warc
 from spanloom.llm.common import table
 
 
@@ -106,6 +106,17 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return template_decon.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_pq_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50; every seventh label is moved by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return pq_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 50 == 0)
+
+
 def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document."""
     return license_scan.label(table(spark, sf_dir, "documents"), license_scan.license_templates(spark))
@@ -128,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_crf": op8_pii_crf,
     "op9_kk_packing": op9_kk_packing,
     "op10_template_decontamination": op10_template_decontamination,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_pq_hard_negatives": op12_pq_hard_negatives,
     "op13_license_diagonals": op13_license_diagonals,
 }
 
@@ -224,6 +237,55 @@ ORACLES: dict[str, str] = {
         )
         select doc_id, item_id, windows, matched, matched / windows as share from m join n using (item_id) where matched / windows >= 0.8 - 1e-9
     """,
+    "op11_conversation_trie": """
+        with k as (
+            select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+                lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as crc
+        ), c as (
+            select conv_id, list(struct_pack(w := md5(coalesce(role, '')) || md5(coalesce(text, '')), n := strlen(coalesce(text, ''))) order by turn nulls first) as t
+            from conversations where conv_id is not null group by conv_id
+        ), h as (
+            select conv_id, t, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                lambda r, b: xor(r >> 8, crc[(xor(r, b) & 255) + 1])), 4294967295) % 9 as h
+            from c, k
+        ), r as (
+            select h.conv_id, list_concat(coalesce(b.t, [])[1:h.h], h.t[h.h + 1:]) as t from h left join c b on b.conv_id = h.conv_id - h.conv_id % 5
+        ), p as (
+            select conv_id, len(t) as own, d, array_to_string(list_transform(t[1:d], lambda x: x.w), '') as node, case when d > 0 then t[d].n else 0 end as bytes
+            from (select *, unnest(range(0, len(t) + 1)) as d from r)
+        ), n as (
+            select d, node, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where own = d), '')) as ends_sha256
+            from p group by d, node
+        ), kids as (select d - 1 as d, substr(node, 1, 64 * (d - 1)) as node, count(*) as n_children from n where d > 0 group by all),
+        x as (select n.*, coalesce(n_children, 0) as n_children from n left join kids using (d, node)),
+        up as (select *, unnest(range(0, d + 1)) as a from x),
+        s as (
+            select a as d, substr(node, 1, 64 * a) as node, count(*) filter (where n_children = 0) as n_leaves, sum((n_convs - 1) * bytes) as saved from up group by all
+        )
+        select x.conv_id, x.d as depth, up.conv_id as parent_conv_id, x.n_convs, x.n_children, s.n_leaves, s.saved::bigint as saved_tokens, x.ends_sha256
+        from x join s using (d, node) left join n up on up.d = x.d - 1 and up.node = substr(x.node, 1, 64 * greatest(x.d - 1, 0))
+    """,
+    "op12_pq_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+                list_transform(embedding, lambda x: floor(256 * x::double)) as e
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select a.vec_id as anchor_id, x.vec_id, a.label = x.label as alike, cast(list_dot_product(a.e, x.e) as bigint) as score
+            from v a join v x on a.vec_id % 50 = 0
+        ), p as (
+            select anchor_id, vec_id, score from s where alike and anchor_id <> vec_id
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        ), n as (
+            select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+                row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as n
+            from p join s on p.anchor_id = s.anchor_id and not s.alike and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+        )
+        select anchor_id, positive_id, cast(n as int) as rank, negative_id, positive_score, negative_score from n where n <= 3
+    """,
     "op13_license_diagonals": r"""
         with given(label, text, is_base, threshold) as (values {templates}),
         t as (
