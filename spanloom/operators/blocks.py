@@ -31,6 +31,24 @@ def _dealt(rows: DataFrame, scope: list[str], key: list[str], vector: str, most:
     return packed, counts
 
 
+def meet(
+    left: DataFrame, right: DataFrame, scope: list[str], left_key: list[str], right_key: list[str], values: tuple[str, str],
+    sizes: tuple[int, int] | None = None,
+) -> DataFrame:
+    """scope, _x, _y: each block of left rows (key, v) with each block of right rows of its scope; ``values`` are the columns v, ``sizes`` those of blocks."""
+    most = sizes or (LEFT, RIGHT)
+    a, a_blocks = _dealt(left, scope, left_key, values[0], most[0])
+    b, b_blocks = _dealt(right, scope, right_key, values[1], most[1])
+    tiles = a_blocks.select(*scope, F.ceil(F.col("blocks") / SIDE).alias("down")).join(
+        b_blocks.select(*scope, F.ceil(F.col("blocks") / SIDE).alias("over")), scope
+    )
+    tiles = cut(tiles)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    x = a.join(tiles, scope).select(*scope, F.pmod("block", F.col("down")).alias("_r"), spread("over").alias("_c"), F.col("rows").alias("_x"))
+    y = b.join(tiles, scope).select(*scope, spread("down").alias("_r"), F.pmod("block", F.col("over")).alias("_c"), F.col("rows").alias("_y"))
+    return x.join(y, [*scope, "_r", "_c"]).select(*scope, "_x", "_y")
+
+
 def _matrix(rows: pa.StructArray) -> np.ndarray:
     held = rows.field("v")
     return held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
@@ -53,16 +71,7 @@ def products(
 
     ``least`` leaves out lower similarities. A vector of null takes no part.
     """
-    a, a_blocks = _dealt(left.where(F.col(vector).isNotNull()), scope, left_key, vector, LEFT)
-    b, b_blocks = _dealt(right.where(F.col(vector).isNotNull()), scope, right_key, vector, RIGHT)
-    tiles = a_blocks.select(*scope, F.ceil(F.col("blocks") / SIDE).alias("down")).join(
-        b_blocks.select(*scope, F.ceil(F.col("blocks") / SIDE).alias("over")), scope
-    )
-    tiles = cut(tiles)
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    x = a.join(tiles, scope).select(*scope, F.pmod("block", F.col("down")).alias("_r"), spread("over").alias("_c"), F.col("rows").alias("_x"))
-    y = b.join(tiles, scope).select(*scope, spread("down").alias("_r"), F.pmod("block", F.col("over")).alias("_c"), F.col("rows").alias("_y"))
-    met = x.join(y, [*scope, "_r", "_c"]).select(*scope, "_x", "_y")
+    met = meet(left.where(F.col(vector).isNotNull()), right.where(F.col(vector).isNotNull()), scope, left_key, right_key, (vector, vector))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

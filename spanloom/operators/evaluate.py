@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from spanloom.functions.numeric import f1, ratio
-from spanloom.functions.text import first_match, padded
+from spanloom.functions.text import padded
+from spanloom.operators.patterns import first_texts
 from spanloom.schema import FLOOR, HIGH, LOW, ORACLE_K
 
 UNGROUNDED = "UNGROUNDED"
@@ -27,12 +27,14 @@ def threshold_grid(start: float = 0.2, end: float = 0.45, step: float = 0.01) ->
 
 
 def align(labels: DataFrame, spans: DataFrame, path: str = "path") -> DataFrame:
-    """Each label (path, find, expected) with the first span whose text contains ``find``; sim 0 if none does."""
-    own = labels.withColumn("_l", F.struct(path, "find"))
-    held = own.join(spans, path, "left").where(F.col("text").isNull() | first_match(F.col("text"), F.col("find")))
-    first = Window.partitionBy("_l").orderBy("start_line")
-    found = held.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "expected")
-    joined = labels.join(found.drop("_l"), [path, "find"], "left")
+    """Each label (path, find, expected) with the first span whose text contains ``find``; sim 0 if none does.
+
+    All labels of a file are looked for in one reading of each span. ``start_line`` names a file's span.
+    """
+    firsts = first_texts(labels, spans, [path], "find", "text", "start_line")
+    rest = [c for c in spans.columns if c not in (path, "start_line", "expected")]
+    named = spans.groupBy(path, "start_line").agg(F.min_by(F.struct(*rest), F.col("text")).alias("_s")).select(path, "start_line", "_s.*")
+    joined = labels.join(firsts.join(named, [path, "start_line"]), [path, "find"], "left")
     return joined.withColumn("sim", F.coalesce("sim", F.lit(0.0)))
 
 

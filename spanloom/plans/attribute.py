@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators import decide, segment, similarity
+from spanloom.operators import decide, headed, segment, similarity
 from spanloom.operators.embed import Embedder, dense_scores
 from spanloom.operators.judge import Judge
 from spanloom.schema import EMBEDDING, FLOOR, HIGH, JUDGE_K, LOW, TOP_CANDIDATES
@@ -20,15 +20,20 @@ def candidates(
     """Spans (scope, path, start_line, end_line, text), each span's best candidate of each uri, and the chunks.
 
     ``artifacts``: path, content, session_id; ``sources``: source_id, uri, uri_ord, content, session_id.
-    Without session scope all sources are one pool. Without an embedder bags of tokens are compared;
+    Without session scope all sources are one pool, and each span's TOP_CANDIDATES first candidates alone are made. Without an embedder bags of tokens are compared;
     with one, texts that ``cache`` (content_hash, vec) lacks are embedded. Candidates name their
     chunk (``chunk_uri_ord``, ``source_id``, ``chunk_ord``); ``with_chunks`` fetches the texts of those that need them.
     """
     scope = F.col("session_id") if session_scoped else F.lit("*")
     spans = segment.segment(artifacts.withColumn("scope", scope), ["scope", "path"])
     pool = sources.withColumn("scope", scope)
+    if not session_scoped:
+        pool = pool.withColumn("content", F.coalesce("content", F.lit("")))  # every source has a chunk
     chunks = segment.chunk(pool, ["scope", "uri", "uri_ord", "source_id"])
     chunk_key, span_key = CHUNK[1:], KEY[1:]
+    if embedder is None and not session_scoped:
+        found = headed.best_uris(spans, chunks, ["scope"], span_key, chunk_key).withColumnsRenamed({"uri_ord": "chunk_uri_ord", "first_ord": "uri_ord"})
+        return spans, found.select(*KEY, "uri", "uri_ord", "source_id", "chunk_uri_ord", "chunk_ord", "sim"), chunks
     if embedder is None:
         scores = similarity.sparse_scores(spans, chunks, ["scope"], span_key, chunk_key)
     else:
