@@ -247,6 +247,11 @@ ORACLES: dict[str, str] = {
             case when role = 'user' then 'user_msg' when role is not null then 'conversation' end as type, round(confidence, 6) as confidence, method
         from res join (values (1::bigint), (2::bigint), (3::bigint), (99::bigint)) l(line) on l.line between start_line and end_line
         left join s on res.source_id = s.source_id""",
+    "why_bulk": f"""
+        {RESULTS}, li as (select path, unnest(range(1, len(string_split(content, chr(10))) + 2)) as line from a)
+        select res.path, li.line, start_line, end_line, s.uri,
+            case when role = 'user' then 'user_msg' when role is not null then 'conversation' end as type, round(confidence, 6) as confidence, method
+        from res join li on res.path = li.path and li.line between start_line and end_line left join s on res.source_id = s.source_id""",
     "attribution_for": f"""
         {RESULTS} select path, start_line, end_line, 'block' as kind, source_uri as uri, round(confidence, 6) as confidence, method from res""",
     "replace_attribution": f"""
@@ -383,3 +388,13 @@ ORACLES |= {
 }
 ORACLES["stream_route"] = ORACLES["hook_route"]
 ORACLES["stream_versions"] = ORACLES["artifact_versions"]
+ORACLES["stream_dedup_late"] = """
+    with e as (
+        select distinct sha256(event_type) as content_hash, cast(user_id as varchar) as session_id, (day(ts) - 1) // 6 as part from events where event_id % 7 <> 0
+    ), k as (
+        select content_hash, session_id, list_reduce(list_sort(list(part + 1)), lambda kept, p: case when p - kept % 10 > 3 then kept * 10 + p else kept end) as kept
+        from e group by all
+    )
+    select content_hash, session_id, cast(unnest(list_transform(string_split(cast(kept as varchar), ''), lambda c: cast(c as int) - 1)) as bigint) as part from k"""
+ORACLES["hook_source"] = f"select target, uri, type, content, session_id from ({ORACLES['hook_route']}) where type = 'file'"
+ORACLES["hook_source_stream"] = f"select target, uri, type, content, session_id from ({ORACLES['hook_route']})"

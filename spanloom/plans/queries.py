@@ -343,6 +343,16 @@ def why_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "line", "start_line", "end_line", "uri", "type", six("confidence"), "method")
 
 
+def why_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every artifact, and one behind its end: the links of each."""
+    sources, artifacts, spans, links = _graph(spark, sf_dir)
+    written, _ = conversation_tables(read(spark, sf_dir, "conversations"))
+    count = F.size(F.split("content", "\n", -1)).cast("bigint")
+    lines = written.select("path", F.explode(F.sequence(F.lit(1).cast("bigint"), count + 1)).alias("line"))
+    found = graph.why(lines, artifacts, spans, links, sources)
+    return found.select("path", "line", "start_line", "end_line", "uri", "type", six("confidence"), "method")
+
+
 def attribution_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources, artifacts, spans, links = _graph(spark, sf_dir)
     found = graph.attribution_for(artifacts.select("path"), artifacts, spans, links, sources)
@@ -468,7 +478,7 @@ def label_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("user1").alias("expected"),
     ).distinct()
     spans = _results(spark, sf_dir).select("path", "start_line", "text", F.col("confidence").alias("sim"), F.col("candidate_uri").alias("source"))
-    return evaluate.align(labels, spans).select("path", "find", "expected", "start_line", "source", six("sim"))
+    return evaluate.align(labels, cut(spans)).select("path", "find", "expected", "start_line", "source", six("sim"))
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,14 +548,63 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("event_id", "target", "uri", "type", "content", "session_id")
 
 
-def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spanloom.streaming.capture import batch_of_stream, version_stream
+def _event_log(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of JSON lines: the tool events, and lines that are none."""
+    from spanloom.sources import hook
+    from spanloom.streaming.capture import fresh_root
+
+    hook.register(spark)
+    events = read(spark, sf_dir, "events")
+    other = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, "{broken").otherwise("[1]")
+    folder = f"{fresh_root(spark, 'log')}/in"
+    raw_events(events).select("raw").unionByName(events.where("event_id % 20 = 0").select(other.alias("raw"))).write.text(folder)
+    return folder
 
-    def versions(stream: DataFrame) -> DataFrame:
-        writes = stream.select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("content"), F.col("ts").alias("seq"), "event_id")
-        return version_stream(writes)
 
-    return batch_of_stream(spark, sf_dir, "events", versions).select("event_id", "path", "content_hash", "version")
+def hook_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the event source reads with a filter that it applies itself, routed."""
+    reads = spark.read.format("hook_events").load(_event_log(spark, sf_dir)).where("tool_name = 'Read'")
+    return capture.route(reads.select("raw")).select("target", "uri", "type", "content", "session_id")
+
+
+def hook_source_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.streaming.capture import route_stream, run_available
+
+    folder = _event_log(spark, sf_dir)
+    root = folder.removesuffix("/in")
+    run_available(route_stream(spark.readStream.format("hook_events").load(folder).select("raw")), f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out").select("target", "uri", "type", "content", "session_id")
+
+
+def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes arrive in three slices and up to 80 minutes out of order; a last one, of no path, lets the watermark pass them all."""
+    from spanloom.streaming.capture import fresh_root, stream_of_slices, typed_state, version_stream
+
+    typed_state(spark)
+    events = read(spark, sf_dir, "events")
+    writes = events.select("event_id", F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("content"), F.col("ts").alias("seq"))
+    arrival = F.col("seq") + F.make_dt_interval(mins=(F.col("event_id") % 5 * 20).cast("int"))
+    third = F.when(F.month(arrival) > 1, 2).otherwise(F.least(F.floor((F.dayofmonth(arrival) - 1) / 10), F.lit(2)))
+    slices = [writes.where(third == k) for k in range(3)]
+    after = writes.agg(F.lit(-1).cast("bigint").alias("event_id"), F.lit("").alias("path"), F.lit("").alias("content"), (F.max("seq") + F.expr("interval 2 days")).alias("seq"))
+    slices[2] = slices[2].unionByName(after)
+    return stream_of_slices(slices, lambda stream: version_stream(stream, "2 hours"), fresh_root(spark, "versions")).select("event_id", "path", "content_hash", "version")
+
+
+def stream_dedup_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five slices of six days with a watermark of nine: every seventh event comes 18 days late and is left out; a
+    content that a session repeats is kept again when its key has expired."""
+    from spanloom.streaming.capture import dedup_stream, fresh_root, stream_of_slices
+
+    part = F.floor((F.dayofmonth("ts") - 1) / 6)
+    rows = read(spark, sf_dir, "events").select(
+        F.col("event_type").alias("content"), F.col("user_id").cast("string").alias("session_id"), part.alias("part"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=(part * 6).cast("int"))).alias("at"),
+        (part + F.when(F.col("event_id") % 7 == 0, 3).otherwise(0)).alias("slice"),
+    )
+    slices = [rows.where(F.col("slice") == k).drop("slice") for k in range(5)]
+    found = stream_of_slices(slices, lambda stream: dedup_stream(stream, ("at", "9 days")), fresh_root(spark, "late"))
+    return found.select("content_hash", "session_id", F.col("part").cast("bigint"))
 
 
 QUERIES: dict[str, Query] = {
@@ -553,9 +612,10 @@ QUERIES: dict[str, Query] = {
     for f in (
         source_dedup, artifact_versions, latest_artifact, hook_route, as_text, source_preview, sources_for_session, segment_spans, chunk_windows,
         token_vectors, embed_cache_misses, cosine_pairs, best_per_source, topk_candidates, decide_embedding, top_candidates, judge_shortlist,
-        judge_decide, parse_verdict, counts, declared_citation, why_line, attribution_for, replace_attribution, audit_coverage, gate,
+        judge_decide, parse_verdict, counts, declared_citation, why_line, why_bulk, attribution_for, replace_attribution, audit_coverage, gate,
         attestation_spans, attestation_verify, split_hash, expected_rank, oracle_ceiling, eval_confusion, threshold_sweep, calibrate_low,
         decide_unscoped, decide_dense, vector_dot, line_slices, spike_spans, spike_truth, spike_chunks, live_scores, live_lines,
-        label_alignment, languages, judge_sweep, spike_metrics, dataset_merge, stream_source_dedup, stream_route, stream_versions,
+        label_alignment, languages, judge_sweep, spike_metrics, dataset_merge, stream_source_dedup, stream_route, stream_versions, stream_dedup_late,
+        hook_source, hook_source_stream,
     )
 }
