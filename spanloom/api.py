@@ -100,9 +100,10 @@ class Lineage:
         sources = pool.select(F.col("id").alias("source_id"), "uri", F.col("id").alias("uri_ord"), "content", "session_id")
         judge = self.judge if use_judge else None
         found = attribute(latest.select("path", "content", "session_id"), sources, judge, high, low, floor, judge_k, session_scoped=False)
-        results = cut(found.join(latest.select("path", F.col("id").alias("artifact_id"), "content_hash"), "path"))
+        ids = latest.select("path", F.col("id").alias("artifact_id"), "content_hash")
+        results = cut(found.join(ids, "path"))
         if persist:
-            self.store.write_attribution(results)
+            self.store.write_attribution(results, ids)
         return results
 
     def audit(self, path: str, use_judge: bool = False) -> str | None:

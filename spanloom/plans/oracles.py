@@ -398,3 +398,13 @@ ORACLES["stream_dedup_late"] = """
     select content_hash, session_id, cast(unnest(list_transform(string_split(cast(kept as varchar), ''), lambda c: cast(c as int) - 1)) as bigint) as part from k"""
 ORACLES["hook_source"] = f"select target, uri, type, content, session_id from ({ORACLES['hook_route']}) where type = 'file'"
 ORACLES["hook_source_stream"] = f"select target, uri, type, content, session_id from ({ORACLES['hook_route']})"
+ORACLES["sql_segment"] = ORACLES["segment_spans"]
+ORACLES["sql_chunk"] = ORACLES["chunk_windows"]
+ORACLES["sql_why"] = f"select path, line, start_line, end_line, uri, confidence, method from ({ORACLES['why_line']})"
+ORACLES["store_attribution"] = f"""
+    {RESULTS} select path, 2::bigint as version, start_line, end_line, source_uri as uri, round(confidence, 6) as confidence, method,
+        case when cast(path as bigint) % 2 = 0 then status else 'first' end as status
+    from res"""
+ORACLES["store_vectors"] = """
+    with t as (select sha256(text) as content_hash, length(text) as n, min(doc_id % 2) as odd, bool_or(doc_id % 3 = 0) as asked from documents group by all)
+    select content_hash, case when odd = 0 then n else 1 end::double as first, case when odd = 0 then 1 else n end::double as second from t where asked"""

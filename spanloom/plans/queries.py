@@ -373,6 +373,86 @@ def replace_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left_links.select(F.col("id"), F.lit("link").alias("what")).unionByName(left_spans.select("id", F.lit("span").alias("what")))
 
 
+# --- store and SQL ---------------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, sf_dir: str):
+    """A store of the conversations: captured, attributed, and the even ones attributed once more."""
+    from spanloom.sources.store import Store
+    from spanloom.streaming.capture import fresh_root
+
+    store = Store(spark, fresh_root(spark, "store"))
+    artifacts, sources = conversation_tables(read(spark, sf_dir, "conversations"))
+    place = F.col("conv_id") * 1000 + F.col("turn")
+    store.add_sources(sources.withColumns({"seq": place, "captured_at": F.timestamp_seconds(place), "type": F.lit("user_msg")}))
+    at = F.timestamp_seconds(F.col("path").cast("bigint"))
+    for content in (F.lit("first draft"), F.col("content")):
+        store.add_artifacts(artifacts.withColumns({"content": content, "created_at": at, "generator": F.lit("agent")}))
+    latest = cut(capture.latest_artifacts(store.table("artifact")))
+    pool = store.table("source").select(F.col("id").alias("source_id"), "uri", F.col("id").alias("uri_ord"), "content", "session_id")
+    ids = latest.select("path", F.col("id").alias("artifact_id"))
+    found = cut(attribute(latest.select("path", "content", "session_id"), pool).join(ids, "path"))
+    store.write_attribution(found.withColumn("status", F.lit("first")))
+    store.write_attribution(found.where(F.col("path").cast("bigint") % 2 == 0))
+    return store
+
+
+def store_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds after capture, attribution and a second attribution of the even conversations."""
+    store = _stored(spark, sf_dir)
+    spans = store.table("span").select(F.col("id").alias("span_id"), "artifact_id", "start_line", "end_line")
+    named = store.table("artifact").select(F.col("id").alias("artifact_id"), "path", "version")
+    uris = store.table("source").select(F.col("id").alias("source_id"), "uri")
+    held = store.table("link").join(spans, "span_id").join(named, "artifact_id").join(uris, "source_id", "left")
+    return held.select("path", "version", "start_line", "end_line", "uri", six("confidence"), "method", "status")
+
+
+def store_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of even documents' texts are cached; those put again, reversed, for all documents are new for the others alone."""
+    from spanloom.sources.store import Store
+    from spanloom.streaming.capture import fresh_root
+
+    store = Store(spark, fresh_root(spark, "vectors"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    hashed = docs.select("doc_id", T.content_hash(F.col("text")).alias("content_hash"), F.length("text").cast("float").alias("n"))
+    one = F.lit(1).cast("float")
+    store.put_vectors(hashed.where("doc_id % 2 = 0").select("content_hash", F.array("n", one).alias("vec")))
+    store.put_vectors(hashed.select("content_hash", F.array(one, "n").alias("vec")))
+    found = store.get_vectors(docs.where("doc_id % 3 = 0"))
+    return found.select("content_hash", F.col("vec")[0].cast("double").alias("first"), F.col("vec")[1].cast("double").alias("second"))
+
+
+def sql_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.functions.tables import register
+
+    register(spark)
+    artifacts, _ = conversation_tables(read(spark, sf_dir, "conversations"))
+    corners = spark.createDataFrame(CORNERS, "path string, content string")
+    artifacts.select("path", "content").unionByName(corners).createOrReplaceTempView("written")
+    return spark.sql("select path, s.* from written, lateral segment_lines(content) s")
+
+
+def sql_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.functions.tables import register
+
+    register(spark)
+    for name in ("conversations", "documents"):
+        read(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql("""
+        with t as (
+            select concat_ws(':', conv_id, turn) as key, text from conversations where role <> 'assistant' union all select concat('d', doc_id), text from documents
+        )
+        select key, c.chunk_ord, sha2(c.chunk, 256) as chunk_hash from t, lateral chunk_text(text, 2, 12) c""")
+
+
+def sql_why(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the first lines of each artifact, by the views over a store."""
+    _stored(spark, sf_dir).register_views()
+    return spark.sql("""
+        select w.path, l.line, w.start_line, w.end_line, w.uri, round(w.confidence, 6) as confidence, w.method
+        from why w join (values (1L), (2L), (3L), (99L)) l(line) on l.line between w.start_line and w.end_line""")
+
+
 # --- reports ---------------------------------------------------------------------------------
 
 
@@ -616,6 +696,6 @@ QUERIES: dict[str, Query] = {
         attestation_spans, attestation_verify, split_hash, expected_rank, oracle_ceiling, eval_confusion, threshold_sweep, calibrate_low,
         decide_unscoped, decide_dense, vector_dot, line_slices, spike_spans, spike_truth, spike_chunks, live_scores, live_lines,
         label_alignment, languages, judge_sweep, spike_metrics, dataset_merge, stream_source_dedup, stream_route, stream_versions, stream_dedup_late,
-        hook_source, hook_source_stream,
+        hook_source, hook_source_stream, store_attribution, store_vectors, sql_segment, sql_chunk, sql_why,
     )
 }
