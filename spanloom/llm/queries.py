@@ -228,14 +228,28 @@ ORACLES: dict[str, str] = {
             from w
         ), g as (
             select side, id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i+4], ' '))) as gram,
-                generate_subscripts(range(1, greatest(len(words) - 4, 1) + 1), 1) as place
+                generate_subscripts(range(1, greatest(len(words) - 4, 1) + 1), 1) as place, len(words) as size
             from t where len(words) > 0
         ), n as (select id as item_id, count(*) as windows from g where side = 'i' group by id),
-        m as (
-            select d.id as doc_id, i.id as item_id, count(distinct i.place) as matched
-            from (select distinct id, gram from g where side = 'd') d join g i on i.side = 'i' and i.gram = d.gram group by all
+        hit as (
+            select d.id as doc_id, i.id as item_id, i.place, d.place - i.place as diagonal, i.size >= 5 as whole
+            from g d join g i on d.side = 'd' and i.side = 'i' and i.gram = d.gram
+            union all
+            select d.id, i.id, 1, d.place, false
+            from (
+                select id, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i+k-1], ' '))) as gram,
+                    generate_subscripts(range(1, len(words) - k + 2), 1) as place
+                from t, (values (2), (3), (4)) w(k) where side = 'd' and len(words) > k
+            ) d join g i on i.side = 'i' and i.size = d.k and i.gram = d.gram
+        ), m as (select doc_id, item_id, count(distinct place) as matched from hit group by all),
+        runs as (
+            select doc_id, item_id, max(c) as longest from (
+                select doc_id, item_id, diagonal, place - r as run, count(*) as c from (
+                    select *, row_number() over (partition by doc_id, item_id, diagonal order by place) as r
+                    from (select distinct doc_id, item_id, diagonal, place from hit where whole)) group by all) group by all
         )
-        select doc_id, item_id, windows, matched, matched / windows as share from m join n using (item_id) where matched / windows >= 0.8 - 1e-9
+        select doc_id, item_id, windows, matched, matched / windows as share
+        from m join n using (item_id) left join runs using (doc_id, item_id) where matched / windows >= 0.8 - 1e-9 or longest >= 9
     """,
     "op11_conversation_trie": """
         with k as (

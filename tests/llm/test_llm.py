@@ -443,7 +443,8 @@ def test_templates_and_slots(spark):
 
 
 def brute_windows(text, item):
-    """(place, window, slots) of all windows of five template words, from the module's word classes alone."""
+    """(place, window, slots) of all windows of five template words, from the module's word classes alone; those of
+    few literal words are all their words."""
     raw = [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", text or "") if w]
     words, first = [], True
     for w in raw:
@@ -463,22 +464,37 @@ def brute_windows(text, item):
         width = min(5, len(form))
         for at in range(len(form) - width + 1 if form else 0):
             part = form[at : at + width]
-            if wanted(at, width) and sum(k == "word" for k, _, _ in part) >= min(2, width):
+            if not wanted(at, width):
+                continue
+            if sum(k == "word" for k, _, _ in part) >= min(2, width):
                 found.add((at, tuple(w if k == "word" else f"<{k}>" for k, w, _ in part), tuple((k, w) for k, w, _ in part if k != "word")))
+            else:
+                found.add((at, ("=", *(w for _, w, _ in part)), ()))
+    if item and 1 < len(words) < 5:
+        found.add((0, ("=", *(w for _, w, _ in words)), ()))
+    if not item:
+        for width in (2, 3, 4):
+            found |= {(at, ("=", *(w for _, w, _ in words[at : at + width])), ()) for at in range(len(words) - width)} if len(words) > width else set()
+            if len(words) > width:
+                found.add((len(words) - width, ("=", *(w for _, w, _ in words[-width:])), ()))
     return found
 
 
 def brute_leak(text, item):
-    """Whether 0.8 of the item's windows stand in the text with slots that agree along each alignment."""
+    """Whether 0.8 of the item's windows, or nine in a row, stand in the text with slots that agree along each alignment."""
     own, asked = brute_windows(text, False), brute_windows(item, True)
-    pairs = [(at, place, mine, theirs) for place, w, mine in own for at, x, theirs in asked if w == x]
+    met = [((at, place, mine, theirs), w) for place, w, mine in own for at, x, theirs in asked if w == x]
+    pairs, kinds = [p for p, _ in met], [w for _, w in met]
     values = {}
     for at, place, mine, theirs in pairs:
         for a, b in zip(theirs, mine, strict=True):
             values.setdefault((place - at, a), set()).add(b)
-    sound = {at for at, place, mine, theirs in pairs if all(len(values[place - at, a]) == 1 for a in theirs)}
+    good = [(at, place, w) for (at, place, mine, theirs), w in zip(pairs, kinds, strict=True) if all(len(values[place - at, a]) == 1 for a in theirs)]
+    sound = {at for at, _, _ in good}
+    line = {(place - at, at) for at, place, w in good if len(w) - (w[0] == "=") == 5}
+    run = any(all((d, at + k) in line for k in range(9)) for d, at in line)
     places = {at for at, _, _ in asked}
-    return bool(places) and len(sound) >= 0.8 * len(places) - 1e-9
+    return bool(places) and (len(sound) >= 0.8 * len(places) - 1e-9 or run)
 
 
 @pytest.mark.parametrize("few", [500_000, 0])  # 0: items' windows are joined in spread form
@@ -497,7 +513,7 @@ def test_parameterised_questions_as_brute_force(spark, monkeypatch, few):
         values = {"n": number(), "m": number(), "k": number(), "P": rng.choice(names[:3]), "Q": rng.choice(names[3:])}
         return re.sub(r"\{(\w)\}", lambda x: number() if rng.random() < loose and x[1] in "nmk" else values[x[1]], shape)
 
-    bench = [fill(s) for s in shapes]
+    bench = [fill(s) for s in shapes] + ["12 7 3 33", "capital of France", "4 8 15 16 23 42", "Rome", "the old well 12"]
     noise = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet sed do 12 Rome km".split()) for _ in range(rng.randint(0, 20)))
     rows = []
     for k in range(120):
@@ -508,10 +524,13 @@ def test_parameterised_questions_as_brute_force(spark, monkeypatch, few):
         if rng.random() < 0.3:
             words[rng.randrange(len(words))] = "other"
         rows.append((k, f"{noise()} {' '.join(words)} {noise()}"))
+    rows += [(200, "12 7 3 33"), (201, f"{noise()} 12 7 3 33. {noise()}"), (202, "The Capital of France is large."), (203, "12 7 4 33"), (204, "the capital of Spain")]
+    rows += [(205, "x 4 8 15 16 23 42"), (206, "4 8 15 16 23 43 42"), (207, "Rome"), (208, "to Rome"), (209, " ".join(bench[3].split()[:13])), (210, " ".join(bench[3].split()[4:16]))]
     found = {(r["doc_id"], r["item_id"]) for r in template_decon.contaminated(docs(spark, *rows), items(spark, *bench)).collect()}
     expected = {(k, i) for k, text in rows for i, item in enumerate(bench) if brute_leak(text, item)}
     literal = {(k, i) for k, text in rows for i, item in enumerate(bench) if item.lower().split()[3:-3] == text.lower().split()[3:-3]}
     assert found == expected and len(expected) > 20 and len(expected - literal) > 10
+    assert {(200, 4), (201, 4), (202, 5), (205, 6), (207, 7), (209, 3)} <= found and not {(203, 4), (204, 5), (208, 7), (210, 3)} & found
 
 
 # --- toxicity --------------------------------------------------------------------------------
