@@ -7,9 +7,15 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spanloom.functions.ids import allocate_ids
+from spanloom.functions.lineage import cut
 from spanloom.functions.numeric import fixed
+from spanloom.operators.report import STATUS, attestation_spans
+
+FAN = 1024  # digests that are hashed into one of the next level
 
 
 def _pem(kind: str, body: bytes) -> str:
@@ -88,6 +94,50 @@ def build_attestation(path: str, content_hash: str, results: list[dict], generat
     return {"version": 1, "path": path, "content_hash": content_hash, "generated_at": generated_at, "coverage": coverage, "spans": spans}
 
 
+# --- many files under one signature ------------------------------------------------------------
+
+
+def reports(results: DataFrame, generated_at: str) -> DataFrame:
+    """path, report (its JSON text), digest of each file's results."""
+    held = attestation_spans(results)
+    coverage = F.struct(F.col("spans").alias("total"), *STATUS)
+    document = F.struct(F.lit(1).alias("version"), "path", F.lit(generated_at).alias("generated_at"), coverage.alias("coverage"), F.col("details").alias("spans"))
+    written = held.select("path", F.to_json(document, {"ignoreNullFields": "false"}).alias("report"))
+    return written.withColumn("digest", F.sha2("report", 256))
+
+
+def root(digests: DataFrame) -> tuple[int, str]:
+    """The number of digests (place, digest; places from 0) and the root of the hash tree over them.
+
+    Each level hashes FAN digests, in the order of their places, into one: a few aggregates for any number of files.
+    """
+    level = cut(digests.select(F.col("place").cast("bigint").alias("place"), "digest"))
+    size = many = level.count()
+    while many > 1:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda d: d["digest"])  # FAN at most
+        level = cut(level.groupBy(F.floor(F.col("place") / FAN).alias("place")).agg(F.sha2(F.array_join(listed, ""), 256).alias("digest")))
+        many = level.count()
+    top = level.first()
+    return size, top["digest"] if top else ""
+
+
+def attest_all(results: DataFrame, generated_at: str, signer: Signer) -> tuple[DataFrame, dict]:
+    """place, path, report, digest of every file, and one signed document that vouches for all of them.
+
+    Reports and the tree over their digests are made where the results are; the driver, which has the key, signs the root alone.
+    """
+    rows = cut(allocate_ids(reports(results, generated_at), ["path"], 0, "place"))
+    size, top = root(rows)
+    return rows, signer.sign({"version": 1, "generated_at": generated_at, "reports": size, "root": top})
+
+
+def verify_all(rows: DataFrame, document: dict, signer: Signer) -> DataFrame:
+    """The rows with ``valid``: the signature holds, the tree over their digests has the signed root, and the report has its digest."""
+    size, top = root(rows)
+    sound = signer.verify(document) and (document.get("reports"), document.get("root")) == (size, top)
+    return rows.withColumn("valid", F.lit(sound) & F.coalesce(F.sha2("report", 256) == F.col("digest"), F.lit(False)))
+
+
 def write_attestation(document: dict, path: str) -> None:
     Path(path).write_text(json.dumps(document, indent=2, ensure_ascii=False) + "\n")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -55,9 +56,15 @@ class ColumnJudge:
         return pairs.withColumns({"derived": self.derived, "evidence": evidence, "judge_available": F.lit(True)})
 
 
+SERVICE, SPACING = "SPANLOOM_JUDGE", "SPANLOOM_JUDGE_SPACING_MS"  # of the environment
+
+
 def choose(transports: dict[str, Callable[[str], str]], forced: str | None = None, **options) -> Judge:
-    """The judge of the forced service, else of the first one there is; without any, none is available."""
-    name = forced if forced is not None else next(iter(transports), None)
+    """The judge of the forced service (the argument, else the environment's), else of the first one there is; without any, none
+    is available. The environment's spacing counts unless one is given."""
+    name = forced if forced is not None else os.environ.get(SERVICE) or next(iter(transports), None)
+    if "spacing" not in options and os.environ.get(SPACING, "").isdigit():
+        options["spacing"] = int(os.environ[SPACING]) / 1000
     return CallableJudge(transports[name], **options) if name in transports else NoJudge()
 
 

@@ -121,6 +121,9 @@ DENSE = """
     )"""
 
 
+DENSE_ALL = DENSE.replace(" and label <> 9", "")
+
+
 def confusion(rows: str, keys: str, predicted: str, correct: str = "source = expected") -> str:
     by = f"{keys}, " if keys else ""
     return f"""
@@ -204,9 +207,9 @@ ORACLES: dict[str, str] = {
     "embed_cache_misses": """
         select distinct sha256(text) as content_hash, length(text) as n_chars from documents
         where text not in (select text from documents where doc_id % 2 = 0)""",
-    "cosine_pairs": f"with {DENSE} select query_id, vec_id, round(sim, 6) as sim from d where sim >= 0.30",
-    "best_per_source": f"with {DENSE} select query_id, uri, round(sim, 6) as sim, vec_id as cand_ord from b",
-    "topk_candidates": f"with {DENSE} select query_id, rank, uri, round(sim, 6) as sim from k where rank <= 5",
+    "cosine_pairs": f"with {DENSE_ALL} select query_id, vec_id, round(sim, 6) as sim from d where sim >= 0.30",
+    "best_per_source": f"with {DENSE_ALL} select query_id, uri, round(sim, 6) as sim, vec_id as cand_ord from b",
+    "topk_candidates": f"with {DENSE_ALL} select query_id, rank, uri, round(sim, 6) as sim from k where rank <= 5",
     "decide_embedding": f"""
         {RESULTS} select path, start_line, end_line, status, source_uri, candidate_uri, round(confidence, 6) as confidence, method from res""",
     "top_candidates": f"""
@@ -408,3 +411,19 @@ ORACLES["store_attribution"] = f"""
 ORACLES["store_vectors"] = """
     with t as (select sha256(text) as content_hash, length(text) as n, min(doc_id % 2) as odd, bool_or(doc_id % 3 = 0) as asked from documents group by all)
     select content_hash, case when odd = 0 then n else 1 end::double as first, case when odd = 0 then 1 else n end::double as second from t where asked"""
+SEEDED = ORACLES["decide_unscoped"].replace(
+    "as uri_ord, content from s)", "as uri_ord, content from s qualify row_number() over (partition by content order by cast(path as bigint) * 1000 + uri_ord) = 1)"
+)
+ORACLES["eval_seeded"] = f"""
+    with {ARTIFACTS}, {spans()}, d as (select * from ({SEEDED})), lb as (
+        select distinct cast(conv_id as varchar) as path, right(text, 15) as find, conv_id || ':0' as expected from conversations where role = 'assistant'
+    ), al as (
+        select lb.*, sp.start_line, row_number() over (partition by lb.path, find order by sp.start_line) as r
+        from lb left join sp on lb.path = sp.path and contains(sp.text, lb.find)
+    ), o as (
+        select 'all' as set, expected, coalesce(confidence, 0) as sim, candidate_uri as source from al left join d using (path, start_line) where r = 1
+    )
+    {confusion("o", "set", "sim >= 0.45")}"""
+ORACLES["attestation_verify"] = """
+    select cast(conv_id as varchar) as path, document, document = 'signed' as valid
+    from (select distinct conv_id from conversations where role = 'assistant'), (values ('signed'), ('altered'), ('forged')) d(document)"""

@@ -147,10 +147,10 @@ def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similarity ------------------------------------------------------------------------------
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries: every fifth vector; pool: the others but those of label 9."""
+def _dense(spark: SparkSession, sf_dir: str, grounded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Queries: every fifth vector; pool: the others, for evaluation but those of label 9, which stands for ungrounded."""
     vectors = read(spark, sf_dir, "embeddings")
-    return vectors.where("vec_id % 5 = 0"), vectors.where("vec_id % 5 <> 0 and label <> 9")
+    return vectors.where("vec_id % 5 = 0"), vectors.where("vec_id % 5 <> 0 and label <> 9" if grounded else "vec_id % 5 <> 0")
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +159,8 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("cand_ord").alias("vec_id"), six("sim"))
 
 
-def _ranked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, pool = _dense(spark, sf_dir)
+def _ranked_labels(spark: SparkSession, sf_dir: str, grounded: bool = False) -> DataFrame:
+    queries, pool = _dense(spark, sf_dir, grounded)
     return similarity.rank(similarity.dense_best(queries, pool), ["query_id"], ["uri"])
 
 
@@ -472,24 +472,19 @@ def attestation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attestation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signed report of each artifact: as signed, and with its coverage altered. The key stays on the driver,
-    to which the reports go one after the other; a report is one file's spans."""
+    """The reports of all artifacts under one signature: as signed, and with the coverage of one after the other altered."""
     import tempfile
 
     from spanloom.operators import attest
 
-    results = _results(spark, sf_dir)
-    columns = [c for c in results.columns if c != "path"]
-    reports = results.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_line", *[c for c in columns if c != "start_line"]))).alias("rows"))
-    valid = []
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory() as folder:  # of the driver, which signs
         signer = attest.Signer(spark, folder)
-        for r in reports.toLocalIterator():
-            rows = [row.asDict() for row in r["rows"]]
-            signed = signer.sign(attest.build_attestation(r["path"], "hash", rows, "2026-01-01T00:00:00.000Z"))
-            altered = signed | {"coverage": signed["coverage"] | {"grounded": len(rows) + 1}}
-            valid += [(r["path"], "signed", signer.verify(signed)), (r["path"], "altered", signer.verify(altered))]
-    return spark.createDataFrame(valid, "path string, document string, valid boolean")
+        rows, document = attest.attest_all(_results(spark, sf_dir), "2026-01-01T00:00:00.000Z", signer)
+        altered = rows.withColumn("report", F.regexp_replace("report", '"grounded":', '"grounded":1'))
+        signed, changed = (attest.verify_all(given, document, signer) for given in (rows, altered))
+        forged = attest.verify_all(rows, document | {"reports": document["reports"] + 1}, signer)
+    parts = [df.select("path", F.lit(name).alias("document"), "valid") for name, df in (("signed", signed), ("altered", changed), ("forged", forged))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # --- evaluation ------------------------------------------------------------------------------
@@ -504,7 +499,7 @@ def split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best label of each query; label 9 is not in the pool, so it stands for ungrounded."""
-    ranked = _ranked_labels(spark, sf_dir)
+    ranked = _ranked_labels(spark, sf_dir, grounded=True)
     queries, _ = _dense(spark, sf_dir)
     truth = queries.select(
         F.col("vec_id").alias("query_id"), F.when(F.col("label") == 9, evaluate.UNGROUNDED).otherwise(F.col("label").cast("string")).alias("expected")
@@ -561,6 +556,31 @@ def label_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.align(labels, cut(spans)).select("path", "find", "expected", "start_line", "source", six("sim"))
 
 
+def eval_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation from its dataset to its rates: sources and artifacts seeded into a store, attributed from there without
+    session scope, aligned with the labels and scored. Each turn's label expects its conversation's first turn."""
+    from spanloom.sources.datasets import seed
+    from spanloom.sources.store import Store
+    from spanloom.streaming.capture import fresh_root
+
+    conversations = read(spark, sf_dir, "conversations")
+    artifacts, sources = conversation_tables(conversations)
+    given = sources.select(F.col("source_id").alias("uri"), F.lit("user_msg").alias("type"), "content", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+    store = Store(spark, fresh_root(spark, "eval"))
+    captured, written = seed(given, artifacts.select("path", "content"))
+    store.add_sources(captured)
+    store.add_artifacts(written)
+    latest = capture.latest_artifacts(store.table("artifact")).select("path", "content", "session_id")
+    pool = store.table("source").select(F.col("id").alias("source_id"), "uri", F.col("id").alias("uri_ord"), "content", "session_id")
+    found = cut(attribute(latest, pool, session_scoped=False))
+    spans = found.select("path", "start_line", "text", F.col("confidence").alias("sim"), F.col("candidate_uri").alias("source"))
+    labels = conversations.where("role = 'assistant'").select(
+        F.col("conv_id").cast("string").alias("path"), F.expr("right(text, 15)").alias("find"), F.concat(F.col("conv_id").cast("string"), F.lit(":0")).alias("expected")
+    ).distinct()
+    records = evaluate.align(labels, spans).withColumn("set", F.lit("all"))
+    return _rounded(evaluate.confusion(records, F.col("sim") >= 0.45, F.col("source") == F.col("expected"), ["set"]), ["set"])
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit("."), F.col("event_type")).alias("path"))
     return evaluate.languages(files)
@@ -695,7 +715,7 @@ QUERIES: dict[str, Query] = {
         judge_decide, parse_verdict, counts, declared_citation, why_line, why_bulk, attribution_for, replace_attribution, audit_coverage, gate,
         attestation_spans, attestation_verify, split_hash, expected_rank, oracle_ceiling, eval_confusion, threshold_sweep, calibrate_low,
         decide_unscoped, decide_dense, vector_dot, line_slices, spike_spans, spike_truth, spike_chunks, live_scores, live_lines,
-        label_alignment, languages, judge_sweep, spike_metrics, dataset_merge, stream_source_dedup, stream_route, stream_versions, stream_dedup_late,
+        label_alignment, eval_seeded, languages, judge_sweep, spike_metrics, dataset_merge, stream_source_dedup, stream_route, stream_versions, stream_dedup_late,
         hook_source, hook_source_stream, store_attribution, store_vectors, sql_segment, sql_chunk, sql_why,
     )
 }

@@ -46,7 +46,7 @@ def test_versions_in_one_and_in_many_micro_batches(spark, tmp_path, rows):
     assert run(spark, str(tmp_path / "one"), [[*rows, END]]) == versions(rows)
     # each row up to twenty minutes late, the stream started again for each slice
     late = sorted(rows, key=lambda r: r[3] + datetime.timedelta(minutes=r[0] % 3 * 10))
-    slices = [late[n : n + 40] for n in range(0, 200, 40)]
+    slices = [late[n : n + 70] for n in range(0, 200, 70)]
     assert run(spark, str(tmp_path / "many"), [*slices, [END]]) == versions(rows)
     state = {r["path"]: r["version"] for r in capture.version_state(spark, str(tmp_path / "many" / "state")).collect()}
     assert state == {p: max(v for _, q, v in versions(rows) if q == p) for p in {r[1] for r in rows}}
