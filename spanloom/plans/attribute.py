@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.lineage import cut
 from spanloom.operators import decide, headed, segment, similarity
 from spanloom.operators.embed import Embedder, dense_scores
 from spanloom.operators.judge import Judge
@@ -39,7 +40,7 @@ def candidates(
     else:
         texts = spans.select("text").union(chunks.select("chunk"))
         held = cache if cache is not None else artifacts.sparkSession.createDataFrame([], EMBEDDING)
-        vectors = similarity.embed_with_cache(texts, held, embedder.transform)
+        vectors = cut(similarity.embed_with_cache(texts, held, embedder.transform))  # spans and chunks both read them
         scores = dense_scores(spans, chunks, vectors, ["scope"], span_key, chunk_key)
     best = similarity.best_per_source(scores, KEY, order=("uri_ord", "chunk_ord"))
     firsts = pool.groupBy("scope", "uri").agg(F.min("uri_ord").alias("uri_ord"), F.min_by("source_id", "uri_ord").alias("source_id"))

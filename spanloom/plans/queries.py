@@ -196,10 +196,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def letter_embedder() -> ColumnEmbedder:
     """Unit vectors of the counts of letters: an embedder that SQL can check."""
-    low = F.lower("text")
-    counts = F.array(*[F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in LETTERS])
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * n))
-    return ColumnEmbedder(F.transform(counts, lambda n: n / F.greatest(norm, F.lit(1e-12))))
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  # a lambda's body computes what it names anew
+    counted = lambda low: F.array(*[F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in LETTERS])
+    norm = lambda counts: F.greatest(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * n)), F.lit(1e-12))
+    unit = lambda counts: once(norm(counts), lambda size: F.transform(counts, lambda n: n / size))
+    return ColumnEmbedder(once(F.lower("text"), lambda low: once(counted(low), unit)))
 
 
 def decide_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
