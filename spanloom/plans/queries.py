@@ -295,21 +295,25 @@ def parse_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graph -----------------------------------------------------------------------------------
 
 
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """sources and artifacts of the conversations; ids are readable keys."""
+    artifacts, sources = conversation_tables(read(spark, sf_dir, "conversations"))
+    own = sources.select(
+        F.col("source_id").alias("id"), "uri", F.when(F.col("role") == "user", "user_msg").otherwise("conversation").alias("type"),
+        F.col("turn").alias("captured_at"), "session_id",
+    )
+    return own, artifacts.select(F.col("path").alias("id"), "path", F.lit(1).alias("version"))
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """sources, artifacts, spans and links of the attributed conversations; ids are readable keys."""
-    conversations = read(spark, sf_dir, "conversations")
-    artifacts, sources = conversation_tables(conversations)
-    results = cut(attribute(artifacts, sources))  # read as spans and as links
+    """sources, artifacts, spans and links of the attributed conversations."""
+    results = cut(_results(spark, sf_dir))  # read as spans and as links
     span_id = F.concat_ws(":", "path", F.col("start_line").cast("string"))
     spans = results.select(span_id.alias("id"), F.col("path").alias("artifact_id"), "start_line", "end_line", F.lit("block").alias("kind"))
     links = results.select(
         F.concat(F.lit("l"), span_id).alias("id"), span_id.alias("span_id"), "source_id", "confidence", "method", F.col("evidence").alias("evidence_quote")
     )
-    own = sources.select(
-        F.col("source_id").alias("id"), "uri", F.when(F.col("role") == "user", "user_msg").otherwise("conversation").alias("type"),
-        F.col("turn").alias("captured_at"), "session_id",
-    )
-    return own, artifacts.select(F.col("path").alias("id"), "path", F.lit(1).alias("version")), spans, links
+    return *_named(spark, sf_dir), spans, links
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +333,7 @@ def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources, artifacts, _, _ = _graph(spark, sf_dir)
+    sources, artifacts = _named(spark, sf_dir)  # citations read no spans: nothing is attributed for them
     return graph.declare_citations(_citations(spark, sf_dir), artifacts, sources)
 
 
@@ -363,7 +367,7 @@ def attribution_for(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replace_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even conversations are attributed anew; their declared citations, on spans of their own, survive."""
     _, _, spans, links = _graph(spark, sf_dir)
-    declared = _declared(spark, sf_dir).where("ok")
+    declared = cut(_declared(spark, sf_dir).where("ok"))  # read as spans and as links
     cited = F.concat(F.lit("c"), F.col("path"))
     spans = spans.unionByName(declared.select(cited.alias("id"), F.col("path").alias("artifact_id"), "start_line", "end_line", F.lit("block").alias("kind")))
     links = links.unionByName(

@@ -36,3 +36,15 @@ def test_query(spark, duck, name):
     expected = [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
     assert columns == sorted(names)
     assert plain(rows, columns) == plain(expected, columns)
+
+
+def test_citations_attribute_nothing(spark, monkeypatch):
+    """Citations read no spans, so that replacing an attribution makes one and not two."""
+    from spanloom.plans import queries
+
+    made = []
+    monkeypatch.setattr(queries, "attribute", lambda *args, of=queries.attribute, **named: made.append(1) or of(*args, **named))
+    QUERIES["declared_citation"](spark, DATA)
+    assert not made
+    QUERIES["replace_attribution"](spark, DATA)
+    assert made == [1]
