@@ -1,7 +1,12 @@
 """Near copies by the Jaccard similarity of five-word shingles, 0.8 or more.
 
-The signatures are op7's, over minimum hashes in place of bits: at a similarity of 0.8 a SimHash of
-64 bits differs in about ten, too many for segments that one differing bit leaves alike. A text's
+Op7's method comes first: each set has a SimHash fingerprint, and fingerprints of at most two differing
+bits meet by their halves with one masked bit (``simhash.near_links``). Sets of such fingerprints are
+compared whole, so that copies with few edits are one component before anything else is compared. Sets that
+share no key with any other (below) have no near copies and are left out.
+
+At a similarity of 0.8 fingerprints differ in about ten bits, too many for segments that one differing
+bit leaves alike. So what op7 leaves apart is found by the same signatures over minimum hashes in place of bits. A text's
 ``SEGMENTS`` * ``PER`` minimum hashes of its shingle set are cut into segments, and each segment is
 indexed with one value masked out, in each place. Two sets share such a key where a segment differs
 in at most one value; at a similarity of 0.8 exactly, one pair in a million shares none, at 0.85
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import checkpoint, slices
 from spanloom.llm.components import components
-from spanloom.llm.simhash import kept_rows
+from spanloom.llm.simhash import kept_rows, majority, near_links
 
 WIDTH = 5
 SEGMENTS, PER = 13, 6
@@ -97,7 +102,7 @@ def variants(sketches: np.ndarray) -> np.ndarray:
 
 
 def _stamped(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (XXH64 of the text), sig (of the set), n (its size), keys."""
+    """doc_id, mark (XXH64 of the text), sig (of the set), n (its size), fp (its SimHash), keys."""
     import xxhash
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
@@ -107,13 +112,14 @@ def _stamped(docs: DataFrame) -> DataFrame:
             sets = list(shingle_sets(batch.column("text")))
             sigs = [xxhash.xxh64_intdigest(own.tobytes(), 3) - (1 << 63) for own in sets]
             sizes = np.array([len(own) for own in sets], np.int64)
+            fps = np.array([majority(own) if len(own) else 0 for own in sets], np.uint64).view(np.int64)
             sketches = np.array([sketch(own) for own in sets if len(own)], np.uint64).reshape(-1, SEGMENTS * PER)
             lists = _lists(variants(sketches), sizes > 0)
-            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(sigs, pa.int64()), pa.array(sizes), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "sig", "n", "keys"])
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(sigs, pa.int64()), pa.array(sizes), pa.array(fps), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "sig", "n", "fp", "keys"])
 
     given = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return given.mapInArrow(scan, f"doc_id {kind}, mark bigint, sig bigint, n bigint, keys array<bigint>")
+    return given.mapInArrow(scan, f"doc_id {kind}, mark bigint, sig bigint, n bigint, fp bigint, keys array<bigint>")
 
 
 def _lists(rows: np.ndarray, held: np.ndarray) -> pa.ListArray:
@@ -132,26 +138,19 @@ def nibbles(least: np.ndarray) -> np.ndarray:
     return ((least & np.uint64(15)).reshape(-1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(1, dtype=np.uint64)
 
 
-def _apart(a: str, b: str) -> Column:
-    """In how many of their first FIRST nibbles two wide sketches differ."""
-    differing = F.lit(0)
-    for k in range(FIRST // 16):
-        bits = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
-        differing = differing + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
-    return differing
+def _differing(x: Column, y: Column) -> Column:
+    """In how many of their sixteen nibbles two numbers differ."""
+    bits = x.bitwiseXOR(y)
+    bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+    bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+    return F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose wide sketches differ in at most APART nibbles."""
-    for batch in slices(batches):
-        x, y = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, WIDE // 16) for c in ("x_wide", "y_wide"))
-        bits = x ^ y
-        bits |= bits >> np.uint64(1)
-        bits |= bits >> np.uint64(2)
-        close = np.bitwise_count(bits & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64) <= APART
-        yield batch.select(["x_sig", "y_sig"]).filter(pa.array(close, pa.bool_()))
+def _close(a: str, b: str) -> Column:
+    """Whether two wide sketches differ in at most APART nibbles; of pairs that are far apart the first FIRST of them alone are read."""
+    first = sum((_differing(F.get(a, F.lit(k)), F.get(b, F.lit(k))) for k in range(FIRST // 16)), F.lit(0))
+    whole = F.aggregate(F.zip_with(a, b, _differing), F.lit(0), lambda s, n: s + n)
+    return (first <= FIRST_APART) & (whole <= APART)
 
 
 def _texts(sigs: DataFrame, one: DataFrame, docs: DataFrame) -> DataFrame:
@@ -239,20 +238,30 @@ def _rest(members: DataFrame, tested: DataFrame) -> DataFrame:
     x = side("x_", F.pmod(F.xxhash64("sig"), F.col("salts")))
     y = side("y_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
     met = x.join(y, ["key", "salt"]).where(
-        (F.col("x_root") < F.col("y_root")) & _fit(F.col("x_n"), F.col("y_n")) & (_apart("x_wide", "y_wide") <= FIRST_APART)
+        (F.col("x_root") < F.col("y_root")) & _fit(F.col("x_n"), F.col("y_n")) & _close("x_wide", "y_wide")
     )
-    met = met.select("x_sig", "y_sig", "x_wide", "y_wide").mapInArrow(_close, "x_sig bigint, y_sig bigint")
     return met.select(*_ordered("x_sig", "y_sig")).distinct().join(tested, ["a", "b"], "left_anti")
 
 
+def _simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (sig, fp) whose fingerprints differ in at most two bits: one of each pair of fingerprints, and each set with the first of its own."""
+    fps = checkpoint(sets.groupBy("fp").agg(F.min("sig").alias("least"), F.count("*").alias("sets")))
+    same = sets.join(fps.where("sets > 1"), "fp").where("sig <> least").select(*_ordered("sig", "least"))
+    side = lambda name: fps.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_sig"))
+    near = near_links(fps.select("fp")).join(side("a"), "a").join(side("b"), "b").select(*_ordered("a_sig", "b_sig"))
+    return same.union(near).distinct()
+
+
 def links(one: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) between sets of similarity 0.8 or more that have the components of all such edges."""
-    keyed = one.select("sig", "n", F.explode("keys").alias("key"))
+    keyed = one.select("sig", "n", "fp", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
     rows = checkpoint(keyed.join(shared, "key"))
-    met = rows.groupBy("sig").agg(F.sum("sets").alias("met"))
-    members = checkpoint(rows.drop("sets").join(met, "sig").withColumn("root", F.col("sig")))
-    tested = found = one.sparkSession.createDataFrame([], "a bigint, b bigint")
+    met = checkpoint(rows.groupBy("sig").agg(F.first("fp").alias("fp"), F.sum("sets").alias("met")))
+    members = rows.drop("sets", "fp").join(met.drop("fp"), "sig").withColumn("root", F.col("sig"))
+    tested = checkpoint(_simhash_pairs(met.select("sig", "fp")))
+    found = checkpoint(_verified(tested, one, docs))
+    members = _rooted(members, found)
     for turn in range(rounds):
         held, pairs_left = _left(members)
         if pairs_left <= LEFT * held and turn:
@@ -270,7 +279,7 @@ def links(one: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def keep_one(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row of each group of near copies, with all its columns: that of the smallest doc_id (null last)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")
-    one = _stamped(docs).groupBy("sig").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    one = _stamped(docs).groupBy("sig").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     one = checkpoint(one)
     roots = components(links(one, docs, rounds)).withColumnRenamed("node", "sig")
     named = one.select("sig", "r").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))

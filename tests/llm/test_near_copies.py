@@ -98,6 +98,34 @@ def test_edits_of_one_text_are_one_group(spark, monkeypatch):
     assert compared[0] <= 60
 
 
+def test_simhash_links_copies_of_few_edits(spark, monkeypatch):
+    """Op7's fingerprints and their masked halves alone, without the minimum hashes: a copy with one edit goes, and no link is wrong."""
+    rng = random.Random(15)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    edited = [*words[:-1], "other"]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(reversed(words))), (4, "short text"), (5, None), (6, " ")]
+    rest = near_copies._rest
+    monkeypatch.setattr(near_copies, "_rest", lambda members, tested: rest(members, tested).limit(0))
+    df = spark.createDataFrame([(k, t, *"ximr") for k, t in rows], DOCS)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(df, 0).collect()) == [1, 3, 4, 5]
+
+
+def test_pairs_far_apart_are_told_in_the_join(spark):
+    """Sketches are compared by a column, so that the join of sets that share a key makes no row of a pair that is far apart."""
+    rng = np.random.default_rng(11)
+    ours = rng.integers(0, 16, near_copies.WIDE, np.int64)
+    rows, want = [], []
+    for k, places in enumerate(range(0, near_copies.WIDE, 15)):
+        theirs = ours.copy()
+        theirs[rng.permutation(near_copies.WIDE)[:places]] ^= rng.integers(1, 16)
+        apart = ours != theirs
+        packed = [near_copies.nibbles(v.astype(np.uint64)).view(np.int64).tolist() for v in (ours, theirs)]
+        rows.append((k, *packed))
+        want.append(bool(apart.sum() <= near_copies.APART and apart[: near_copies.FIRST].sum() <= near_copies.FIRST_APART))
+    found = spark.createDataFrame(rows, "k int, a array<bigint>, b array<bigint>").select("k", near_copies._close("a", "b").alias("close")).orderBy("k")
+    assert [r["close"] for r in found.collect()] == want and 3 < sum(want) < 15
+
+
 def edits(count, seed=4, size=200, changed=18):
     """Edits of one text, each with other words changed: none is a near copy of another, but they share keys."""
     rng = random.Random(seed)
