@@ -60,6 +60,31 @@ def test_a_write_later_than_the_delay_is_left_out(spark, tmp_path):
     assert found == [(1, "p", 1), (2, "p", 3), (4, "p", 2)]
 
 
+def test_a_path_takes_rows_not_frames():
+    """A path's few writes come as rows: no data frame is made for each path and micro-batch."""
+    from pyspark.sql import Row
+
+    class Held:
+        def __init__(self):
+            self.rows, self.timers = [], []
+
+        def getValueState(self, name, schema):
+            return self
+
+        getListState = getValueState
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    held, path = Held(), capture.PathVersions()
+    path.init(held)
+    assert list(path.handleInputRows(("p",), iter([Row(at=2000, event_id=1, content_hash="a"), Row(at=1001, event_id=2, content_hash="b")]), None)) == []
+    assert held.rows == [(2000, 1, "a"), (1001, 2, "b")] and held.timers == [2]
+
+
 def test_state_of_deduplication_is_bounded(spark, tmp_path):
     slices = [spark.createDataFrame([(f"c{day}-{n}", "s", at(day * 1440)) for n in range(50)] * 2, "content string, session_id string, at timestamp") for day in range(6)]
     plan = lambda s: capture.dedup_stream(s, ("at", "1 day"))
