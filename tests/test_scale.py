@@ -2,10 +2,13 @@
 
 import math
 import random
+from zlib import crc32
 import re
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +82,29 @@ def test_rows_made_are_few_of_the_pairs_that_share_a_token(spark, monkeypatch):
     assert 5 * len(left) <= rows < sharing / 10
 
 
+def test_few_pairs_are_compared_token_by_token(monkeypatch):
+    """Bounds are no lower than similarities, and rule out nearly all pairs."""
+    rng = random.Random(3)
+    texts = [" ".join([*rng.choices(["the", "of", "and", "to"], k=8), *(f"w{rng.randrange(2000)}" for _ in range(12))]) for _ in range(800)]
+
+    def block(texts):
+        bags = [bag(t) for t in texts]
+        held = [{"norm": sum(n * n for n in b.values()), "ids": [crc32(t.encode()) for t in b], "counts": list(b.values())} for b in bags]
+        kind = pa.struct([("norm", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+        return headed.Block(pa.array([{"v": h} for h in held], pa.struct([("v", kind)])), np.sort(np.array([crc32(t.encode()) for t in ("the", "of", "and", "to")])))
+
+    spans, chunks = block(texts[:200]), block(texts[200:])
+    exact = np.array([[similarity(bag(a), bag(b)) for b in texts[200:]] for a in texts[:200]])
+    assert ((spans.outline @ chunks.outline.T) >= exact * headed.SLACK).all()
+    compared, real = [], headed._similarities
+    monkeypatch.setattr(headed, "_similarities", lambda *given: (compared.append(len(given[-1])), real(*given))[1])
+    uris = headed.Uris(np.arange(600), np.arange(600), 600)
+    got = [(i, j, sim) for part in headed.found(spans, chunks, uris, np.zeros(200), 5) for i, j, sim in zip(*(p.tolist() for p in part), strict=True)]
+    want = [(i, j, exact[i, j]) for i in range(200) for j in sorted(range(600), key=lambda j: (-exact[i, j], j))[:5]]
+    assert got == want
+    assert sum(compared) < 200 * 600 / 4
+
+
 # --- label alignment -------------------------------------------------------------------------
 
 
