@@ -179,12 +179,11 @@ def _verified(pairs: DataFrame, one: DataFrame, docs: DataFrame) -> DataFrame:
     The texts of each a's partners are sorted behind its own, so that a task holds one set at a time
     and one text a row; an a of many partners is dealt over salts.
     """
-    held = _texts(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), one, docs)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALTED).alias("salts"))
-    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    partners = dealt.join(held.withColumnRenamed("sig", "b"), "b")
-    own = salts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    both = partners.unionByName(own.join(held.withColumnRenamed("sig", "a"), "a"), allowMissingColumns=True)
+    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.col("b").alias("sig"))
+    own = salts.select("a", F.lit(None).cast("bigint").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("sig"))
+    rows = dealt.union(own)
+    both = rows.join(_texts(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), one, docs), "sig")
     rows = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -163,3 +163,19 @@ def test_wide_sketches_tell_alike_from_unlike():
         return sum((int(v) >> (4 * k)) & 15 != 0 for v in bits for k in range(16))
 
     assert max(apart(0.8) for _ in range(60)) <= near_copies.APART < min(apart(0.6) for _ in range(60))
+
+
+def test_stars_are_not_contracted_again(spark, monkeypatch):
+    """Components of what is stars already take no round, others the rounds they need and none to confirm them."""
+    from spanloom.llm import components
+
+    rounds = []
+    monkeypatch.setattr(components, "_least", lambda edges, of=components._least: (rounds.append(1), of(edges))[1])
+    pairs = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    star = components.components(pairs([(k, 1) for k in range(1, 9)]))
+    assert {(r["node"], r["root"]) for r in star.collect()} == {(k, 1) for k in range(1, 9)} and not rounds
+    hub = components.components(pairs([(5, k) for k in range(1, 9)]))
+    assert {(r["node"], r["root"]) for r in hub.collect()} == {(k, 1) for k in range(1, 9)} and len(rounds) == 1
+    path = components.components(pairs([(k, k + 1) for k in range(1, 40)] + [(50, 51), (51, 50)]))
+    assert {(r["node"], r["root"]) for r in path.collect()} == {(k, 1) for k in range(1, 41)} | {(50, 50), (51, 50)}
+    assert components.components(pairs([])).count() == 0
