@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from spanloom.llm.common import map_texts
+
 WINDOW = 1024
 PIECE, LEAST_PIECE = 256, 4
 BLOCK = 64  # windows that are balanced together
@@ -274,4 +276,4 @@ def pack(
         if rows := packer.take():
             yield out(rows, kind)
 
-    return docs.select("doc_id", "text").mapInArrow(packed, schema)
+    return map_texts(docs.select("doc_id", "text"), packed, schema)

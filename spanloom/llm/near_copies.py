@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, slices
+from spanloom.llm.common import checkpoint, map_texts, slices
 from spanloom.llm.components import components
 from spanloom.llm.simhash import kept_rows, majority, near_links
 
@@ -119,7 +119,7 @@ def _stamped(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "sig", "n", "fp", "keys"])
 
     given = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return given.mapInArrow(scan, f"doc_id {kind}, mark bigint, sig bigint, n bigint, fp bigint, keys array<bigint>")
+    return map_texts(given, scan, f"doc_id {kind}, mark bigint, sig bigint, n bigint, fp bigint, keys array<bigint>")
 
 
 def _lists(rows: np.ndarray, held: np.ndarray) -> pa.ListArray:
@@ -170,7 +170,7 @@ def _wide(sigs: DataFrame, one: DataFrame, docs: DataFrame) -> DataFrame:
                 rows = np.array([nibbles(sketch(own, _WIDE[0], _WIDE[1] | np.uint64(1))) for own in sets], np.uint64).reshape(-1, WIDE // 16)
                 yield pa.RecordBatch.from_arrays([part.column("sig"), _lists(rows, np.ones(len(rows), bool))], names=["sig", "wide"])
 
-    return _texts(sigs, one, docs).mapInArrow(scan, "sig bigint, wide array<bigint>")
+    return map_texts(_texts(sigs, one, docs), scan, "sig bigint, wide array<bigint>")
 
 
 def _verified(pairs: DataFrame, one: DataFrame, docs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def _verified(pairs: DataFrame, one: DataFrame, docs: DataFrame) -> DataFrame:
                 alike.append(b is not None and 9 * len(np.intersect1d(first, own, assume_unique=True)) >= 4 * (len(first) + len(own)))
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return rows.select("a", "b", "text").mapInArrow(compare, "a bigint, b bigint")
+    return map_texts(rows.select("a", "b", "text"), compare, "a bigint, b bigint")
 
 
 def _ordered(a: str, b: str) -> list[Column]:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import slices, texts
+from spanloom.llm.common import map_texts, slices, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "contact")
@@ -101,6 +101,7 @@ DOMAINS = frozenset("com org net edu gov io info".split())  # shape "tld"
 KEY_ID = "AKIA"  # fixed value: how a well-known kind of access key begins
 PLAIN = "w"
 REMEMBERED = 50_000
+TOGETHER = 100_000  # symbols that Viterbi decodes at once; each takes some two hundred bytes
 
 
 def shape(token: str) -> str:
@@ -255,7 +256,7 @@ class Crf:
         at = 0
         while at < len(order):
             most = len(sequences[order[min(at + 255, len(order) - 1)]])
-            group = order[at : at + max(1, min(256, 1_000_000 // max(1, most)))]
+            group = order[at : at + max(1, min(256, TOGETHER // max(1, most)))]
             at += len(group)
             width = max(len(sequences[i]) for i in group)
             if not width:
@@ -438,7 +439,8 @@ def find(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return map_texts(
+        docs.select("doc_id", "text"),
         scan, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
     )
 
@@ -474,4 +476,4 @@ def redact(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
                 out = out.set_column(at, "n_chars", pa.array([len(t) if s else n for t, s, n in zip(clean, every, old, strict=True)], kind))
             yield out
 
-    return docs.mapInArrow(scan, schema)
+    return map_texts(docs, scan, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, slices, texts
+from spanloom.llm.common import checkpoint, map_texts, slices, texts
 from spanloom.llm.components import components
 
 SEED = 42
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp"])
 
     given = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return given.mapInArrow(stamped, f"doc_id {kind}, mark bigint, fp bigint")
+    return map_texts(given, stamped, f"doc_id {kind}, mark bigint, fp bigint")
 
 
 def _differing(a: Column, b: Column) -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanloom.llm.common import checkpoint
+from spanloom.llm.common import checkpoint, map_texts
 
 WORDS = 5
 SHARE = 0.8
@@ -233,7 +233,7 @@ def _windows(rows: DataFrame, key: str, text: str, bloom: np.ndarray | None, lea
                 names=["row", "key", "mark", "hash", "place", "slots", "width"],
             )
 
-    return given.mapInArrow(scan, f"row bigint, key {kind}, mark bigint, hash bigint, place bigint, slots array<string>, width bigint")
+    return map_texts(given, scan, f"row bigint, key {kind}, mark bigint, hash bigint, place bigint, slots array<string>, width bigint")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:

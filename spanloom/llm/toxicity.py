@@ -36,7 +36,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, slices, texts
+from spanloom.llm.common import checkpoint, map_texts, slices, texts
 
 EXAMPLES = 4096  # of each label
 SAMPLE_BYTES = 1 << 25  # of each label's texts
@@ -316,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         place = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(place, -1)), pa.array(np.append(held[place], rows))], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(frequency, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    counts = map_texts(docs.select("text"), frequency, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     number, n = counts["word"].to_numpy(), counts["n"].to_numpy()
     held, rows = np.zeros(len(words)), int(n[number < 0].sum())
     held[number[number >= 0]] = n[number >= 0]
@@ -333,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
             votes = [own.vote(*near) for near in own.index.nearest(asked, NEIGHBOURS, without=ids)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(votes, pa.float64())], names=["id", "vote"])
 
-    voted = sample.select("mark", "text").repartition(tasks).mapInArrow(vote, "id bigint, vote double").toArrow()
+    voted = map_texts(sample.select("mark", "text").repartition(tasks), vote, "id bigint, vote double").toArrow()
     votes = np.zeros(len(model.toxic))
     votes[voted["id"].to_numpy()] = voted["vote"].to_numpy()
     model.curve = _fit_curve(votes, model.toxic, np.where(model.toxic == 1, model.weight[1], model.weight[0]))
@@ -423,7 +423,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "score", "nearest", "cosine", "terms"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, score double, nearest {kind}, cosine double, terms string")
+    return map_texts(docs.select("doc_id", "text"), scan, f"doc_id {kind}, score double, nearest {kind}, cosine double, terms string")
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -451,4 +451,4 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in slices(batches):
             yield batch.filter(pa.array([s < TOXIC_FROM for s, *_ in scorer.batch(batch.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_texts(docs, scan, docs.schema)
