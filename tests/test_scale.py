@@ -82,6 +82,34 @@ def test_rows_made_are_few_of_the_pairs_that_share_a_token(spark, monkeypatch):
     assert 5 * len(left) <= rows < sharing / 10
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote into shuffles."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_blocks_are_not_copied_into_shuffles(spark, monkeypatch):
+    """Three times the spans and chunks write about three times the bytes, not nine times; and rounds find what all pairs have."""
+    monkeypatch.setattr(blocks, "LEFT", 8)
+    monkeypatch.setattr(blocks, "RIGHT", 8)
+    monkeypatch.setattr(headed, "SIDE", 1)
+    monkeypatch.setattr(headed, "WIDE", 1, raising=False)
+    wrote = []
+    for size in (100, 300):
+        rng = random.Random(size)
+        left = [(f"p{i}", i, i, words(rng, 80)) for i in range(size)]
+        right = [(f"u{n % (size - 20)}", n, f"s{n}", 0, words(rng, 40)) for n in range(size)]
+        spans = spark.createDataFrame([("*", *r) for r in left], "scope string, path string, start_line bigint, end_line bigint, text string").repartition(4)
+        chunks = spark.createDataFrame([("*", *r) for r in right], "scope string, uri string, uri_ord bigint, source_id string, chunk_ord bigint, chunk string").repartition(4)
+        before = shuffled(spark)
+        found = headed.best_uris(spans, chunks, ["scope"], ["path", "start_line"], ["uri", "uri_ord", "source_id", "chunk_ord"], 5)
+        got = sorted((r["path"], r["start_line"], r["uri"], r["uri_ord"], r["chunk_ord"], r["source_id"], r["sim"]) for r in found.collect())
+        wrote.append(shuffled(spark) - before)
+        assert got == best(left, right, 5)
+    assert wrote[1] < 5 * wrote[0]
+
+
 def test_few_pairs_are_compared_token_by_token(monkeypatch):
     """Bounds are no lower than similarities, and rule out nearly all pairs."""
     rng = random.Random(3)
